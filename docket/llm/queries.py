@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, fingerprints, jaccard, lines, packing, tokens, urls
+from . import bpe, fingerprints, jaccard, lines, packing, pii, tokens, urls
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op4_best_fit_packing, op5_byte_bpe, op7_jaccard_join, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_pii, op7_jaccard_join, op9_url_filter, op10_token_counts)}
 ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL}
