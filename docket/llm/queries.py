@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, fingerprints, jaccard, lines, packing, pii, tokens, urls
+from . import bpe, fingerprints, jaccard, lines, packing, pii, tokens, toxicity, urls
 from .common import table
 
 
@@ -35,6 +35,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(scored["doc_id"]).alias("held_out"), "score", "predicted", "toxic_spans")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.labelled(pages, table(spark, sf_dir, "labels")))
@@ -44,5 +50,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_pii, op7_jaccard_join, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_pii, op7_jaccard_join, op8_toxicity, op9_url_filter, op10_token_counts)}
 ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL}
