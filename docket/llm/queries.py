@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, fingerprints, jaccard, lines, packing, pii, tokens, toxicity, urls
+from . import bpe, fingerprints, jaccard, lines, neighbours, packing, pii, tokens, toxicity, urls
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,5 +55,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op4_best_fit_packing, op5_byte_bpe, op6_pii, op7_jaccard_join, op8_toxicity, op9_url_filter, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_nearest_neighbours, op4_best_fit_packing, op5_byte_bpe, op6_pii, op7_jaccard_join, op8_toxicity, op9_url_filter, op10_token_counts)}
 ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL}
