@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE = 1000  # documents of each class that the fit reads
 THRESHOLD = 0.7
@@ -266,4 +267,4 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     names = [c for c in docs.columns if c not in ("score", "predicted", "toxic_spans")]
     docs = docs.select(*names)
-    return docs.mapInPandas(run, docs.schema.add("score", "double").add("predicted", "int").add("toxic_spans", "string"))
+    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in (("score", T.DoubleType()), ("predicted", T.IntegerType()), ("toxic_spans", T.StringType())))]))
