@@ -26,7 +26,7 @@ from .common import stored
 
 LENGTH = 2048
 SHARD = 8192  # pieces that are packed together
-KNOWN = 400_000  # words that a worker remembers
+KNOWN = 800_000  # words that a worker remembers
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -62,17 +62,14 @@ class Words:
         self.known: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        plain, other = {}, []
-        for w in words:
-            if RARE.search(w):
-                other.append(w)
-            else:
-                plain[w] = SPLIT.findall(w.lower())
-        fresh = list(set().union(*plain.values()) - self.parts.keys())
+    def learn(self, words: set[str], other: list[str]) -> None:
+        """words: lower-case ones without rare characters; other: any."""
+        whole = {w for w in words if w.isalpha()}
+        cut = {w: SPLIT.findall(w) for w in words - whole}
+        needed = whole.union(*cut.values())
+        fresh = list(needed - self.parts.keys())
         if len(self.parts) + len(fresh) > KNOWN:
-            used = set().union(*plain.values())
-            self.parts = {x: self.parts[x] for x in used & self.parts.keys()}
+            self.parts = {x: self.parts[x] for x in needed & self.parts.keys()}
         for i in range(0, len(fresh), 10_000):
             some = fresh[i : i + 10_000]
             text = " ".join(some).encode().decode("latin-1").translate(self.letters).replace(self.letters[32], " ")
@@ -81,23 +78,28 @@ class Words:
             raw = ids.tobytes()
             self.parts.update(zip(some, (raw[a:b] for a, b in itertools.pairwise(cuts)), strict=True))
         get = self.parts.__getitem__
-        self.known.update((w, get(x[0]) if len(x) == 1 else b"".join(map(get, x))) for w, x in plain.items())
+        self.known.update(zip(whole, map(get, whole)))
+        self.known.update((w, b"".join(map(get, x))) for w, x in cut.items())
         self.known.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and size < 2_000_000:  # characters whose words are held at once
-                text = texts[at] if RARE.search(texts[at]) else texts[at].lower()
-                split.append(text.replace("\n", " ").split(" "))
+            split, rare, size = [], [], 0
+            while at < len(texts) and size < 4_000_000:  # characters whose words are held at once
+                text = texts[at]
+                odd = RARE.search(text) is not None
+                words = (text if odd else text.lower()).replace("\n", " ").split(" ")
+                split.append(words)
+                rare.append(odd)
                 size += len(text)
                 at += 1
-            words = set().union(*split)
-            fresh = list(words - self.known.keys())
-            if len(self.known) + len(fresh) > KNOWN:
-                self.known = {"": b""} | {w: self.known[w] for w in words & self.known.keys()}
-            self.learn(fresh)
+            plain = set().union(*(w for w, odd in zip(split, rare, strict=True) if not odd))
+            other = set().union(*(w for w, odd in zip(split, rare, strict=True) if odd))
+            fresh, beyond = plain - self.known.keys(), other - self.known.keys() - plain
+            if len(self.known) + len(fresh) + len(beyond) > KNOWN:
+                self.known = {"": b""} | {w: self.known[w] for w in (plain | other) & self.known.keys()}
+            self.learn(fresh | {w for w in beyond if w.islower() and not RARE.search(w)}, [w for w in beyond if not w.islower() or RARE.search(w)])
             for text in split:
                 yield b"".join(map(self.known.__getitem__, text))
 
