@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import stored
 
@@ -160,7 +161,7 @@ def best_fit(lengths: np.ndarray, length: int, max_docs: int, max_cost: float, w
 
 def pack(parts: DataFrame, length: int = LENGTH, max_docs: int = LENGTH, max_cost: float = float(LENGTH) ** 2, shard: int = SHARD, rule: str = "norm") -> DataFrame:
     """parts with sequence_id and offset. Rows are dealt evenly to tasks of about shard pieces; a task packs what it has, so sequences never span tasks."""
-    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
