@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "phrase_search_topk"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import rulings
+
+FLAGSHIP = "sections_map"
+_MODULES = (rulings,)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
