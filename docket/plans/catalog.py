@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rulings
+from . import corpus, logs, rulings
 
-FLAGSHIP = "sections_map"
-_MODULES = (rulings,)
+FLAGSHIP = "phrase_search_topk"
+_MODULES = (corpus, logs, rulings)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
