@@ -1 +1 @@
-
+"""Incremental loads and rolling budgets as Structured Streaming."""
