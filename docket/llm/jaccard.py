@@ -108,7 +108,7 @@ _SEEDS = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
 _FACTORS = _RNG.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 
 
-def _batches(frames: Iterator[pd.DataFrame], most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+def _batches(frames: Iterator[pd.DataFrame], most: int = 1_500_000) -> Iterator[pd.DataFrame]:
     """Frames cut so that about most characters are looked at together."""
     for b in frames:
         sizes = b["text"].str.len().fillna(0).to_numpy()
@@ -167,12 +167,12 @@ class Tree:
             cuts = np.arange(0, len(upper), LEAF)
             self.levels.append((np.maximum.reduceat(upper, cuts), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)))
 
-    def near(self, asked: np.ndarray, step: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, asked: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Rows of asked and of the tree's points between which the bound leaves a link possible."""
         size = asked.sum(axis=1)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for first in range(0, len(asked), 1024):
-            q = np.arange(first, min(first + 1024, len(asked)))
+        for first in range(0, len(asked), 256):
+            q = np.arange(first, min(first + 256, len(asked)))
             node = np.zeros(len(q), np.int64)
             for depth in range(len(self.levels) - 1, -1, -1):
                 upper, lo, hi = self.levels[depth]
@@ -195,7 +195,7 @@ def _tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def pairs(tile: pd.DataFrame) -> pd.DataFrame:
         doc, part = tile["doc_id"].to_numpy(), tile["component"].to_numpy()
-        points = np.stack(tile["counts"].to_numpy()).astype(np.int64)
+        points = np.stack(tile["counts"].to_numpy())
         x, y = Tree(points).near(points)
         keep = (doc[x] < doc[y]) & (part[x] != part[y])
         return pd.DataFrame({"a": doc[x[keep]], "b": doc[y[keep]]}).drop_duplicates()
