@@ -62,8 +62,9 @@ def profile(log: DataFrame, by: tuple[str, ...], status: str, ms: str) -> DataFr
 def load_cost(plan: DataFrame, page_size: int = 100, spacing_s: float = SPACING_S, per_day: int = BUDGETS[1][0], most_tries: int = 4, threshold: int = 50) -> DataFrame:
     """plan (listed, known, pages_read) with what is left: documents, pages, requests, the least time in seconds by spacing and by daily budget, and whether
     requests with all retries pass the threshold at which one asks first. Null counts give null costs."""
-    left = F.greatest(F.col("listed") - F.col("known"), F.lit(0))
-    pages = F.greatest(F.ceil(F.col("listed") / page_size) - F.col("pages_read"), F.lit(0))
+    floor0 = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0)))  # noqa: E731  greatest alone would skip the null
+    left = floor0(F.col("listed") - F.col("known"))
+    pages = floor0(F.ceil(F.col("listed") / page_size) - F.col("pages_read"))
     priced = plan.withColumns({"docs_left": left, "pages_left": pages}).withColumn("requests", F.col("docs_left") + F.col("pages_left"))
     days = F.floor(F.greatest(F.col("requests") - 1, F.lit(0)) / per_day)
     seconds = F.greatest((F.col("requests") - 1) * spacing_s, days * 86_400.0, F.lit(0.0))
