@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 MAX_RATIO, MIN_PAGES = 0.1, 10
 WHITE = " \t\r\x0b\x0c"
@@ -39,14 +39,16 @@ def boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_rat
 
 def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """df with the boilerplate lines gone from text, and n_lines and n_dropped for each row (columns of these names are replaced)."""
+    its_host, its_lines, kept_lines = (unused(df, name) for name in ("_host", "_lines", "_kept"))
     found = stored(boilerplate(df, host, text, max_ratio, min_pages), "boilerplate")  # Spark broadcasts it only if its files are small
-    joined = df.join(found, F.col(host).eqNullSafe(F.col("_host")), "left")
+    found = found.select(F.col("_host").alias(its_host), F.col("_lines").alias(its_lines))
+    joined = df.join(found, F.col(host).eqNullSafe(F.col(its_host)), "left")
     split = F.split(F.col(text), "\n", -1)
-    kept = F.when(F.col("_lines").isNull(), split).otherwise(F.filter(split, lambda x: ~F.coalesce(F.array_contains("_lines", _key(x)), F.lit(False))))
-    joined = joined.withColumn("_kept", kept)
+    kept = F.when(F.col(its_lines).isNull(), split).otherwise(F.filter(split, lambda x: ~F.coalesce(F.array_contains(its_lines, _key(x)), F.lit(False))))
+    joined = joined.withColumn(kept_lines, kept)
     lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")
-    left = F.when(F.col(text).isNull(), 0).otherwise(F.size("_kept")).cast("long")
-    return joined.withColumns({"n_lines": lines, "n_dropped": lines - left, text: F.array_join("_kept", "\n")}).drop("_host", "_lines", "_kept")
+    left = F.when(F.col(text).isNull(), 0).otherwise(F.size(kept_lines)).cast("long")
+    return joined.withColumns({"n_lines": lines, "n_dropped": lines - left, text: F.array_join(kept_lines, "\n")}).drop(its_host, its_lines, kept_lines)
 
 
 ORACLE_SQL = f"""

@@ -1,0 +1,296 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from docket.llm import bpe, fingerprints, jaccard, lines, neighbours, packing, pii, tokens, toxicity, urls
+
+RNG = np.random.default_rng(5)
+WORDS = ["".join(RNG.choice(list("abcdeiorst"), RNG.integers(2, 9))) for _ in range(300)]
+prose = lambda n: " ".join(RNG.choice(WORDS, n))
+LONG = prose(6000)
+SHARED = prose(60)
+TEXTS = [None, "", " \n\t", "one", "One two", prose(40), prose(200), LONG, LONG + " end", SHARED, SHARED.upper(), SHARED + " tail", "Ünïcode 🙂 漢字 " * 30, "x" * 3000, SHARED]
+ROWS = [*enumerate(TEXTS), (3, "one"), (None, prose(12)), (None, None)]
+CLASH = ("_h", "n_chars", "f1", "key", "component", "kind", "score", "rank", "length", "_text")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Documents with every odd case, in several partitions, with more columns whose names the operators use themselves."""
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    return df.withColumns({c: F.lit("clash") for c in CLASH}).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def shingles(text):
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_fingerprints(docs, empty):
+    rows = fingerprints.fingerprint_documents(docs, query_every=2).collect()
+    assert len(rows) == len(ROWS) and fingerprints.fingerprint_documents(empty).count() == 0
+    ordered = sorted(((i, t or "") for i, t in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(ordered):
+        cut, after = len(t) // 4, ordered[(k + 1) % len(ordered)][1]
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    none_first = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in rows), key=none_first) == sorted(want, key=none_first)
+    of = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert of[9].fingerprint == of[10].fingerprint == of[14].fingerprint and of[1].fingerprint == "0" * 32 and len(of[5].fingerprint) == 32
+    long = [r for r in rows if r.n_chars > 100]
+    assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.1
+    ints = [int(r.fingerprint, 16) for r in rows]
+    for r, a in zip(rows, ints):
+        if r.doc_id is not None and r.doc_id % 2 == 0:
+            assert r.n_near == sum((a ^ b).bit_count() <= fingerprints.RADIUS for b in ints) - 1
+        else:
+            assert r.n_near is None
+
+
+def test_radius_search_finds_all(spark):
+    base = int(RNG.integers(0, 2**62)) | int(RNG.integers(0, 2**62)) << 64
+    flip = lambda n: base ^ sum(1 << int(b) for b in RNG.choice(128, n, replace=False))
+    values = sorted({base, *(flip(n) for n in range(1, 12) for _ in range(20))})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    index = spark.createDataFrame([(signed(v & (2**64 - 1)), signed(v >> 64), 1, k) for k, v in enumerate(values)], "f1 long, f2 long, n long, id long")
+    got = {r.f1 % 2**64 | (r.f2 % 2**64) << 64: r.n_near for r in fingerprints.within_radius(index, index.select("f1", "f2")).collect()}
+    assert got == {v: sum((v ^ x).bit_count() <= 6 for x in values) for v in values}
+
+
+def test_lines(spark, empty):
+    rows = [(k, "h" if k else None, f"Menu\n{prose(3)}\n \tMenu\nown {k}\n") for k in range(30)] + [(99, "h", None), (98, "h", ""), (97, "one", "Menu")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_host", F.lit("clash"))
+    out = {r.doc_id: r for r in lines.drop_boilerplate(df, min_pages=5).collect()}
+    assert len(out) == len(rows) and out[1].text == rows[1][2].replace("Menu\n", "").replace(" \t", "") and (out[1].n_lines, out[1].n_dropped) == (5, 2)
+    assert out[0].text == rows[0][2] and out[99].text is None and out[98].text == "" and out[97].text == "Menu"
+    assert lines.drop_boilerplate(empty.withColumn("source", F.lit("h"))).count() == 0
+
+
+def test_neighbours(spark):
+    x = RNG.standard_normal((700, 16)).astype("float32")
+    x[5], x[6] = x[4], x[4]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1004, [1.0]), (None, [1.0] * 16), (0, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
+    got = neighbours.search(df, df.filter("vec_id % 50 = 0 or vec_id = 4"), shard=200, block=8).collect()
+    d = x.astype(float)
+    norms, hits, best = np.sqrt((d * d).sum(axis=1)), 0, defaultdict(list)
+    for r in got:
+        best[r.query_id].append(r)
+        assert r.score == (d[r.vec_id] * d[r.query_id]).sum() / (norms[r.vec_id] * np.sqrt((d[r.query_id] * d[r.query_id]).sum()))
+    for q, found in best.items():
+        found.sort(key=lambda r: r.rank)
+        assert [r.rank for r in found] == [1, 2, 3, 4, 5] and all((-a.score, a.vec_id) < (-b.score, b.vec_id) for a, b in zip(found, found[1:]))
+        s = d @ d[q] / norms
+        s[q] = -9
+        hits += len({r.vec_id for r in found} & set(np.argsort(-s)[:5].tolist()))
+    assert len(best) == 15 and [r.vec_id for r in best[4]][:2] == [5, 6] and hits / (5 * len(best)) >= 0.9
+    assert neighbours.search(df.limit(0), df.limit(0)).count() == 0 and neighbours.search(df.filter("vec_id = 0"), df.filter("vec_id = 0")).count() == 0
+
+
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = packing.pack_documents(docs, path, length=256, max_docs=8, shard=6).collect()
+    want = sorted((zlib.crc32(np.array(ids[a : a + 256], "<u4").tobytes()), a, len(ids[a : a + 256])) for _, t in ROWS for ids in [tokenizer.encode(t or "", add_special_tokens=False).ids + [0]] for a in range(0, len(ids), 256))
+    assert sorted((r.ids_crc32, r.start, r.length) for r in rows) == want and all(r.start == r.piece * 256 for r in rows)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 256 and len(parts) <= 8
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def test_best_fit_uses_few_sequences_under_every_constraint():
+    sizes = RNG.integers(1, 1500, 3000)
+    for rule in ("norm", "dot"):
+        sequence, offset = packing.best_fit(sizes, 2048, 2048, 2048.0**2, rule=rule)
+        assert np.bincount(sequence, sizes).max() <= 2048 and sequence.max() + 1 <= 1.02 * sizes.sum() / 2048 + 1
+        sequence, _ = packing.best_fit(sizes, 2048, 3, 1500.0**2, rule=rule)
+        assert np.bincount(sequence).max() <= 3 and np.bincount(sequence, sizes.astype(float) ** 2).max() <= 1500.0**2 + 1
+    with pytest.raises(ValueError):
+        packing.best_fit(np.array([9]), 8, 8, 64.0)
+
+
+def test_bpe_equals_the_reference_encoder(docs, empty):
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    rows = bpe.encode_documents(docs, path, pattern).collect()
+    want = [(len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for _, t in ROWS for ids in [encoder.encode_ordinary(t or "")]]
+    assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == sorted(want) and bpe.encode_documents(empty, path, pattern).count() == 0
+    odd = [" " * 500 + "x", "=" * 301, "aab" * 100, "".join(RNG.choice(list("abc"), 400)), "<|endoftext|> it's", "é" * 90]
+    got = list(bpe.Codec(path, pattern)(odd))
+    assert [np.frombuffer(a, "<u4").tolist() for a, _ in got] == [encoder.encode_ordinary(t) for t in odd] and [b.decode() for _, b in got] == odd
+
+
+PERSONAL = [
+    ("mail bob.smith [at] example [dot] com now", ["email:bob.smith [at] example [dot] com"]), ("bob at example dot com", ["email:bob at example dot com"]),
+    ("jane ＠ example．com", ["email:jane ＠ example．com"]), ("al​ice@exam​ple.com", ["email:al​ice@exam​ple.com"]),
+    ("plus four nine one seven one two three four five six seven", ["phone:plus four nine one seven one two three four five six seven"]),
+    ("４２７９０５５８９０７６４９１３", ["card:４２７９０５５８９０７６４９１３"]), ("192 dot 168 dot 1 dot 1", ["ip:192 dot 168 dot 1 dot 1"]),
+    ("a.b@c-d.org, +49 (171) 234-5678, 10.0.0.255, 4279 0558 9076 4913", ["email:a.b@c-d.org", "phone:+49 (171) 234-5678", "ip:10.0.0.255", "card:4279 0558 9076 4913"]),
+    ("Look at the dot on the wall. We met at noon", []), ("999.1.1.1 1234567890123456", []), ("un deux trois quatre chats", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), PERSONAL)
+def test_pii_finds(text, want):
+    assert [f"{k}:{text[a:b]}" for k, a, b in pii.spans(text)[1]] == want
+
+
+def test_pii_base(docs, empty):
+    def base(t):
+        out = [("email", *m.span()) for m in pii.EMAIL.finditer(t)] + [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+        out += [("card", *m.span()) for m in pii.CARD.finditer(t) if 14 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(d)]
+        out += [("phone", *m.span()) for m in pii.PHONE.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+    odd = ["@@a@b.c@d.e", "x" * 2000 + "@a.b", "1.2.3.4.5.6.7.8", "+1 2", "+12345678901 +1(23)456.78-90", *[t for t, _ in PERSONAL], *(t or "" for t in TEXTS)]
+    assert all(pii.plain(t) == base(t) for t in odd)
+    rows = pii.find(docs).collect()
+    assert len(rows) == len(ROWS) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if not r.spans) and pii.find(empty).count() == 0
+    masked = pii.redact(docs.withColumn("text", F.when(F.col("doc_id") == 3, "to a@b.c!").otherwise(F.col("text")))).collect()
+    assert {r.text for r in masked if r.doc_id == 3} == {"to <EMAIL>!"} and any(r.text is None for r in masked)
+
+
+def test_jaccard(spark, docs, empty):
+    more = []
+    for k in range(40):  # chains of edits, copies, and a passage that many share
+        base = prose(120).split()
+        for e in range(4):
+            more.append((1000 + 10 * k + e, " ".join(base[: 100 + 5 * e] + [SHARED] * (k % 2))))
+            base[int(RNG.integers(len(base)))] = "edited"
+    df = docs.select("doc_id", "text", "key", "component").unionByName(spark.createDataFrame(more, "doc_id long, text string").withColumns({"key": F.lit(""), "component": F.lit("")}))
+    rows = [*ROWS, *more]
+    sets = [(i, shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    none_first = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_components(df).collect()]
+    assert sorted(got, key=none_first) == sorted(((i, len(s), None if i is None else top(i)) for i, s in sets), key=none_first)
+    assert jaccard.similarity_components(empty).count() == 0
+
+
+def test_tree_bound_loses_nothing():
+    points = RNG.poisson(1.2, (300, jaccard.GROUPS)).astype(np.int32)
+    points[100:200] = np.maximum(points[:100] + RNG.integers(-1, 2, (100, jaccard.GROUPS)) * (RNG.random((100, jaccard.GROUPS)) < 0.08), 0)
+    x, y = jaccard.Tree(points).near(points)
+    size = points.sum(axis=1)
+    want = {(i, j) for i in range(300) for j in range(300) if np.minimum(points[i], points[j]).sum() * 180 >= 80 * (size[i] + size[j]) and min(size[i], size[j]) * 100 >= 80 * max(size[i], size[j])}
+    assert set(zip(x.tolist(), y.tolist())) == want
+
+
+def test_components_of_long_chains(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.id: r.component for r in jaccard.components(edges).collect()}
+    assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
+
+
+def test_toxicity(spark, docs, empty):
+    bad = ["vilexa", "vilexon", "gromptar"]
+    rows = [(2000 + k, prose(60) + (" " + " ".join(RNG.choice(bad, 3)) + "\n" + prose(20) if k % 3 == 0 else "\n" + prose(20))) for k in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text")).withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 2)) for i, _ in rows] + [(2000, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int").unionByName(spark.createDataFrame([(2002, 1, 1)], "doc_id long, quality int, toxic int"))
+    labels = labels.withColumn("toxic", F.when(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull(), ((F.col("doc_id") - 2000) % 3 == 0).cast("int")))
+    out = toxicity.score(df, toxicity.fit(df, labels)).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
+    assert len(out) == len(rows) + len(ROWS) and all(r.held == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    new = [r for r in out if (r.doc_id or 0) >= 2000]
+    assert all(r.predicted == int((r.doc_id - 2000) % 3 == 0) for r in new if r.held) and any(r.held for r in new)
+    r = next(r for r in new if r.predicted)
+    assert all(r.text[int(a) : int(b)].split()[0] in bad for a, b in (s.split(":") for s in r.toxic_spans.split(",")))
+    assert len({r.score for r in out if not words(r.text)}) == 1
+    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0} and toxicity.score(empty, toxicity.Model()).count() == 0
+
+
+def test_marginals_against_all_paths():
+    e, trans = RNG.normal(size=9), RNG.normal(size=(2, 2))
+    sizes = np.array([4, 1, 4])
+    p = toxicity.Chains(sizes).marginals(e, trans)[0]
+    for lo, n in zip((0, 4, 5), sizes):
+        paths = [[(k >> i) & 1 for i in range(n)] for k in range(2**n)]
+        weight = np.array([np.exp(sum(e[lo + i] * y for i, y in enumerate(path)) + sum(trans[a, b] for a, b in zip(path, path[1:]))) for path in paths])
+        assert np.allclose(p[lo : lo + n], (np.array(paths) * weight[:, None]).sum(axis=0) / weight.sum())
+
+
+def test_urls(spark):
+    given = ["http://A.Example.org/es/1?x", "https://example.org/en/12", "http://x.org", "http://x.org/", "http://b.com/de/", "http://b.com/fr/#a", None, "nothing", "http://Bad.net/a/7", "http://good.net/a/8", "http://notexample.org/es/1"]
+    pages = spark.createDataFrame(list(enumerate(given)), "page_id long, url string").withColumn("host", F.lit("clash"))
+    more = spark.createDataFrame([(100 + k, f"http://{'bad' if k % 2 else 'good'}.net/{k}") for k in range(200)], "page_id long, url string").withColumn("host", F.lit(""))
+    labels = more.select(F.col("page_id").alias("doc_id"), F.lit(1).alias("toxic"), (F.col("page_id") % 2 == 0).cast("int").alias("quality")).withColumn("bad", F.when(F.col("quality") == 0, 1).otherwise(0)).select(F.col("doc_id").alias("page_id"), "bad")
+    out = {r.page_id: r for r in urls.judge(pages.unionByName(more), labels).collect()}
+    assert [(out[k].host, out[k].path, out[k].rule, out[k].verdict) for k in range(len(given))] == [
+        ("a.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("x.org", "", None, "allow"), ("x.org", "/", "org/", "allow"),
+        ("b.com", "/de/", "com/de/", "block"), ("b.com", "/fr/", "com/fr/", "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("bad.net", "/a/7", None, "block"), ("good.net", "/a/8", None, "allow"),
+        ("notexample.org", "/es/1", "org/", "allow"),
+    ]
+    assert urls.judge(pages.limit(0), labels.limit(0)).count() == 0 and urls.judge(pages, labels.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
+
+
+def test_token_counts(docs, empty):
+    import tiktoken
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    df = docs.select("doc_id", F.when(F.col("doc_id") == 4, "a\n\n\n b🙂🙂c\n").otherwise(F.col("text")).alias("text"))
+    texts = {r.doc_id: r.text or "" for r in df.filter("doc_id is not null").collect()}
+    for rule in tokens.RULES:
+        rows = tokens.count_tokens(df.dropDuplicates(["doc_id"]), path, pattern, rule=rule).collect()
+        sums = defaultdict(float)
+        for r in rows:
+            sums[r.doc_id] += r.n_tokens
+        assert all(abs(sums[i] - len(encoder.encode_ordinary(t))) < 1e-6 for i, t in texts.items())
+    four = tokens.count_tokens(df.filter("doc_id = 4"), path, pattern, rule="split").orderBy("section").collect()
+    assert [(r.start, r.end) for r in four] == [(0, 2), (2, 3), (3, 4), (4, 10)]
+    named = df.filter("doc_id = 5").withColumn("parts", F.array(F.struct(F.lit(2).alias("start"), F.lit(30).alias("end"))))
+    got = tokens.count_tokens(named, path, pattern, "parts").collect()
+    assert [r.section for r in got] == [None, 0, None] and sum(r.n_tokens for r in got) == len(encoder.encode_ordinary(texts[5]))
+    # Each token's bytes share it; sections cut through words
+    cut = [(0, 3), (3, 4), (9, 17)]
+    for rule in tokens.RULES:
+        given = df.filter("doc_id = 5").withColumn("parts", F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in cut]))
+        got = {r.start: r.n_tokens for r in tokens.count_tokens(given, path, pattern, "parts", rule).collect()}
+        want, at, borders = defaultdict(float), 0, [0, 3, 4, 9, 17, len(texts[5])]
+        for k in encoder.encode_ordinary(texts[5]):
+            n = len(encoder.decode_bytes([k]))
+            held = [(sum(a <= i < b for i in range(at, at + n)), a) for a, b in zip(borders, borders[1:])]
+            held = [(c, a) for c, a in held if c]
+            if rule == "split":
+                for c, a in held:
+                    want[a] += c / n
+            else:
+                want[held[0][1] if rule == "first" else max(held, key=lambda h: (h[0], -h[1]))[1]] += 1
+            at += n
+        assert all(got[a] == pytest.approx(want[a]) for a in borders[:-1])
+    assert tokens.count_tokens(empty, path, pattern).count() == 0
