@@ -15,6 +15,10 @@ OTHER_MARKS = {"a": "àáâãäåāă", "c": "çčĉċ", "d": "ďđ", "e": "èé
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: A character that no text holds by the standard; one that does loses it in the lengths of gaps alone.
+CUT = "\uffff"
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once: an expression that is named twice, or inside a lambda, would be evaluated each time."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -60,7 +64,9 @@ def find_all(c: Column, pattern: str, flags: str = FLAGS) -> Column:
         hit = record(start=lo, end=hi, raw=x["m"])
         return record(at=hi, out=F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))))
 
-    pairs = lambda t: F.arrays_zip(F.regexp_extract_all(t, p, F.lit(0)).alias("m"), F.split(t, flags + pattern, -1).alias("g"))
+    # A split by a pattern compiles it for every row; a replacement keeps it, and a split by one character needs none
+    gaps = lambda t: F.split(F.regexp_replace(F.translate(t, CUT, " "), p, F.lit(CUT)), CUT, -1)
+    pairs = lambda t: F.arrays_zip(F.regexp_extract_all(t, p, F.lit(0)).alias("m"), gaps(t).alias("g"))
     return let(c, lambda t: F.when(t.isNotNull(), F.aggregate(pairs(t), start, step, lambda acc: acc["out"])))
 
 
