@@ -56,4 +56,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_nearest_neighbours, op4_best_fit_packing, op5_byte_bpe, op6_pii, op7_jaccard_join, op8_toxicity, op9_url_filter, op10_token_counts)}
-ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL}
+ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op9_url_filter": urls.ORACLE_SQL}

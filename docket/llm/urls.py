@@ -55,7 +55,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
         p = F.col(prior)
         spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - p, 2)) / F.sum("n")
         drawn = F.first(p * (1 - p)) * F.sum(F.when(F.col("n") > 0, F.lit(1.0))) / F.sum("n")
-        rho = (spread - drawn) / (F.first(p * (1 - p)) - drawn)
+        rho = F.try_divide(spread - drawn, F.first(p * (1 - p)) - drawn)
         moments = F.when((F.sum(F.when(F.col("n") > 0, 1)) > 1) & (F.first(p * (1 - p)) > drawn) & (rho > 0), F.least(F.greatest((1 - rho) / rho, F.lit(1.0)), F.lit(1e4)))
         return children.groupBy(*of).agg(F.coalesce(moments, F.lit(STRENGTH)).alias("strength"))
 
@@ -91,7 +91,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX
     hosts = stored(reputation(outcomes).select("host", F.col("mean").alias("bad_share"), F.col("lower").alias("bad_bound")), "judged")
     fit, verdict = rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
-    return rows.join(hosts, "host", "left").select("page_id", "host", "path", fit.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "bad_share", "bad_bound")
+    return rows.join(hosts, "host", "left").select("page_id", "host", "path", fit.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bad_share", 9).alias("bad_share"), F.round("bad_bound", 9).alias("bad_bound"))
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -99,3 +99,42 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     number = F.regexp_extract(parts(F.col("url"))["path"], r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
     of = labels.groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     return pages.select("page_id", number.try_cast("long").alias("doc_id")).join(of, "doc_id").select("page_id", "bad")
+
+
+def _level_sql(name: str, above: str, of: str, group: str) -> str:
+    """SQL of one level: sums, the parent's mean as the prior, the prior's strength by moments, and the shrunken mean. above: the parent's rows; group: what names a parent."""
+    keys = ", ".join(x for x in (group, of) if x)
+    by = f"GROUP BY {group}" if group else ""
+    on = f"USING ({group})" if group else "ON true"
+    return f"""
+{name}_p AS (SELECT s.*, a.mean AS prior FROM (SELECT {keys}, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY {keys}) s JOIN {above} a {on}),
+{name}_m AS (SELECT {group + ", " if group else ""}count(*) AS k, any_value(prior * (1 - prior)) AS v, sum(n * pow(bad / n - prior, 2)) / sum(n) AS spread, any_value(prior * (1 - prior)) * count(*)::DOUBLE / sum(n) AS drawn FROM {name}_p WHERE n > 0 {by}),
+{name}_s AS (SELECT *, CASE WHEN k > 1 AND v > drawn AND (spread - drawn) / (v - drawn) > 0 THEN least(greatest((1 - (spread - drawn) / (v - drawn)) / ((spread - drawn) / (v - drawn)), 1.0), 1e4) ELSE {STRENGTH} END AS strength FROM {name}_m),
+{name} AS (SELECT {keys}, n, bad, coalesce(strength, {STRENGTH})::DOUBLE AS strength, (bad + prior * coalesce(strength, {STRENGTH})::DOUBLE) / (n + coalesce(strength, {STRENGTH})::DOUBLE) AS mean FROM {name}_p LEFT JOIN {name}_s {on})"""
+
+
+def _rule_sql(value: str) -> str:
+    """CASE over the rules, the longest first."""
+    cases = []
+    for verdict, text in sorted(RULES, key=lambda r: (-len(r[1]), r[1])):
+        of, slash, start = text.partition("/")
+        cases.append(f"WHEN (host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{slash + start}') THEN '{text if value == 'rule' else verdict}'")
+    return f"CASE {' '.join(cases)} END"
+
+
+ORACLE_SQL = f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) END AS rest FROM pages),
+rows AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+outcomes AS (SELECT page_id, host, bad FROM rows LEFT JOIN known ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})([.][a-z]+)?/?$', 1) AS BIGINT)),
+hosts AS (
+  SELECT host, list_extract(string_split(host, '.'), -1) AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM outcomes GROUP BY host),
+top AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.0)::DOUBLE AS mean FROM hosts),
+{_level_sql("suffixes", "top", "suffix", "")},
+{_level_sql("domains", "suffixes", "domain", "suffix")},
+{_level_sql("judged", "domains", "host", "suffix, domain")},
+bound AS (SELECT host, mean, greatest(mean - {Z}::DOUBLE * sqrt(mean * (1 - mean) / (n + strength + 1)), 0.0) AS low FROM judged)
+SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("verdict")}, CASE WHEN low > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 9) AS bad_share, round(low, 9) AS bad_bound
+FROM rows LEFT JOIN bound USING (host)
+"""
