@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import stored, tidy
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -108,7 +108,7 @@ _SEEDS = _RNG.integers(0, 2**63, ROWS * BANDS, dtype=np.uint64)
 _FACTORS = _RNG.integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 
 
-def _batches(frames: Iterator[pd.DataFrame], most: int = 1_500_000) -> Iterator[pd.DataFrame]:
+def _batches(frames: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """Frames cut so that about most characters are looked at together."""
     for b in frames:
         sizes = b["text"].str.len().fillna(0).to_numpy()
@@ -145,6 +145,7 @@ def points(docs: DataFrame) -> DataFrame:
                     bands[i], counts[i] = key[row].view(np.int64), point[row]
             out["s1"], out["s2"], out["bands"], out["counts"] = s1.view(np.int64), s2.view(np.int64), bands, counts
             yield out
+        tidy()
 
     schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, counts array<int>"
     return docs.select("doc_id", "text").mapInPandas(run, schema)
@@ -191,13 +192,18 @@ class Tree:
 
 
 def _tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs a < b of documents that share a tile, or a block pair of it, belong to different components and may link by the bound. Rows come sorted by tile."""
+    """Pairs a < b of documents that share a tile, or a block pair of it, belong to different components and may link by the bound. Rows come sorted by tile; a pair that shares
+    more tiles comes out of the first alone."""
 
     def pairs(tile: pd.DataFrame) -> pd.DataFrame:
         doc, part = tile["doc_id"].to_numpy(), tile["component"].to_numpy()
         points = np.stack(tile["counts"].to_numpy())
         x, y = Tree(points).near(points)
         keep = (doc[x] < doc[y]) & (part[x] != part[y])
+        x, y = x[keep], y[keep]
+        bands = np.stack(tile["bands"].to_numpy())
+        band = int(np.flatnonzero(bands[0] == tile["key"].iloc[0])[0])
+        keep = ~(bands[x, :band] == bands[y, :band]).any(axis=1)
         return pd.DataFrame({"a": doc[x[keep]], "b": doc[y[keep]]}).drop_duplicates()
 
     held, out, rows = None, [], 0
@@ -216,6 +222,7 @@ def _tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out.append(pairs(held))
     if out:
         yield pd.concat(out, ignore_index=True)
+    tidy()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -271,7 +278,7 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     tiles = reps.select("doc_id", F.explode("bands").alias("key")).select("key", "doc_id", F.min("doc_id").over(w).alias("leader"), F.count("*").over(w).alias("n"))
     tiles = stored(tiles.filter("n > 1"), "tiles")
     met = stored(tiles.select("doc_id").distinct(), "met")
-    counted = stored(reps.join(met, "doc_id", "left_semi").select("doc_id", "counts"), "counts")
+    counted = stored(reps.join(met, "doc_id", "left_semi").select("doc_id", "counts", "bands"), "counts")
     sets = stored(_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi")), "shingles")
 
     of = lambda c: counted.select(F.col("doc_id").alias(c), F.col("counts").alias(f"_{c}"))
@@ -286,8 +293,8 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     blocks = F.ceil(F.col("n") / BLOCK)
     mine = F.pmod(F.xxhash64("doc_id"), blocks)
-    rest = marked.join(split, "key", "left_semi").join(counted, "doc_id").select("key", "doc_id", "component", "counts", mine.alias("_m"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_o"))
-    rest = rest.select("key", F.least("_m", "_o").alias("i"), F.greatest("_m", "_o").alias("j"), "doc_id", "component", "counts")
+    rest = marked.join(split, "key", "left_semi").join(counted, "doc_id").select("key", "doc_id", "component", "counts", "bands", mine.alias("_m"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_o"))
+    rest = rest.select("key", F.least("_m", "_o").alias("i"), F.greatest("_m", "_o").alias("j"), "doc_id", "component", "counts", "bands")
     more = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_tile_pairs, "a long, b long").distinct()
     more = stored(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(more, sets))
