@@ -19,6 +19,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CUT = "\uffff"
 
 
+HITS = "array<struct<start:int,end:int,raw:string>>"
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once: an expression that is named twice, or inside a lambda, would be evaluated each time."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -56,7 +59,7 @@ def find_all(c: Column, pattern: str, flags: str = FLAGS) -> Column:
     """array<struct<start, end, raw>> of the matches of a pattern, which must not match nothing. Matches and the gaps between them come from one pass each; a fold
     adds their lengths up. Null texts give null."""
     p = F.lit(flags + pattern)
-    start = record(at=F.lit(0), out=F.array().cast("array<struct<start:int,end:int,raw:string>>"))
+    start = record(at=F.lit(0), out=F.array().cast(HITS))
 
     def step(acc: Column, x: Column) -> Column:
         lo = acc["at"] + F.length(x["g"])
@@ -66,8 +69,10 @@ def find_all(c: Column, pattern: str, flags: str = FLAGS) -> Column:
 
     # A split by a pattern compiles it for every row; a replacement keeps it, and a split by one character needs none
     gaps = lambda t: F.split(F.regexp_replace(F.translate(t, CUT, " "), p, F.lit(CUT)), CUT, -1)
-    pairs = lambda t: F.arrays_zip(F.regexp_extract_all(t, p, F.lit(0)).alias("m"), gaps(t).alias("g"))
-    return let(c, lambda t: F.when(t.isNotNull(), F.aggregate(pairs(t), start, step, lambda acc: acc["out"])))
+    placed = lambda t, m: F.aggregate(F.arrays_zip(m.alias("m"), gaps(t).alias("g")), start, step, lambda acc: acc["out"])
+    # Most patterns are in few texts; the others are read once
+    found = lambda t: let(F.regexp_extract_all(t, p, F.lit(0)), lambda m: F.when(F.size(m) == 0, F.array().cast(HITS)).when(m.isNotNull(), placed(t, m)))
+    return let(c, found)
 
 
 def without_overlaps(hits: Column) -> Column:
