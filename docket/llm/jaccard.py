@@ -121,6 +121,7 @@ def points(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (a name of the set), bands (a key of each band; none for empty sets), counts (the point)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         for b in _batches(frames):
             full, cuts = shingle_sets([t or "" for t in b["text"]])
             n = np.diff(cuts)
@@ -203,9 +204,11 @@ def _tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y = x[keep], y[keep]
         bands = np.stack(tile["bands"].to_numpy())
         band = int(np.flatnonzero(bands[0] == tile["key"].iloc[0])[0])
-        keep = ~(bands[x, :band] == bands[y, :band]).any(axis=1)
+        block, i, j = tile["m"].to_numpy(), tile["i"].iloc[0], tile["j"].iloc[0]
+        keep = ~(bands[x, :band] == bands[y, :band]).any(axis=1) & (doc[x] != tile["leader"].iloc[0]) & ((i == j) | (block[x] != block[y]))
         return pd.DataFrame({"a": doc[x[keep]], "b": doc[y[keep]]}).drop_duplicates()
 
+    tidy()
     held, out, rows = None, [], 0
     for b in frames:
         b = b if held is None else pd.concat([held, b], ignore_index=True)
@@ -252,6 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         for b in _batches(frames):
             full, cuts = shingle_sets([t or "" for t in b["text"]])
             yield pd.DataFrame({"id": b["doc_id"].to_numpy(), "set": [full[x:y].view(np.int64) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]})
@@ -289,12 +293,12 @@ def similarity_components(docs: DataFrame) -> DataFrame:
     links = stored(verified(first.filter("may").select("a", "b"), sets), "links")
 
     joined = components(links)
-    marked = tiles.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    marked = tiles.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "leader", "n", F.coalesce("component", "doc_id").alias("component"))
     split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     blocks = F.ceil(F.col("n") / BLOCK)
     mine = F.pmod(F.xxhash64("doc_id"), blocks)
-    rest = marked.join(split, "key", "left_semi").join(counted, "doc_id").select("key", "doc_id", "component", "counts", "bands", mine.alias("_m"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_o"))
-    rest = rest.select("key", F.least("_m", "_o").alias("i"), F.greatest("_m", "_o").alias("j"), "doc_id", "component", "counts", "bands")
+    rest = marked.join(split, "key", "left_semi").join(counted, "doc_id").select("key", "doc_id", "leader", "component", "counts", "bands", mine.alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_o"))
+    rest = rest.select("key", F.least("m", "_o").alias("i"), F.greatest("m", "_o").alias("j"), "m", "leader", "doc_id", "component", "counts", "bands")
     more = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_tile_pairs, "a long, b long").distinct()
     more = stored(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(verified(more, sets))
