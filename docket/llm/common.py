@@ -45,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def tidy() -> None:
-    """Gives memory that a task of a Python worker no longer needs back to the system: the worker lives on, and the next stage runs beside it."""
+    """Gives memory that earlier tasks of a Python worker no longer need back to the system: workers live on from stage to stage."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call

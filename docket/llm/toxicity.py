@@ -24,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 SAMPLE = 1000  # documents of each class that the fit reads
 THRESHOLD = 0.7
 G_LEAST, RATIO_LEAST = 20.0, 3.0  # of a feature that marks words
 ROUNDS, RATE, RIDGE = 40, 0.3, 1e-4
 FEATURES = 7
-KNOWN = 400_000  # words that a worker remembers
+SLIGHT = 0.02  # weights below this go
+KNOWN = 150_000  # words that a worker remembers
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&-_…«»¡¿“”„’‘"
 FLAT = 30.0
 
@@ -205,7 +208,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         moments = [0.9 * moments[0] + 0.1 * both, 0.99 * moments[1] + 0.01 * both**2]
         step = RATE * (moments[0] / (1 - 0.9**k)) / (np.sqrt(moments[1] / (1 - 0.99**k)) + 1e-8)
         theta, bias, trans = theta - step[: len(theta)], bias - step[len(theta)], trans - step[len(theta) + 1 :].reshape(2, 2)
-    model.weights = {f: float(theta[i]) for f, i in index.items() if abs(theta[i]) > 1e-3}
+    theta[np.abs(theta) < SLIGHT] = 0
+    model.weights = {f: float(theta[i]) for f, i in index.items() if theta[i]}
     model.bias, model.trans = float(bias), trans
     x = model.suspicion(chains.marginals(np.clip((theta[of].sum(axis=1) + bias)[words], -FLAT, FLAT), trans)[0], n)
     doc = np.zeros(4)
@@ -250,10 +254,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     given = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by the sample's
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         model = given.value
         for b in batches:
             texts = [t or "" for t in b["text"]]
-            part = np.cumsum([len(t) for t in texts]) // 3_000_000  # characters that are looked at together
+            part = np.cumsum([len(t) for t in texts]) // 1_000_000  # characters that are looked at together
             scores, found = [], []
             for k in np.unique(part):
                 some = [texts[i] for i in np.flatnonzero(part == k)]
@@ -264,6 +269,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             if scores:
                 scores = np.concatenate(scores)
                 yield b.assign(score=scores, predicted=(scores >= threshold).astype("int32"), toxic_spans=found)
+        model.known.clear()
+        tidy()
 
     names = [c for c in docs.columns if c not in ("score", "predicted", "toxic_spans")]
     docs = docs.select(*names)
