@@ -75,65 +75,9 @@ DIGITS = {
     for d, w in enumerate(words.split())
 } | {"oh": "0", "zwo": "2", "fuenf": "5"}
 AT, DOT, DASH, PLUS = "at|arroba|arobase|ät", "dot|punkt|point|punto", "dash|hyphen|minus|bindestrich|tiret|guion", "plus|más"
-
-#: What the first transducer looks at: invisible characters, alphabets with look-alikes, digits of other scripts, and compatibility forms.
-ODD = re.compile(
-    "[\u00ad\u0131\u0196\u0251\u0261\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\u200b-\u200d\u2010-\u2013\u2022\u2024\u2060\u2219"
-    "\u2460-\u2468\ufe52\ufe6b\ufeff\uff01-\uff5e\U0001d400-\U0001d7ff]"
-)
 #: Last labels that an address of bare words may end in.
 ENDINGS = "com org net edu gov mil int info biz name io co me tv ai app dev eu de at ch fr es it pt nl be lu dk se no fi is ie uk us ca mx br ar cl pl cz sk hu ro bg gr tr ru ua jp cn in au nz za il"
-_DIGIT = re.compile(r"[^0-9]+")
-
-
-def luhn(digits: str) -> bool:
-    total = 0
-    for k, d in enumerate(map(int, reversed(digits))):
-        total += d if k % 2 == 0 else d * 2 - 9 * (d > 4)
-    return total % 10 == 0
-
 
-def emails(text: str) -> Iterator[tuple[int, int]]:
-    """Matches of EMAIL. A match lies inside one run of the characters it may hold; so only the runs around an @ are searched."""
-    at = text.find("@")
-    while at >= 0:
-        start = at
-        while start and (c := text[start - 1]) < "\x7f" and (c.isalnum() or c in "._%+-"):
-            start -= 1
-        end = ADDRESS.match(text, at).end()
-        for m in EMAIL.finditer(text, start, end):
-            yield m.span()
-        at = text.find("@", end)
-
-
-def plain(text: str) -> list[tuple[str, int, int]]:
-    """kind, start, end of what stands undisguised, by start and then kind as listed."""
-    out = [("email", *span) for span in emails(text)]
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
-            out.append(("ip", *m.span()))
-    for m in CARD.finditer(text):
-        if m.end() - m.start() >= 14 and 14 <= len(d := NO_DIGIT.sub("", m.group())) <= 19 and luhn(d):
-            out.append(("card", *m.span()))
-    if "+" in text:
-        for m in PHONE.finditer(text):
-            if 10 <= len(NO_DIGIT.sub("", m.group())) <= 15:
-                out.append(("phone", *m.span()))
-    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
-
-
-#: Look-alikes of ASCII letters beyond those that compatibility forms give, in alphabets order.
-LOOKALIKES = dict(zip("АВЕКМНОРСТУХЅІЈаеорсухѕіјԁһԛԝ", "ABEKMHOPCTYXSIJaeopcyxsijdhqw", strict=True)) | dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυχ", "ABEZHIKMNOPTYXaivopux", strict=True)) | dict(zip("ɑɡıƖ․‐‑‒–＠﹫∙•", "agil.----@@..", strict=True))
-INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-#: Digits from zero to nine in four languages, and other spellings.
-DIGITS = {
-    w: str(d)
-    for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve")
-    for d, w in enumerate(words.split())
-} | {"oh": "0", "zwo": "2", "fuenf": "5"}
-AT, DOT, DASH, PLUS = "at|arroba|arobase|ät", "dot|punkt|point|punto", "dash|hyphen|minus|bindestrich|tiret|guion", "plus|más"
-
-ODD = re.compile("[^\x00-\xac\xae-İĲ-ƕƗ-ɐɒ-ɠɢ-˿—-‡‣-∘√-⿿]")
 _DIGIT = "|".join(sorted(map(re.escape, DIGITS), key=len, reverse=True))
 _SIGN = f"{DOT}|{DASH}|{PLUS}|point"
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{PLUS})[ \t]+)?(?:(?:{_DIGIT}|[0-9]+)(?:[ \t]*[-,.][ \t]*|[ \t]+(?:(?:{DOT}|{DASH})[ \t]+)?)){{3,}}(?:{_DIGIT}|[0-9]+)(?!\w)", re.I)
@@ -185,6 +129,18 @@ def _plain_letter(c: str) -> str | None:
     return form if len(form) == 1 and form.isascii() and form.isprintable() else None
 
 
+def _odd() -> re.Pattern:
+    """All characters that _plain_letter maps, as ranges, and whole planes beyond U+FFFF, where many ranges are slow to search; what it doesn't map stays."""
+    codes = [k for k in range(0x80, 0x10000) if _plain_letter(chr(k)) is not None]
+    edges = [k for k in range(len(codes)) if k == 0 or codes[k] != codes[k - 1] + 1]
+    ranges = [f"{chr(codes[a])}-{chr(codes[b - 1])}" for a, b in zip(edges, [*edges[1:], len(codes)], strict=True)]
+    return re.compile(f"[{''.join(ranges)}\U00010000-\U0010ffff]")
+
+
+#: What the first transducer looks at: invisible characters, look-alikes, digits of other scripts, and compatibility forms.
+ODD = _odd()
+
+
 def look_alikes(m: Mapped) -> Mapped:
     return m.rewrite([(x.start(), x.end(), new) for x in ODD.finditer(m.text) if (new := _plain_letter(x.group())) is not None])
 

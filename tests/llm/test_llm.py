@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import defaultdict
 
@@ -161,6 +162,21 @@ def test_pii_finds(text, want):
     assert [f"{k}:{text[a:b]}" for k, a, b in pii.spans(text)[1]] == want
 
 
+def test_pii_looks_at_every_character_it_can_map():
+    mapped = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if pii._plain_letter(c) is not None]
+    assert {*pii.INVISIBLE, *pii.LOOKALIKES} <= set(mapped) and all(map(pii.ODD.fullmatch, mapped))
+    for c in pii.INVISIBLE:
+        assert pii.written(pii.spans(f"to al{c}ice@exam{c}ple.com")[1]) == "email:3:22"
+    for c, sign in pii.LOOKALIKES.items():
+        text = f"xy@exam{c}ple" + (f"{c}com" if sign == "." else ".com") if sign != "@" else f"xy{c}example.com"
+        assert ("email", 0, len(text)) in pii.spans(text)[1], c
+    card = "①②③④⑤⑥⑦⑧①②③④⑤⑥⑧"
+    digit = next(d for d in "①②③④⑤⑥⑦⑧⑨" if pii.luhn("".join(str("①②③④⑤⑥⑦⑧⑨".index(x) + 1) for x in card + d)))
+    assert pii.written(pii.spans(card + digit)[1]) == "card:0:16"
+    text = "mail a.b@example․com"
+    assert pii.redacted(text, pii.spans(text)[1]) == "mail <EMAIL>"
+
+
 def test_pii_base(docs, empty):
     def base(t):
         out = [("email", *m.span()) for m in pii.EMAIL.finditer(t)] + [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
