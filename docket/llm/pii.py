@@ -93,6 +93,16 @@ _LAST = re.compile(r"[a-z0-9-]+$", re.I)
 SPACED = re.compile(r"[A-Za-z0-9._%+-]+(?:[ \t]+@[ \t]*|[ \t]*@[ \t]+)[A-Za-z0-9-]+(?:[ \t]*\.[ \t]*[A-Za-z0-9-]+)+")
 
 
+#: What BARE, MIXED and SPELLED with dots all hold.
+DOTTED = re.compile(rf"[ \t](?:{DOT})[ \t]", re.I)
+WORD_BORDER = re.compile(r"\W+")
+
+
+def _lower(text: str) -> str:
+    """Lower case in which a dotted capital I, which the patterns take for an i, is one."""
+    return text.replace("\u0130", "i").lower()
+
+
 class Mapped:
     """A text in which each character stands for source characters from start to end; changed marks those that a transducer wrote."""
 
@@ -152,7 +162,7 @@ def spelled_digits(m: Mapped) -> Mapped:
         if units.count("digit") < 3 and units.count("dot") < 3:
             continue
         for x in _UNIT.finditer(m.text, *run.span()):
-            new = DIGITS[x["digit"].lower()] if x["digit"] else "." if x["dot"] else "-" if x["dash"] else "+" if x["plus"] else "" if x["gap"] else None
+            new = DIGITS[_lower(x["digit"])] if x["digit"] else "." if x["dot"] else "-" if x["dash"] else "+" if x["plus"] else "" if x["gap"] else None
             if new is not None:
                 edits.append((*x.span(), new))
     return m.rewrite(edits)
@@ -168,18 +178,18 @@ def signs(m: Mapped) -> Mapped:
     return m.rewrite([(x.start() + y.start(), x.start() + y.end(), "") for x in SPACED.finditer(m.text) if any(m.changed[x.start() : x.end()]) for y in re.finditer(r"[ \t]+", x.group())])
 
 
-def _suspect(text: str, low: str) -> bool:
-    """Whether a disguise may be there at all; what it lets through is only looked at more closely."""
+def _suspect(text: str) -> bool:
+    """Whether a disguise may be there at all: what each transducer needs for its first edit, by its own patterns. What it lets through is only looked at more closely."""
     return bool(
         ODD.search(text)
         or BRACKETED.search(text)
-        or any(f" {w} " in low for w in DOT.split("|"))
-        or sum(map(DIGITS.__contains__, low.replace("-", " ").replace(",", " ").split())) >= 3
+        or DOTTED.search(text)
+        or sum(map(DIGITS.__contains__, WORD_BORDER.split(_lower(text)))) >= 3  # a spelled digit of a run is a word of its own
     )
 
 
 def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    if not _suspect(text, text.lower()):
+    if not _suspect(text):
         return []
     m = signs(spelled_digits(look_alikes(Mapped(text))))
     if not any(m.changed):

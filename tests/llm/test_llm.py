@@ -177,6 +177,32 @@ def test_pii_looks_at_every_character_it_can_map():
     assert pii.redacted(text, pii.spans(text)[1]) == "mail <EMAIL>"
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("anna at example\tdot\tcom", ["email:anna at example\tdot\tcom"]), ("anna@example\tDOT\tcom", ["email:anna@example\tDOT\tcom"]), ("plus four.nine.one.seven.one.two.three.four.five.six.seven", ["phone:plus four.nine.one.seven.one.two.three.four.five.six.seven", "ip:four.nine.one.seven", "ip:one.two.three.four"]),
+    ("(plus 49 171 2 3 4 five six seven)", ["phone:plus 49 171 2 3 4 five six seven"]), ("192\tdot\t168\tdot\t1\tdot\t1", ["ip:192\tdot\t168\tdot\t1\tdot\t1"]), ("plus four nine one seven one two three four five s\u0130x seven", ["phone:plus four nine one seven one two three four five s\u0130x seven"]),
+])
+def test_pii_gate_lets_disguises_through(text, want):
+    assert [f"{k}:{text[a:b]}" for k, a, b in pii.spans(text)[1]] == want
+
+
+def test_pii_gate_changes_nothing(monkeypatch):
+    pick = lambda x: x[int(RNG.integers(len(x)))]
+    blank, texts = lambda: pick([" ", "\t", "  ", " \t"]), []
+    case = lambda w: pick([w, w.upper(), w.title(), w.replace("i", "\u0130")])
+    dot, at, digit = (lambda: case(pick(pii.DOT.split("|")))), (lambda: case(pick(pii.AT.split("|")))), (lambda: case(pick([*pii.DIGITS])))
+    for _ in range(1500):
+        about = pick([("", ""), ("(", ")"), ("see\n", "."), ('"', '"'), ("x ", " y")])
+        sign = lambda w, s: pick([lambda: blank() + w + blank(), lambda: f"[{w}]", lambda: f" ( {s} ) ", lambda: s, lambda: blank() + s + blank()])()
+        mail = "anna" + sign(at(), "@") + "example" + sign(dot(), ".") + "com"
+        gap = pick([" ", "\t", ".", ",", "-", " - ", ". ", f" {pick(['dot', 'dash', 'punkt'])} "])
+        number = pick(["plus ", "", "+"]) + gap.join(pick([digit(), digit(), str(int(RNG.integers(300)))]) for _ in range(int(RNG.integers(3, 17))))
+        ip = (blank() + dot() + blank()).join(pick([str(int(RNG.integers(256))), digit()]) for _ in range(4))
+        texts.append(about[0] + pick([mail, number, ip]) + about[1])
+    gated = [pii.spans(t) for t in texts]
+    monkeypatch.setattr(pii, "_suspect", lambda *_: True)
+    assert gated == [pii.spans(t) for t in texts] and sum(len(every) > len(base) for base, every in gated) > 300
+
+
 def test_pii_base(docs, empty):
     def base(t):
         out = [("email", *m.span()) for m in pii.EMAIL.finditer(t)] + [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
