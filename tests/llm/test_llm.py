@@ -76,6 +76,32 @@ def test_radius_search_finds_all(spark):
     assert got == {v: sum((v ^ x).bit_count() <= 6 for x in values) for v in values}
 
 
+def test_fingerprints_find_near_copies(spark):
+    rows, near = [], 0
+    for k in range(40):
+        base = prose(300).split()
+        copy = list(base)
+        for at in RNG.choice(300, 6, replace=False):
+            copy[at] = "edited"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        near += len(a & b) >= 0.8 * len(a | b)
+    out = {r.doc_id: r for r in fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string"), query_every=2).collect()}
+    ints = {i: int(r.fingerprint, 16) for i, r in out.items()}
+    assert near >= 30 and sum(out[2 * k].n_near >= 1 for k in range(40)) >= 39
+    assert all(out[2 * k].n_near == sum((ints[2 * k] ^ x).bit_count() <= fingerprints.RADIUS for x in ints.values()) - 1 for k in range(40))
+
+
+@pytest.mark.parametrize("radius", [0, 13, 26])
+def test_wide_radius_search_finds_all(spark, radius):
+    values = [int(RNG.integers(0, 2**62)) << 66 | int(RNG.integers(0, 2**62)) << 2 for _ in range(4)]
+    values = sorted({*values, *(v ^ sum(1 << int(b) for b in RNG.choice(128, n, replace=False)) for v in values for n in (1, 12, 13, 14, 25, 26, 27) for _ in range(8))})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    index = spark.createDataFrame([(signed(v & (2**64 - 1)), signed(v >> 64), 1, k) for k, v in enumerate(values)], "f1 long, f2 long, n long, id long")
+    got = {r.f1 % 2**64 | (r.f2 % 2**64) << 64: (r.n_near, r.near_min) for r in fingerprints.within_radius(index, index.select("f1", "f2"), radius).collect()}
+    assert got == {v: (len(near := [k for k, x in enumerate(values) if (v ^ x).bit_count() <= radius]), near[0]) for v in values}
+
+
 def test_lines(spark, empty):
     rows = [(k, "h" if k else None, f"Menu\n{prose(3)}\n \tMenu\nown {k}\n") for k in range(30)] + [(99, "h", None), (98, "h", ""), (97, "one", "Menu")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_host", F.lit("clash"))
