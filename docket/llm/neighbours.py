@@ -6,7 +6,7 @@ enough candidates; those are compared exactly. Prefixes have no fixed length and
 
 Spark deals the vectors to shards of bounded size and the queries to blocks; a task holds one shard's forest and one block, so that nothing depends on how vectors crowd.
 
-Defined results: vectors that are null, zero, of another length than the longest, or that hold null or non-finite components take no part, nor do null ids. A query is never its own
+Defined results: vectors that are null, zero, or that hold null or non-finite components take no part, nor do null ids. A query has neighbours among the vectors of its own length. It is never its own
 neighbour; rows of one id are one candidate, with the best of their scores. Ties go to the smaller id. Without candidates a query has no rows; an empty table gives an empty result.
 Other columns of the input are not read.
 """
@@ -14,6 +14,7 @@ Other columns of the input are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -48,8 +49,10 @@ class Forest:
         signs = (x @ _planes(x.shape[1], self.trees, self.bits) > 0).reshape(len(x), self.trees, self.bits)
         return (signs @ (np.int64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.int64))).T.copy()
 
-    def candidates(self, queries: np.ndarray, least: int):
-        """For each query, the places of its candidates: all vectors that share its first d bits in some tree, for the largest d that gives at least so many, trees counted apart."""
+    def candidates(self, queries: np.ndarray, least: int, names: np.ndarray | None = None):
+        """For each query, the places of its candidates: all vectors that share its first d bits in some tree, for the largest d that gives at least so many, trees counted apart.
+        names: numbers of the vectors from 0; those with one number count as one."""
+        count = np.count_nonzero if names is None else lambda met: np.count_nonzero(np.bincount(names[met]))
         strings = self.strings(queries)
         lo = np.zeros((self.bits + 1, self.trees, len(queries)), np.int64)
         hi = np.full_like(lo, self.sorted.shape[1])
@@ -68,7 +71,7 @@ class Forest:
             while True:
                 for t in range(self.trees):
                     met[self.order[t, lo[d, t, q] : hi[d, t, q]]] = True
-                if d == 0 or met.sum() >= least:
+                if d == 0 or count(met) >= least:
                     break
                 d -= 1
             yield np.flatnonzero(met)
@@ -78,14 +81,25 @@ def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.n
     """query_id, vec_id, score of the k best candidates of each query among some vectors."""
     norms = np.sqrt((x * x).sum(axis=1))
     unit = x / norms[:, None]
+    names, name = np.unique(ids, return_inverse=True)
+    least = max(LEAST, k + 1, int(share * len(names)))  # the query itself may be among them
+    if len(names) <= least:
+        every = itertools.repeat(np.arange(len(x)), len(queries))
+    else:
+        every = Forest(unit).candidates(queries / np.sqrt((queries * queries).sum(axis=1))[:, None], least, name if len(names) < len(ids) else None)
     out = []
-    for q, own, found in zip(queries, query_ids, Forest(unit).candidates(queries / np.sqrt((queries * queries).sum(axis=1))[:, None], max(LEAST, int(share * len(x)))), strict=True):
+    for q, own, found in zip(queries, query_ids, every, strict=True):
         found = found[ids[found] != own]
         if not len(found):
             continue
         rough = unit[found] @ q
-        if len(found) > k:  # near ties stay until the exact scores are known
-            found = found[rough >= np.partition(rough, -k)[-k] - 1e-9 * np.abs(rough).max()]
+        of = rough
+        if len(names) < len(ids):  # the best row of each id
+            of = np.full(len(names), -np.inf)
+            np.maximum.at(of, name[found], rough)
+            of = of[of > -np.inf]
+        if len(of) > k:  # near ties stay until the exact scores are known
+            found = found[rough >= np.partition(of, -k)[-k] - 1e-9 * np.abs(rough).max()]
         score = (x[found] * q).sum(axis=1) / (norms[found] * np.sqrt((q * q).sum()))
         best = {}
         for i, s in zip(ids[found].tolist(), score.tolist(), strict=True):
@@ -104,20 +118,19 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SHARE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of queries among vectors; both have vec_id and embedding."""
     held = stored(usable(vectors), "vectors")
-    sized = held.agg(F.max(F.size("v")), F.count("*")).first()
-    dim, n = sized[0] or 0, sized[1]
-    asked = stored(usable(queries).filter(F.size("v") == dim).distinct(), "queries")
+    n = held.count()
+    asked = stored(usable(queries).distinct(), "queries")
     shards, blocks = max(1, -(-n // shard)), max(1, -(-asked.count() // block))
-    deal = lambda df, own, n, other, m: df.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), "vec_id", "v")
+    deal = lambda df, own, n, other, m: df.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.size("v").alias("dim"), "vec_id", "v")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return nearest(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), k, share)
 
-    index = deal(held.filter(F.size("v") == dim), "shard", shards, "block", blocks)
+    index = deal(held, "shard", shards, "block", blocks)
     given = deal(asked, "block", blocks, "shard", shards)
-    found = index.groupBy("shard", "block").cogroup(given.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
+    found = index.groupBy("shard", "block", "dim").cogroup(given.groupBy("shard", "block", "dim")).applyInPandas(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

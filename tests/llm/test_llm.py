@@ -132,6 +132,27 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0 and neighbours.search(df.filter("vec_id = 0"), df.filter("vec_id = 0")).count() == 0
 
 
+def test_neighbours_with_repeated_ids_and_other_lengths(spark):
+    x = RNG.standard_normal((400, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1 + k % 3, (x[0] + 0.01 * RNG.standard_normal(8)).tolist()) for k in range(150)]  # three near ids many times
+    rows += [(1000 + k, RNG.standard_normal(20).tolist()) for k in range(3)]  # over-long ones
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.search(df, df.filter("vec_id in (0, 1000)"), share=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    best = defaultdict(lambda: -2.0)
+    for i, v in rows:
+        if len(v) == 8 and i:
+            v = np.array(v)
+            best[i] = max(best[i], v @ x[0] / np.sqrt((v @ v) * (x[0] @ x[0])))
+    assert got[0] == sorted(best, key=lambda i: -best[i])[:5] and set(got[1000]) == {1001, 1002}
+    few = df.filter("vec_id < 6")
+    assert neighbours.search(few, few.filter("vec_id = 0").limit(1)).count() == 5
+    names = np.array([k if k < 400 else 1 + (k - 400) % 3 for k in range(550)])
+    found = neighbours.nearest(names, np.array([v for _, v in rows[:550]]), np.array([0]), x[:1], 100, 0.01)
+    assert len(set(found["vec_id"])) == len(found) == 100
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
