@@ -6,6 +6,7 @@ or bracketed "at" and "dot" become signs. Identifiers found in the rewritten tex
 
 Defined results: null and empty texts have no spans, and base_sha256 of nothing. Offsets are code points, ends are exclusive. Matches that fail a kind's test are dropped and not tried again. An added
 span never lies inside a plain one of its kind, but may hold one. Repeated rows are treated alike. An empty table gives an empty result. Other columns of the input are not read.
+Texts may be of any length: no pattern looks at a stretch of text more than a fixed number of times.
 """
 
 from __future__ import annotations
@@ -13,19 +14,20 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import tidy
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")  # what fails at a number's first digit fails at the others
+CARD = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-ADDRESS = re.compile(r"[A-Za-z0-9._%+@-]*")
 NO_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -37,16 +39,18 @@ def luhn(digits: str) -> bool:
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
-    """Matches of EMAIL. A match lies inside one run of the characters it may hold; so only the runs around an @ are searched."""
-    at = text.find("@")
+    """An @ with a domain after it and all characters before it that a name may hold, back to the match before."""
+    at, last = text.find("@"), 0
     while at >= 0:
-        start = at
-        while start and (c := text[start - 1]) < "\x7f" and (c.isalnum() or c in "._%+-"):
-            start -= 1
-        end = ADDRESS.match(text, at).end()
-        for m in EMAIL.finditer(text, start, end):
-            yield m.span()
-        at = text.find("@", end)
+        domain = DOMAIN.match(text, at + 1)
+        if domain:
+            start = at
+            while start > last and (c := text[start - 1]) < "\x7f" and (c.isalnum() or c in "._%+-"):
+                start -= 1
+            if start < at:
+                yield start, domain.end()
+                last = domain.end()
+        at = text.find("@", at + 1)
 
 
 def plain(text: str) -> list[tuple[str, int, int]]:
@@ -76,21 +80,25 @@ DIGITS = {
 } | {"oh": "0", "zwo": "2", "fuenf": "5"}
 AT, DOT, DASH, PLUS = "at|arroba|arobase|ät", "dot|punkt|point|punto", "dash|hyphen|minus|bindestrich|tiret|guion", "plus|más"
 #: Last labels that an address of bare words may end in.
-ENDINGS = "com org net edu gov mil int info biz name io co me tv ai app dev eu de at ch fr es it pt nl be lu dk se no fi is ie uk us ca mx br ar cl pl cz sk hu ro bg gr tr ru ua jp cn in au nz za il"
+ENDINGS = frozenset("com org net edu gov mil int info biz name io co me tv ai app dev eu de at ch fr es it pt nl be lu dk se no fi is ie uk us ca mx br ar cl pl cz sk hu ro bg gr tr ru ua jp cn in au nz za il".split())
 
 _DIGIT = "|".join(sorted(map(re.escape, DIGITS), key=len, reverse=True))
 _SIGN = f"{DOT}|{DASH}|{PLUS}|point"
 SPELLED = re.compile(rf"(?<!\w)(?:(?:{PLUS})[ \t]+)?(?:(?:{_DIGIT}|[0-9]+)(?:[ \t]*[-,.][ \t]*|[ \t]+(?:(?:{DOT}|{DASH})[ \t]+)?)){{3,}}(?:{_DIGIT}|[0-9]+)(?!\w)", re.I)
 _UNIT = re.compile(rf"(?P<digit>{_DIGIT})(?!\w)|(?P<own>[0-9]+)|(?P<dot>(?:{DOT})(?!\w))|(?P<dash>(?:{DASH})(?!\w))|(?P<plus>(?:{PLUS})(?!\w))|(?P<sign>[-.])|(?P<gap>[ \t,]+)", re.I)
-BRACKETED = re.compile(rf"\s*[\[({{<]\s*(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\s*[\])}}>]\s*", re.I)
-#: Bare words count only together: something "at" something "dot" something.
-BARE = re.compile(rf"(?<![\w.%+-])[a-z0-9_%+-]+(?:[ \t]+(?:{DOT})[ \t]+[a-z0-9_%+-]+|\.[a-z0-9_%+-]+)*(?P<at>[ \t]+(?:{AT})[ \t]+)[a-z0-9-]+(?:\.[a-z0-9-]+)*[ \t]+(?:{DOT})[ \t]+[a-z0-9-]+(?:(?:[ \t]+(?:{DOT})[ \t]+|\.)[a-z0-9-]+)*", re.I)
+BRACKETED = re.compile(rf"(?:(?<!\s)\s+)?[\[({{<]\s*(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\s*[\])}}>]\s*", re.I)
+_DOTS = rf"[ \t]+(?:{DOT})[ \t]+"
+#: Bare words count only together: something "at" something "dot" something. From the "at" on; what is before it is read backwards, in the mirrored text.
+BARE = re.compile(rf"(?<=[a-z0-9_%+-])[ \t]+(?:{AT})[ \t]+[a-z0-9-]+(?:\.[a-z0-9-]+)*{_DOTS}[a-z0-9-]+(?:(?:{_DOTS}|\.)[a-z0-9-]+)*", re.I)
+_MIRRORED = "|".join(w[::-1] for w in DOT.split("|"))
+BEFORE = re.compile(rf"[a-z0-9_%+-]+(?:(?:[ \t]+(?:{_MIRRORED})[ \t]+|\.)[a-z0-9_%+-]+)*(?![\w.%+-])", re.I)
 #: The same where one of the two is a sign.
-MIXED = re.compile(rf"(?<![\w.%+-])[a-z0-9._%+-]+[ \t]*@[ \t]*[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:[ \t]+(?:{DOT})[ \t]+[a-z0-9-]+)+", re.I)
+MIXED = re.compile(rf"(?<![\w.%+-])[a-z0-9._%+-]+[ \t]*@[ \t]*[a-z0-9-]+(?:\.[a-z0-9-]+)*(?:{_DOTS}[a-z0-9-]+)+", re.I)
 _WORD_SIGN = re.compile(rf"[ \t]+(?:(?P<at>{AT})|(?P<dot>{DOT}))[ \t]+|[ \t]*(?P<sign>@)[ \t]*", re.I)
-_LAST = re.compile(r"[a-z0-9-]+$", re.I)
-#: Blanks about signs are disguises only where another one is.
-SPACED = re.compile(r"[A-Za-z0-9._%+-]+(?:[ \t]+@[ \t]*|[ \t]*@[ \t]+)[A-Za-z0-9-]+(?:[ \t]*\.[ \t]*[A-Za-z0-9-]+)+")
+_NO_LABEL = re.compile(r"[^A-Za-z0-9-]")
+#: Blanks about signs are disguises only where another one is. From the name's last character on.
+SPACED = re.compile(r"(?<=[A-Za-z0-9._%+-])(?:[ \t]+@[ \t]*|@[ \t]+)[A-Za-z0-9-]+(?:[ \t]*\.[ \t]*[A-Za-z0-9-]+)+")
+BLANKS = re.compile(r"[ \t]+")
 
 
 #: What BARE, MIXED and SPELLED with dots all hold.
@@ -106,9 +114,9 @@ def _lower(text: str) -> str:
 class Mapped:
     """A text in which each character stands for source characters from start to end; changed marks those that a transducer wrote."""
 
-    def __init__(self, text: str, offset: int = 0):
-        self.text, self.start = text, list(range(offset, offset + len(text)))
-        self.end, self.changed = [i + 1 for i in self.start], [False] * len(text)
+    def __init__(self, text: str):
+        self.text, self.start, self.changed = text, np.arange(len(text)), np.zeros(len(text), bool)
+        self.end = self.start + 1
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> Mapped:
         """The text with each place from a to b, in order, written as given; all characters written stand for the whole place."""
@@ -120,12 +128,17 @@ class Mapped:
                 self.changed[at] = True
             text += [self.text[at:a], new]
             gone = not new if a > at or new else gone
-            lo, hi = (self.start[a], self.end[b - 1]) if a < b else (0, 0)
-            out.start += [*self.start[at:a], *[lo] * len(new)]
-            out.end += [*self.end[at:a], *[hi] * len(new)]
-            out.changed += [*self.changed[at:a], *[True] * len(new)]
             at = b
         out.text = "".join(text)
+        cut = np.array([(a, b, len(new)) for a, b, new in edits], np.int64)
+        # Kept stretches and edits by turns: where each begins in the old text, and how much of the new one it gives
+        begin = np.stack([np.concatenate([[0], cut[:, 1]]), np.concatenate([cut[:, 0], [len(self.text)]])], axis=1).ravel()[:-1]
+        given = np.stack([np.concatenate([cut[:, 0], [len(self.text)]]) - begin[::2], np.concatenate([cut[:, 2], [0]])], axis=1).ravel()[:-1]
+        of = np.repeat(np.arange(len(given)), given)
+        kept = of % 2 == 0
+        at = begin[of] + np.where(kept, np.arange(len(of)) - (np.cumsum(given) - given)[of], 0)
+        until = np.where(kept, at, np.concatenate([cut[:, 1], [0]])[of // 2] - 1)
+        out.start, out.end, out.changed = self.start[at], self.end[until], ~kept | self.changed[at]
         return out
 
 
@@ -168,14 +181,37 @@ def spelled_digits(m: Mapped) -> Mapped:
     return m.rewrite(edits)
 
 
+def _bare(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses of bare words."""
+    mirrored, last = None, 0
+    for x in BARE.finditer(text):
+        mirrored = text[::-1] if mirrored is None else mirrored
+        before = BEFORE.match(mirrored, len(text) - x.start(), len(text) - last)
+        if before:
+            yield len(text) - before.end(), x.end()
+            last = x.end()
+
+
+def _spaced(text: str) -> Iterator[tuple[int, int, int]]:
+    """Addresses with blanks about their signs: start, where the name ends, end."""
+    last = 0
+    for x in SPACED.finditer(text):
+        start = x.start()
+        while start > last and (c := text[start - 1]) < "\x7f" and (c.isalnum() or c in "._%+-"):
+            start -= 1
+        yield start, x.start(), x.end()
+        last = x.end()
+
+
 def signs(m: Mapped) -> Mapped:
     m = m.rewrite([(x.start(), x.end(), "@" if x["at"] else ".") for x in BRACKETED.finditer(m.text)])
-    edits = []
-    for run in sorted((x.span() for p in (BARE, MIXED) for x in p.finditer(m.text)), key=lambda s: (s[0], -s[1])):
-        if (not edits or run[0] >= edits[-1][1]) and _LAST.search(m.text, *run).group().lower() in ENDINGS.split():
-            edits += [(x.start(), x.end(), "." if x["dot"] else "@") for x in _WORD_SIGN.finditer(m.text, *run)]
+    edits, last = [], 0
+    for a, b in sorted([*_bare(m.text), *(x.span() for x in MIXED.finditer(m.text))], key=lambda s: (s[0], -s[1])):
+        if a >= last and _NO_LABEL.split(m.text[max(a, b - 8) : b])[-1].lower() in ENDINGS:
+            edits += [(x.start(), x.end(), "." if x["dot"] else "@") for x in _WORD_SIGN.finditer(m.text, a, b)]
+            last = b
     m = m.rewrite(edits)
-    return m.rewrite([(x.start() + y.start(), x.start() + y.end(), "") for x in SPACED.finditer(m.text) if any(m.changed[x.start() : x.end()]) for y in re.finditer(r"[ \t]+", x.group())])
+    return m.rewrite([(*y.span(), "") for a, at, b in _spaced(m.text) if m.changed[a:b].any() for y in BLANKS.finditer(m.text, at, b)])
 
 
 def _suspect(text: str) -> bool:
@@ -192,14 +228,16 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
     if not _suspect(text):
         return []
     m = signs(spelled_digits(look_alikes(Mapped(text))))
-    if not any(m.changed):
+    if not m.changed.any():
         return []
-    taken: dict[str, list[tuple[int, int]]] = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
+    own = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}  # of a kind, in order and apart from each other
+    starts = {k: [a for a, _ in x] for k, x in own.items()}
     out = []
     for kind, a, b in plain(m.text):
-        if any(m.changed[a:b]):
-            lo, hi = m.start[a], m.end[b - 1]
-            if not any(x <= lo and hi <= y for x, y in taken[kind]):
+        if m.changed[a:b].any():
+            lo, hi = int(m.start[a]), int(m.end[b - 1])
+            before = bisect_right(starts[kind], lo) - 1
+            if before < 0 or own[kind][before][1] < hi:
                 out.append((kind, lo, hi))
     return out
 
@@ -225,19 +263,20 @@ def redacted(text: str, found: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans, n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans, n_spans, n_added."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         for b in batches:
             rows = []
             for text in b["text"]:
                 base, found = spans(text or "")
-                rows.append((*(sum(k == kind for k, _, _ in found) for kind in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(found), len(found) - len(base)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                rows.append((*(sum(k == kind for k, _, _ in found) for kind in KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(found), len(found), len(found) - len(base)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"])
             out.insert(0, "doc_id", pd.array(b["doc_id"], "Int64"))
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long")
 
 
 def redact(docs: DataFrame) -> DataFrame:
