@@ -21,6 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import holding, tidy
+
 LONG = 40  # bytes from which a piece contracts all pairs of its minimum rank at a step
 STEPS = 64  # of a recursive query, before its state is written anew
 CHUNK = 20_000  # pieces given to a query at once
@@ -163,10 +165,14 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+holding("bpe", codec.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy("bpe")
         for b in batches:
             texts = [t or "" for t in b["text"]]
             rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()) for ids, back in codec(path, pattern)(texts)]

@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -22,14 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Own folders by application, where the cluster names none.
+#: Own folders by application, where nothing names one.
 _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset, as in tests, a new local one."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset and everything runs in one machine, as in tests, a new local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="docket-")
@@ -37,15 +40,49 @@ def scratch(spark: SparkSession) -> str:
     return base
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: a lost executor costs no recomputation, and Spark knows the size for its choice of join."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    return to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which goes when the driver ends."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    files, to = _files(spark, path)
+    files.deleteOnExit(to)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables that nothing reads any more."""
+    files, to = _files(spark, path)
+    files.delete(to, True)
+
+
+def stored(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
+    """df written once to the shared folder, or to a folder made there, and read back: a lost executor costs no recomputation, and Spark knows the size for its choice of join."""
+    spark = df.sparkSession
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: What empties the memory of each operator's module in a Python worker.
+_HOLDING: dict[str, Callable[[], None]] = {}
+
+
+def holding(name: str, clear: Callable[[], None]) -> None:
+    _HOLDING[name] = clear
 
 
-def tidy() -> None:
-    """Gives memory that earlier tasks of a Python worker no longer need back to the system: workers live on from stage to stage."""
+def tidy(own: str = "") -> None:
+    """Gives back to the system the memory that earlier tasks of a Python worker no longer need: workers live on from stage to stage. What an operator remembers
+    (own) stays for its next tasks, what others do goes."""
+    for name, clear in _HOLDING.items():
+        if name != own:
+            clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import holding, stored, tidy
 
 TREES, BITS = 128, 32
 SHARE = 0.3  # of a shard's vectors that are candidates at least
@@ -35,6 +35,9 @@ def _planes(dim: int, trees: int, bits: int) -> np.ndarray:
     return np.random.default_rng(11).standard_normal((dim, trees * bits))
 
 
+holding("neighbours", _planes.cache_clear)
+
+
 class Forest:
     """Sorted arrays of the bit strings of some vectors, one for each tree."""
 
@@ -124,6 +127,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     deal = lambda df, own, n, other, m: df.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.size("v").alias("dim"), "vec_id", "v")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tidy("neighbours")
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         return nearest(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), k, share)

@@ -2,16 +2,17 @@
 
 Each open sequence has residual capacities of tokens, documents and attention cost (the sum of squared piece lengths). Pieces come longest first; of the
 sequences that fit under every constraint, one takes the piece: the one whose residual vector, after it, has the least weighted norm, or the one with the largest
-weighted dot product of demand and residual.
+weighted dot product of demand and residual. As few sequences as possible are asked for, so the defaults of the other two capacities are those that a full sequence
+of tokens implies: they only weigh in the score there, and bind where a caller lowers them.
 
 Defined results: null and empty texts are one piece with the end token alone. Repeated rows are packed as often as they occur. A null id is kept. An empty table
-gives an empty result. Other columns of the input are not read. Documents are never dropped or shortened; only those longer than a sequence are cut.
+gives an empty result. Other columns of the input are not read. Documents are never dropped or shortened; only those longer than a sequence are cut. Ids are those of the
+tokenizers library without special tokens added; where a text holds the string of an added token, that library gives its id, and so does this.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import re
 import zlib
@@ -19,18 +20,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import stored, tidy
+from .common import holding, stored, tidy
 
 LENGTH = 2048
 SHARD = 8192  # pieces that are packed together
-KNOWN = 800_000  # words that a worker remembers
+BLOCK = 4_000_000  # bytes of text whose words are looked at together
+KNOWN = 64_000_000  # bytes of words and ids that a worker remembers, as estimated
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-
+#: The rules of a vocabulary file under which words between blanks don't touch each other and SPLIT cuts as the file does.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters beyond which a word is left to the whole tokenizer: for the others, the case folding and the split by classes are plain.
 RARE = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u017f"
@@ -44,65 +50,94 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+def _understood(spec: dict) -> bool:
+    """Whether the rules of a file are those that Words works by."""
+    steps, model = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}], spec["model"]
+    return (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0].get("invert") is True and steps[0].get("behavior") == "Removed"
+        and len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("ignore_merges"))
+        and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    )
+
+
 class Words:
-    """Ids of a vocabulary with word ends, as little-endian unsigned 32-bit integers. Words between blanks don't touch each other, so each one met is encoded once;
-    the parts of plain words go to the library's merges many at a time, other words to the whole tokenizer."""
+    """Ids of a vocabulary with word ends. Words between blanks don't touch each other, so each distinct one of a block of texts is looked up once, and its ids are dealt to its
+    places by array operations. The parts of plain words go to the library's merges many at a time; words with rare characters or an added token's string go to the whole
+    tokenizer, and so do whole texts where the file's rules are others."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
-        self.tokenizer.encode_special_tokens = True
-        self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
-        vocab = spec["model"]["vocab"]
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[k for t, k in vocab.items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
-        self.known: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: set[str], other: list[str]) -> None:
-        """words: lower-case ones without rare characters; other: any."""
-        whole = {w for w in words if w.isalpha()}
-        cut = {w: SPLIT.findall(w) for w in words - whole}
-        needed = whole.union(*cut.values())
-        fresh = list(needed - self.parts.keys())
-        if len(self.parts) + len(fresh) > KNOWN:
-            self.parts = {x: self.parts[x] for x in needed & self.parts.keys()}
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = _understood(spec)
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.known: dict[str, bytes] = {}
+        self.size = 0
+        if self.plain:
+            self.merges = Tokenizer(self.tokenizer.model)  # the same tables
+            self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocab, end = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[k for t, k in vocab.items() if t.endswith(end)]] = True
+            self.letters = str.maketrans({chr(b): c for b, c in enumerate(_byte_letters())})
+
+    def _parts(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of lower-case words that the merges take as they are."""
+        out, words = {}, list(words)
+        for i in range(0, len(words), 10_000):
+            some = words[i : i + 10_000]
             text = " ".join(some).encode().decode("latin-1").translate(self.letters).replace(self.letters[32], " ")
             ids = np.array(self.merges.encode(text, add_special_tokens=False).ids, "<u4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
-            self.parts.update(zip(some, (raw[a:b] for a, b in itertools.pairwise(cuts)), strict=True))
-        get = self.parts.__getitem__
-        self.known.update(zip(whole, map(get, whole)))
+            out.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        whole, cut, other = {}, {}, []
+        for w in words:
+            if (not w.isascii() and RARE.search(w)) or any(t in w for t in self.added):
+                other.append(w)
+            elif w.isalpha():
+                whole[w] = w.lower()
+            else:
+                cut[w] = SPLIT.findall(w.lower())
+        get = self._parts(set(whole.values()).union(*cut.values())).__getitem__
+        self.known.update(zip(whole, map(get, whole.values()), strict=True))
         self.known.update((w, b"".join(map(get, x))) for w, x in cut.items())
-        self.known.update(zip(other, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)), strict=True))
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            split, rare, size = [], [], 0
-            while at < len(texts) and size < 4_000_000:  # characters whose words are held at once
-                text = texts[at]
-                odd = RARE.search(text) is not None
-                words = (text if odd else text.lower()).replace("\n", " ").split(" ")
-                split.append(words)
-                rare.append(odd)
-                size += len(text)
-                at += 1
-            plain = set().union(*(w for w, odd in zip(split, rare, strict=True) if not odd))
-            other = set().union(*(w for w, odd in zip(split, rare, strict=True) if odd))
-            fresh, beyond = plain - self.known.keys(), other - self.known.keys() - plain
-            if len(self.known) + len(fresh) + len(beyond) > KNOWN:
-                self.known = {"": b""} | {w: self.known[w] for w in (plain | other) & self.known.keys()}
-            self.learn(fresh | {w for w in beyond if w.islower() and not RARE.search(w)}, [w for w in beyond if not w.islower() or RARE.search(w)])
-            for text in split:
-                yield b"".join(map(self.known.__getitem__, text))
+        for i in range(0, len(other), 1000):
+            some = other[i : i + 1000]
+            self.known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+
+    def _of(self, words: list[str]) -> list[bytes]:
+        fresh = [w for w in words if w not in self.known]
+        self.size += sum(map(len, fresh)) * 3 + 200 * len(fresh)
+        if self.size > KNOWN:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+            self.size = sum(map(len, words)) * 3 + 200 * len(words)
+        self._learn(fresh)
+        return list(map(self.known.__getitem__, words))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        if not self.plain:
+            ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        ids = self._of(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], n)
+        return flat[place], np.diff(ends[split.offsets.to_numpy()])
 
 
 @functools.lru_cache(maxsize=1)
@@ -113,21 +148,57 @@ def _encoder(path: str) -> Words:
     return Words(path)
 
 
+holding("packing", _encoder.cache_clear)
+
+
+def _in_parts(text: str, most: int = BLOCK) -> Iterator[str]:
+    """A long text cut at blanks, which are left out, into parts of about most characters."""
+    at = 0
+    while at < len(text):
+        ends = [k for k in (text.find(" ", at + most), text.find("\n", at + most)) if k >= 0]
+        yield text[at : min(ends, default=len(text))]
+        at = min(ends, default=len(text)) + 1
+
+
+def _encoded(words: Words, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The first row of a block of texts, their ids one after the other, and how many each has."""
+    sizes = pc.binary_length(texts).to_numpy()
+    block = np.cumsum(sizes) // BLOCK
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        long = np.flatnonzero(sizes[lo:hi] > BLOCK) + lo if words.plain else []
+        for a, b in zip([lo, *(x for i in long for x in (i, i + 1))], [*(x for i in long for x in (i, i + 1)), hi], strict=True):
+            if a < b and a in long:
+                ids = np.concatenate([words(pa.array([part]))[0] for part in _in_parts(texts[int(a)].as_py())])
+                yield a, ids, np.array([len(ids)], np.int64)
+            elif b > a:
+                yield a, *words(texts.slice(a, b - a))
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the end token, cut where there are more than length."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tidy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy("packing")
+        last = end.to_bytes(4, "little")
         for b in batches:
-            rows = []
-            for doc, ids in zip(b["doc_id"], _encoder(path)([t or "" for t in b["text"]]), strict=True):
-                ids += end.to_bytes(4, "little")
-                rows += [(doc, k, k * length, len(cut) // 4, zlib.crc32(cut)) for k in range(-(-len(ids) // (4 * length))) for cut in (ids[4 * length * k : 4 * length * (k + 1)],)]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], "Int64")
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+            texts = b.column("text").fill_null("")
+            for first, ids, n in _encoded(_encoder(path), texts):
+                many = -(-(n + 1) // length)
+                row = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                lo = np.repeat(np.cumsum(n) - n, many) + piece * length
+                size = np.minimum(length, n[row] + 1 - piece * length)
+                closes = piece == many[row] - 1
+                raw = memoryview(np.ascontiguousarray(ids)).cast("B")
+                crc = [zlib.crc32(last, zlib.crc32(raw[4 * x : 4 * (x + k - 1)])) if c else zlib.crc32(raw[4 * x : 4 * (x + k)]) for x, k, c in zip(lo.tolist(), size.tolist(), closes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(pa.array(row + first)), pa.array(piece, pa.int32()), pa.array(piece * length, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        tidy("packing")
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, length: int, max_docs: int, max_cost: float, weights=(1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:

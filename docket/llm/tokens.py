@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .bpe import ranks
+from .common import holding, tidy
 
 SCHEMA = "doc_id long, section int, start long, end long, n_tokens double, n_crossing long"
 RULES = ("most", "first", "split")
@@ -35,6 +36,9 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=of, special_tokens={}), sizes
 
 
+holding("tokens", _encoding.cache_clear)
+
+
 def line_borders(text: str) -> list[int]:
     """Starts of the lines and the text's end, in code points."""
     out, at = [0], 0
@@ -89,6 +93,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, sections: str | None
         raise ValueError(f"rule must be one of {RULES}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy("tokens")
         encoding, size_of = _encoding(path, pattern)
         for b in batches:
             parts = []
