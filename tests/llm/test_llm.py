@@ -3,6 +3,7 @@
 import hashlib
 import re
 import sys
+import time
 import zlib
 from collections import defaultdict
 
@@ -170,6 +171,33 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_ids_equal_the_library(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "'s", "'LL", "!?", "...", "12", "İ", "ſ", "é", "e\u0301", "ﬁ", "漢字", "🙂", "\u200b", "\xa0", "\t", "\r\n", "\x1c", "Straße", "ŉ", "ǅ", "Ω"]
+    texts = []
+    for _ in range(20_000):
+        some = [str(RNG.choice(marks)) if RNG.random() < 0.5 else str(RNG.choice(WORDS)) for _ in range(int(RNG.integers(1, 7)))]
+        texts.append("".join(w + str(RNG.choice(["", " ", "\n", "  "])) for w in some))
+    assert sum("<|endoftext|>" in t for t in texts) > 100 and sum("<|startoftext|>" in t for t in texts) > 100
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "KNOWN", 300_000)
+    words = packing.Words(path)
+    got = [ids[a:b].tolist() for lo in range(0, len(texts), 500) for ids, n in [words(pa.array(texts[lo : lo + 500]))] for a, b in zip(np.cumsum(n) - n, np.cumsum(n))]
+    assert words.plain and got == want
+    words.plain = False  # as for a file with other rules
+    ids, n = words(pa.array(texts[:500]))
+    assert ids.tolist() == [k for x in want[:500] for k in x] and n.tolist() == [len(x) for x in want[:500]]
+    # Texts longer than a block, alone and in a row
+    monkeypatch.setattr(packing, "BLOCK", 300)
+    words.plain, given = True, [prose(200), prose(150), "short", "", prose(3), prose(400) + "\n" + "y" * 700, prose(90)]
+    rows = [(first + k, ids[a : a + c].tolist()) for first, ids, n in packing._encoded(words, pa.array(given)) for k, (a, c) in enumerate(zip(np.cumsum(n) - n, n))]
+    assert rows == [(k, tokenizer.encode(t, add_special_tokens=False).ids) for k, t in enumerate(given)]
+
+
 def test_best_fit_uses_few_sequences_under_every_constraint():
     sizes = RNG.integers(1, 1500, 3000)
     for rule in ("norm", "dot"):
@@ -251,13 +279,17 @@ def test_pii_gate_changes_nothing(monkeypatch):
 
 
 def test_pii_base(docs, empty):
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
     def base(t):
-        out = [("email", *m.span()) for m in pii.EMAIL.finditer(t)] + [("ip", *m.span()) for m in pii.IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
-        out += [("card", *m.span()) for m in pii.CARD.finditer(t) if 14 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(d)]
-        out += [("phone", *m.span()) for m in pii.PHONE.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+        out = [("email", *m.span()) for m in email.finditer(t)] + [("ip", *m.span()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+        out += [("card", *m.span()) for m in card.finditer(t) if 14 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and pii.luhn(d)]
+        out += [("phone", *m.span()) for m in phone.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
         return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
 
-    odd = ["@@a@b.c@d.e", "x" * 2000 + "@a.b", "1.2.3.4.5.6.7.8", "+1 2", "+12345678901 +1(23)456.78-90", *[t for t, _ in PERSONAL], *(t or "" for t in TEXTS)]
+    some = lambda n, of: ["".join(RNG.choice(list(of), int(RNG.integers(1, 40)))) for _ in range(n)]
+    odd = [*some(3000, "a1@.-_+ "), *some(3000, "0123 .-"), *some(2000, "+1 ().-23456789x"), "@@a@b.c@d.e", "x" * 2000 + "@a.b", "1.2.3.4.5.6.7.8", "+1 2", "+12345678901 +1(23)456.78-90", *[t for t, _ in PERSONAL], *(t or "" for t in TEXTS)]
     assert all(pii.plain(t) == base(t) for t in odd)
     rows = pii.find(docs).collect()
     assert len(rows) == len(ROWS) and all(r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in rows if not r.spans) and pii.find(empty).count() == 0
@@ -265,6 +297,19 @@ def test_pii_base(docs, empty):
     assert {r.text for r in masked if r.doc_id == 3} == {"to <EMAIL>!"} and any(r.text is None for r in masked)
 
 
+LONG_TEXTS = {
+    "word": "x" * 1_000_000 + "\u200b", "digits": "1" * 1_000_000 + " one two three", "dots": "a." * 500_000 + "\u200b", "spelled": "one " * 50_000 + "onex", "blanks": "x" + " " * 1_000_000 + "\u200b",
+    "name": "x" * 1_000_000 + "@!", "words": "a dot " * 160_000, "ats": "@ " * 500_000, "numbers": "1.2.3.4.5.6 " * 80_000, "at": "a at " * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG_TEXTS)
+def test_pii_takes_long_texts(name):
+    began = time.process_time()
+    base, every = pii.spans(LONG_TEXTS[name])
+    assert time.process_time() - began < 8 and len(every) == len(base) == (80_000 if name == "numbers" else 0)
+
+
 def test_jaccard(spark, docs, empty):
     more = []
     for k in range(40):  # chains of edits, copies, and a passage that many share
