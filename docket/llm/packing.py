@@ -31,7 +31,7 @@ from .common import holding, stored, tidy
 LENGTH = 2048
 SHARD = 8192  # pieces that are packed together
 BLOCK = 4_000_000  # bytes of text whose words are looked at together
-KNOWN = 64_000_000  # bytes of words and ids that a worker remembers, as estimated
+KNOWN = 64_000_000  # bytes of words and ids beyond which a worker forgets those that a block doesn't hold
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: The rules of a vocabulary file under which words between blanks don't touch each other and SPLIT cuts as the file does.
@@ -65,8 +65,8 @@ def _understood(spec: dict) -> bool:
 
 class Words:
     """Ids of a vocabulary with word ends. Words between blanks don't touch each other, so each distinct one of a block of texts is looked up once, and its ids are dealt to its
-    places by array operations. The parts of plain words go to the library's merges many at a time; words with rare characters or an added token's string go to the whole
-    tokenizer, and so do whole texts where the file's rules are others."""
+    places by array operations. Known words are one string array, and their ids one number array; only new words become Python strings. The parts of plain words go to the library's
+    merges many at a time; words with rare characters or an added token's string go to the whole tokenizer, and so do whole texts where the file's rules are others."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -75,9 +75,9 @@ class Words:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = _understood(spec)
-        self.added = [t["content"] for t in spec["added_tokens"]]
-        self.known: dict[str, bytes] = {}
-        self.size = 0
+        self.odd = re.compile("|".join([RARE.pattern, *(re.escape(t["content"]) for t in spec["added_tokens"])]))
+        self.known, self.flat = pa.array([], pa.string()), np.zeros(0, "<u4")
+        self.sizes = np.zeros(0, np.int32)
         if self.plain:
             self.merges = Tokenizer(self.tokenizer.model)  # the same tables
             self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -92,52 +92,58 @@ class Words:
         for i in range(0, len(words), 10_000):
             some = words[i : i + 10_000]
             text = " ".join(some).encode().decode("latin-1").translate(self.letters).replace(self.letters[32], " ")
-            ids = np.array(self.merges.encode(text, add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw = ids.tobytes()
             out.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        whole, cut, other = {}, {}, []
-        for w in words:
-            if (not w.isascii() and RARE.search(w)) or any(t in w for t in self.added):
-                other.append(w)
-            elif w.isalpha():
-                whole[w] = w.lower()
-            else:
-                cut[w] = SPLIT.findall(w.lower())
-        get = self._parts(set(whole.values()).union(*cut.values())).__getitem__
-        self.known.update(zip(whole, map(get, whole.values()), strict=True))
-        self.known.update((w, b"".join(map(get, x))) for w, x in cut.items())
+    def _learn(self, words: list[str]) -> list[bytes]:
+        odd = self.odd.search
+        other = [w for w in words if odd(w)]
+        of = {}
         for i in range(0, len(other), 1000):
             some = other[i : i + 1000]
-            self.known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-
-    def _of(self, words: list[str]) -> list[bytes]:
-        fresh = [w for w in words if w not in self.known]
-        self.size += sum(map(len, fresh)) * 3 + 200 * len(fresh)
-        if self.size > KNOWN:
-            self.known = {w: self.known[w] for w in words if w in self.known}
-            self.size = sum(map(len, words)) * 3 + 200 * len(words)
-        self._learn(fresh)
-        return list(map(self.known.__getitem__, words))
+            of.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        cut = [() if w in of else (w.lower(),) if w.isalpha() else SPLIT.findall(w.lower()) for w in words]
+        get = self._parts(set().union(*cut)).__getitem__
+        return [of[w] if w in of else get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for w, x in zip(words, cut, strict=True)]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """The places of distinct words among those known, when new ones are learnt."""
+        at = pc.index_in(words, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        there = at >= 0
+        fresh = words.filter(pa.array(~there))
+        if len(fresh):
+            if self.known.nbytes + self.flat.nbytes + self.sizes.nbytes > KNOWN:  # only words of this block stay
+                kept = at[there]
+                self.flat = _dealt(self.flat, self.sizes, kept)
+                self.known, self.sizes = self.known.take(pa.array(kept)), self.sizes[kept]
+                at[there] = np.arange(len(kept))
+            ids = self._learn(fresh.to_pylist())
+            at[~there] = len(self.known) + np.arange(len(ids))
+            self.known = pa.concat_arrays([self.known, fresh.cast(pa.string())])
+            self.sizes = np.concatenate([self.sizes, np.fromiter((len(x) // 4 for x in ids), np.int32, len(ids))])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+        return at
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and how many each has."""
         if not self.plain:
             ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(x) for x in ids], np.int64)
-        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.string()), "\n", " "), " ")
         words = split.flatten().dictionary_encode()
-        at = words.indices.to_numpy()
-        ids = self._of(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
-        n = sizes[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        place = np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], n)
-        return flat[place], np.diff(ends[split.offsets.to_numpy()])
+        at = self._places(words.dictionary)[words.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(self.sizes[at], dtype=np.int64)])
+        return _dealt(self.flat, self.sizes, at), np.diff(ends[split.offsets.to_numpy()])
+
+
+def _dealt(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """flat holds stretches of these sizes one after the other; those at the given places, one after the other."""
+    n = sizes[at].astype(np.int64)
+    shift = (np.cumsum(sizes, dtype=np.int64) - sizes)[at] - (np.cumsum(n) - n)
+    return flat[np.arange(n.sum()) + np.repeat(shift, n)]
 
 
 @functools.lru_cache(maxsize=1)
