@@ -3,11 +3,12 @@
 Only documents are labelled. So words are labelled first: a feature of words (the word, its first four to eight letters, its last four) that far more toxic than
 clean documents hold marks its words as toxic in the toxic ones. The field is fitted to these labels, with a chain for each line; forward-backward marginals then give
 each word its probability. A document's score is a logistic function of its largest marginal and of the sum of its marginals, fitted to the labels of documents.
-The fit reads at most SAMPLE labelled documents of each class, those with the smallest hashes of their ids, and never held-out ones. Scores see nothing but the text.
+The fit reads at most SAMPLE labelled documents of each class, those with the smallest hashes of their ids whose texts fit into CHARACTERS, and never held-out ones. Scores see
+nothing but the text.
 
 Defined results: null and empty texts have no words and the score of a text without any suspicion. Held out is a document whose crc32 of the id as text leaves 1 when divided by
-3; a null id isn't. Repeated label rows count as one, toxic if any says so; null labels don't count. Repeated documents are scored alike. Where a class has no
-labelled document, every score is 0. An empty table gives an empty result. Other columns of the input are not read.
+3; a null id isn't. Repeated label rows count as one, toxic if any says so; null labels don't count. Repeated documents are scored alike; of different
+texts with one id the fit reads the smallest. Where a class has no labelled document, every score is 0. An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import stored, tidy
 
 SAMPLE = 1000  # documents of each class that the fit reads
+CHARACTERS = 8_000_000  # of all texts that the fit reads; half of them for each class
 THRESHOLD = 0.7
 G_LEAST, RATIO_LEAST = 20.0, 3.0  # of a feature that marks words
 ROUNDS, RATE, RIDGE = 40, 0.3, 1e-4
@@ -220,17 +222,24 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from at most sample documents of each class; only their texts come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = CHARACTERS) -> Model:
+    """A model from at most sample documents of each class, whose texts have at most the given number of characters together; only these texts come to the driver."""
     known = labels.filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64("doc_id")
     picked = [r for y in (0, 1) for r in known.filter(F.col("toxic") == y).orderBy(rank, "doc_id").limit(sample).collect()]
     if not picked:
         return Model()
-    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # at most 2 * sample rows on either side
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text or "" for r in rows], np.array([bool(r.toxic) for r in rows], bool))
+    spark, schema = docs.sparkSession, "doc_id long, toxic int, place int"
+    chosen = spark.createDataFrame([(r.doc_id, r.toxic, k) for k, r in enumerate(picked)], schema)  # at most 2 * sample rows
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = stored(rows.groupBy("doc_id", "toxic", "place").agg(F.min("text").alias("text")), "sample")  # a row for each id, however often it occurs
+    left, fit_ids = [most / 2, most / 2], []
+    for r in sorted(rows.select("place", "doc_id", "toxic", F.length("text").alias("n")).collect()):
+        if r.n <= left[r.toxic]:
+            left[r.toxic] -= r.n
+            fit_ids.append((r.doc_id,))
+    texts = rows.join(F.broadcast(spark.createDataFrame(fit_ids, "doc_id long")), "doc_id").orderBy("doc_id").collect()
+    return train([r.text for r in texts], np.array([bool(r.toxic) for r in texts], bool))
 
 
 _WORD = re.compile(r"\S+")
