@@ -17,21 +17,21 @@ Shingles are compared by 64-bit hashes. Other columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import stored, tidy
+from .common import discard, folder, stored, tidy
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
 GROUPS = 128  # coordinates of a point
 ROWS, BANDS = 4, 50  # minima of a band; bands
 LEAF = 16  # points of a tree's leaf, and boxes of an inner node
-BLOCK = 512  # documents of a tile that meet in one task
+BLOCK = 2048  # documents of a tile that meet in one task
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -228,26 +228,26 @@ def _tile_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     tidy()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, within: str | None = None) -> DataFrame:
     """id, component (the smallest id that edges lead to) of every end of edges a, b. Each round points every id at its smallest neighbour, follows the pointers to
-    their ends, and goes on with the edges between different ends; each round's tables are stored."""
-    rest = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    their ends, and goes on with the edges between different ends; each round's tables are stored (in the folder within)."""
+    rest = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges", within)
     total = None
     while not rest.isEmpty():
         both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).select("id", F.least("id", "to").alias("to")), "pointers")
+        to = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("to")).select("id", F.least("id", "to").alias("to")), "pointers", within)
         while True:
             ahead = to.select(F.col("id").alias("to"), F.col("to").alias("then"))
-            far = stored(to.join(ahead, "to").select("id", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved")), "pointers")
+            far = stored(to.join(ahead, "to").select("id", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved")), "pointers", within)
             to, moved = far.select("id", "to"), not far.filter("moved").isEmpty()
             if not moved:
                 break
         of = lambda c: to.select(F.col("id").alias(c), F.col("to").alias(f"_{c}"))
-        rest = stored(rest.join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a <> b").distinct(), "edges")
+        rest = stored(rest.join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a <> b").distinct(), "edges", within)
         if total is None:
             total = to
         else:
-            total = stored(total.join(to.select(F.col("id").alias("to"), F.col("to").alias("then")), "to", "left").select("id", F.coalesce("then", "to").alias("to")), "pointers")
+            total = stored(total.join(to.select(F.col("id").alias("to"), F.col("to").alias("then")), "to", "left").select("id", F.coalesce("then", "to").alias("to")), "pointers", within)
     if total is None:
         return rest.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return total.select("id", F.col("to").alias("component"))
@@ -271,39 +271,80 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(DENOMINATOR * shared >= NUMERATOR * (sizes - shared)).select("a", "b").distinct()
 
 
-def similarity_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each document."""
-    known = stored(points(docs), "points")
+@dataclass
+class _Join:
+    """The stored tables of one join, all in one folder."""
+
+    where: str
+    known: DataFrame  # every row: doc_id, n_shingles, s1, s2
+    named: DataFrame  # s1, s2, rep of each distinct set
+    tiles: DataFrame  # key, doc_id, leader, n: representatives of tiles with more than one
+    counted: DataFrame  # doc_id, counts, bands of those
+    sets: DataFrame  # id, set of those
+    met: DataFrame  # a, b: pairs of a tile's smallest id and another one
+    links: DataFrame  # a, b: those of them that link
+
+    def grid(self, marked: DataFrame) -> DataFrame:
+        """Links that the trees of the tiles find between documents of different components. marked: the tiles with a component for each row."""
+        split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+        blocks = F.ceil(F.col("n") / BLOCK)
+        mine = F.pmod(F.xxhash64("doc_id"), blocks)
+        rest = marked.join(split, "key", "left_semi").join(self.counted, "doc_id").select("key", "doc_id", "leader", "component", "counts", "bands", mine.alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_o"))
+        rest = rest.select("key", F.least("m", "_o").alias("i"), F.greatest("m", "_o").alias("j"), "m", "leader", "doc_id", "component", "counts", "bands")
+        more = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_tile_pairs, "a long, b long").distinct()
+        more = stored(more.join(self.met.select("a", "b"), ["a", "b"], "left_anti"), "pairs", self.where)
+        return stored(verified(more, self.sets), "links", self.where)
+
+
+def _joined(docs: DataFrame) -> _Join:
+    """Copies collapsed, tiles dealt, and each tile's documents compared with its smallest id."""
+    where = folder(docs.sparkSession, "jaccard")
+    known = stored(points(docs), "points", where)
     some = known.filter("n_shingles > 0 and doc_id is not null")
-    named = stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "sets")
+    named = stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "sets", where)
     # One document for each distinct set goes on
     reps = some.join(named.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    w = W.partitionBy("key")
-    tiles = reps.select("doc_id", F.explode("bands").alias("key")).select("key", "doc_id", F.min("doc_id").over(w).alias("leader"), F.count("*").over(w).alias("n"))
-    tiles = stored(tiles.filter("n > 1"), "tiles")
-    met = stored(tiles.select("doc_id").distinct(), "met")
-    counted = stored(reps.join(met, "doc_id", "left_semi").select("doc_id", "counts", "bands"), "counts")
-    sets = stored(_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi")), "shingles")
+    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
+    # A tile with a large share of the rows is summed before it is shuffled, and Spark may split it in the join
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    tiles = stored(keyed.join(shared, "key").select("key", "doc_id", "leader", "n"), "tiles", where)
+    met = stored(tiles.select("doc_id").distinct(), "met", where)
+    counted = stored(reps.join(met, "doc_id", "left_semi").select("doc_id", "counts", "bands"), "counts", where)
+    sets = stored(_sets(docs.select("doc_id", "text").join(met, "doc_id", "left_semi")), "shingles", where)
 
     of = lambda c: counted.select(F.col("doc_id").alias(c), F.col("counts").alias(f"_{c}"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
     first = tiles.filter("doc_id > leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     bound = total(F.zip_with("_a", "_b", lambda x, y: F.least(x, y))) * (NUMERATOR + DENOMINATOR) >= (total(F.col("_a")) + total(F.col("_b"))) * NUMERATOR
-    first = stored(first.join(of("a"), "a").join(of("b"), "b").withColumn("may", bound).select("a", "b", "may"), "pairs")
-    links = stored(verified(first.filter("may").select("a", "b"), sets), "links")
-
-    joined = components(links)
-    marked = tiles.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "leader", "n", F.coalesce("component", "doc_id").alias("component"))
-    split = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("doc_id"), blocks)
-    rest = marked.join(split, "key", "left_semi").join(counted, "doc_id").select("key", "doc_id", "leader", "component", "counts", "bands", mine.alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_o"))
-    rest = rest.select("key", F.least("m", "_o").alias("i"), F.greatest("m", "_o").alias("j"), "m", "leader", "doc_id", "component", "counts", "bands")
-    more = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_tile_pairs, "a long, b long").distinct()
-    more = stored(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(verified(more, sets))
-
-    named = named.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = known.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", linked.alias("component_id"))
+    first = stored(first.join(of("a"), "a").join(of("b"), "b").withColumn("may", bound).select("a", "b", "may"), "pairs", where)
+    links = stored(verified(first.filter("may").select("a", "b"), sets), "links", where)
+    return _Join(where, known.select("doc_id", "n_shingles", "s1", "s2"), named, tiles, counted, sets, first, links)
+
+
+def _named(join: _Join, of: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and the columns that of has for rep, for each row."""
+    names = [c for c in of.columns if c != "rep"]
+    out = join.known.join(join.named.join(of, "rep", "left"), ["s1", "s2"], "left")
+    own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", *[F.when(own, F.coalesce(c, "rep")).otherwise(F.col("doc_id")).alias(c) for c in names])
+
+
+def similarity_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of each document."""
+    join = _joined(docs)
+    grouped = components(join.links, join.where)
+    marked = join.tiles.join(grouped.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "leader", "n", F.coalesce("component", "doc_id").alias("component"))
+    links = join.links.unionByName(join.grid(marked))
+    out = stored(_named(join, components(links, join.where).select(F.col("id").alias("rep"), F.col("component").alias("component_id"))), "components")
+    discard(docs.sparkSession, join.where)
+    return out
+
+
+def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links a < b between the smallest ids of different sets, and doc_id, n_shingles, class_id (the smallest id with the same set) of each document. Every link is verified, whether
+    or not others join its ends; links between equal sets are those of one class and aren't listed."""
+    join = _joined(docs)
+    links = stored(join.links.unionByName(join.grid(join.tiles.withColumn("component", F.col("doc_id")))).distinct(), "similar")
+    members = stored(_named(join, join.named.select("rep", F.col("rep").alias("class_id"))), "classes")
+    discard(docs.sparkSession, join.where)
+    return links, members
