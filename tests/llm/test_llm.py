@@ -67,6 +67,58 @@ def test_fingerprints(docs, empty):
             assert r.n_near is None
 
 
+def test_fingerprints_equal_a_brute_force_version(spark, docs):
+    def hashes(values):
+        """xxhash64 by Spark of rows of columns, as the votes are its bits."""
+        n = len(values[0])
+        df = spark.createDataFrame([(k, *v) for k, v in enumerate(values)], ", ".join(["k long", *(f"c{i} {'string' if isinstance(values[0][0], str) else 'long'}" for i in range(n))]))
+        return [r[0] for r in df.orderBy("k").select(F.xxhash64(*[f"c{i}" for i in range(n)])).collect()]
+
+    lower = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    texts = [t for t in TEXTS if words(t)]
+    some = sorted({w for t in texts for w in lower(t)})
+    code = {w: h & ~7 | min(len(w), 8) - 1 for w, h in zip(some, hashes([(w,) for w in some]))}
+    want = {}
+    for t in texts:
+        w = [code[x] for x in lower(t)]
+        grams = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        full, short = [g for g in grams if len(g) == 5], [g for g in grams if len(g) < 5]
+        terms = set(w) | {h | 7 for h in (hashes(full) if full else [])} | {h | 7 for h in (hashes(short) if short else [])}
+        votes = np.zeros(128, np.int64)
+        terms = sorted(terms)
+        first = hashes([(x,) for x in terms])
+        df = spark.createDataFrame([(k, x) for k, x in enumerate(terms)], "k long, x long")
+        second = [r[0] for r in df.orderBy("k").select(F.xxhash64("x", F.lit(1))).collect()]
+        for x, a, b in zip(terms, first, second):
+            bits = [(h >> i) & 1 for h in (a, b) for i in range(64)]
+            votes += (2 * np.array(bits) - 1) * ((x & 7) + 1)
+        half = lambda v: sum(1 << i for i in range(64) if v[i] > 0)
+        want[t] = f"{half(votes[:64]):016x}{half(votes[64:]):016x}"
+    rows = fingerprints.fingerprint_documents(docs, query_every=2).collect()
+    of = {i: t for i, t in ROWS if i is not None}
+    for r in rows:
+        if r.doc_id is not None and words(of[r.doc_id]) and r.n_chars == len(of[r.doc_id]):
+            assert r.fingerprint == want[of[r.doc_id]]
+    # Likenesses, row by row
+    ordered = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    alike = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+    assert all(r.near_edited == alike(r.fingerprint, r.edited_fingerprint) for r in rows)
+    single = [k for k, r in enumerate(ordered) if [x.doc_id for x in ordered].count(r.doc_id) == 1 and [x.doc_id for x in ordered].count(ordered[(k + 1) % len(ordered)].doc_id) == 1]
+    assert len(single) > 8 and all(ordered[k].near_next == alike(ordered[k].fingerprint, ordered[(k + 1) % len(ordered)].fingerprint) for k in single)
+
+
+@pytest.mark.parametrize("ids", [[7] * 50 + [8], [-(2**63), 2**63 - 1, 0], list(range(1000)), [k * 10**15 for k in range(-500, 500)], [0] * 300 + list(range(10**12, 10**12 + 300))])
+def test_ranges_of_ids_are_even(spark, ids, monkeypatch):
+    monkeypatch.setattr(fingerprints, "CELLS", 64)
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "doc_id long")
+    cuts = fingerprints._cuts(df, 10, min(ids), max(ids), len(ids))
+    assert cuts == sorted(set(cuts)) and len(cuts) < 11
+    got = {r.doc_id: r.b for r in df.filter("doc_id is not null").select("doc_id", fingerprints._between(F.col("doc_id"), cuts).alias("b")).collect()}
+    assert all(got[i] == sum(c <= i for c in cuts) for i in ids)
+    most = max(map(ids.count, set(ids)))
+    assert max(sum(got[i] == b for i in ids) for b in set(got.values())) <= max(2 * len(ids) / 10, most + len(ids) / 10) + 1
+
+
 def test_radius_search_finds_all(spark):
     base = int(RNG.integers(0, 2**62)) | int(RNG.integers(0, 2**62)) << 64
     flip = lambda n: base ^ sum(1 << int(b) for b in RNG.choice(128, n, replace=False))
@@ -335,6 +387,44 @@ def test_jaccard(spark, docs, empty):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_components(df).collect()]
     assert sorted(got, key=none_first) == sorted(((i, len(s), None if i is None else top(i)) for i, s in sets), key=none_first)
     assert jaccard.similarity_components(empty).count() == 0
+    # All links between classes of equal sets, also within a component
+    links, classes = jaccard.similarity_links(df)
+    first = {}
+    for i, a in sets:
+        if i is not None and a:
+            first[frozenset(a)] = min(i, first.get(frozenset(a), i))
+    reps = [(i, set(a)) for a, i in first.items()]
+    want = {(min(i, j), max(i, j)) for n, (i, a) in enumerate(reps) for j, b in reps[:n] if 100 * len(a & b) >= 80 * len(a | b)}
+    assert sorted(map(tuple, links.collect())) == sorted(want) and len(want) > 60
+    got = [(r.doc_id, r.class_id) for r in classes.collect()]
+    assert sorted(got, key=none_first) == sorted(((i, first[frozenset(a)] if i is not None and a else i) for i, a in sets), key=none_first)
+    assert jaccard.similarity_links(empty)[0].count() == 0
+
+
+def test_jaccard_takes_large_groups(spark, monkeypatch):
+    """A passage that many short documents share makes tiles of many unlike documents; a large group of near copies makes tiles of like ones."""
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    rows = [(k, SHARED + " " + prose(30)) for k in range(400)]
+    base = prose(150).split()
+    for k in range(400):
+        copy = list(base)
+        for at in RNG.choice(150, 2, replace=False):
+            copy[at] = f"edit{k}"
+        rows.append((1000 + k, " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [(i, shingles(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            if abs(i - j) < 500 and 100 * len(a & b) >= 80 * len(a | b):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    assert got == {i: top(i) for i, _ in rows}
 
 
 def test_tree_bound_loses_nothing():
@@ -352,7 +442,7 @@ def test_components_of_long_chains(spark):
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
 
 
-def test_toxicity(spark, docs, empty):
+def test_toxicity(spark, docs, empty, monkeypatch):
     bad = ["vilexa", "vilexon", "gromptar"]
     rows = [(2000 + k, prose(60) + (" " + " ".join(RNG.choice(bad, 3)) + "\n" + prose(20) if k % 3 == 0 else "\n" + prose(20))) for k in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(docs.select("doc_id", "text")).withColumn("score", F.lit("clash"))
@@ -365,6 +455,14 @@ def test_toxicity(spark, docs, empty):
     r = next(r for r in new if r.predicted)
     assert all(r.text[int(a) : int(b)].split()[0] in bad for a, b in (s.split(":") for s in r.toxic_spans.split(",")))
     assert len({r.score for r in out if not words(r.text)}) == 1
+    # A document that occurs many times is read once, and texts beyond the bound aren't read
+    many = df.select("doc_id", "text").unionByName(spark.range(10_000).select((2000 + F.col("id") % 4).alias("doc_id"), F.lit(LONG).alias("text")))
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: seen.append((texts, toxic)) or toxicity.Model())
+    toxicity.fit(many, labels, sample=50, most=30_000)
+    toxicity.fit(many, labels, sample=50)
+    assert all(sum(map(len, t)) <= most and len(t) == len(y) for (t, y), most in zip(seen, (30_000, toxicity.CHARACTERS))) and 20 < len(seen[0][0]) <= len(seen[1][0]) <= 100
+    monkeypatch.undo()
     assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()} == {0.0} and toxicity.score(empty, toxicity.Model()).count() == 0
 
 
