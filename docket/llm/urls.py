@@ -1,7 +1,10 @@
 """URL filter: fixed rules first, then empirical-Bayes host reputation.
 
 Labelled pages are good or bad. Bad shares shrink through beta-binomial priors: from the whole table to the suffix, to the registered domain, to the host.
-A host is blocked when the lower posterior bound of its bad share passes a limit.
+A host is blocked when the lower posterior bound of its bad share passes a limit, that is, when by its beta posterior the share is over the limit with at least the wanted
+probability. The beta distribution function is a continued fraction; posteriors of more than WIDE pages, which are as good as normal, are taken as normal.
+
+A page's label comes through the document whose number its url's path ends in; pages without one count for nothing in the reputations, but are judged like the others.
 
 Defined results: a null url, or one without ://, has an empty host and path; the empty host has a reputation of its own like any other. A host without labelled
 pages has its domain's prior, and so on up; without any label at all everything is allowed. Repeated pages keep their rows; their outcomes count as often as
@@ -10,6 +13,9 @@ they occur. Equal rules are one. An empty table gives an empty result. Other col
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +24,11 @@ from .common import stored
 #: (verdict, rule)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 LEVELS = ("suffix", "domain", "host")
+#: Public suffixes of two labels, under which a registered domain has three. A longer list may be given.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr", "co.nz", "co.za", "com.pl", "org.pl")
 MAX_BAD = 0.5
-Z = 1.645  # the bound holds with 95 %
+SURE = 0.95  # probability with which the bound holds
+STEPS, WIDE = 200, 10_000  # of the continued fraction, and pages up to which it is used
 STRENGTH = 20.0  # pages that the parent's share counts for, where the children's spread doesn't tell
 
 
@@ -39,14 +48,56 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return fit, verdict
 
 
-def _names(host: Column) -> dict[str, Column]:
-    """The suffix is the last label, the registered domain the last two."""
-    return {"suffix": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2), "host": host}
+def _names(host: Column, suffixes: Sequence[str]) -> dict[str, Column]:
+    """The suffix is the last label, or the last two where they are listed; the registered domain has one label more."""
+    last = lambda k: F.substring_index(host, ".", -k)
+    double = last(2).isin(*suffixes) if suffixes else F.lit(False)
+    return {"suffix": F.when(double, last(2)).otherwise(last(1)), "domain": F.when(double, last(3)).otherwise(last(2)), "host": host}
+
+
+def _log_gamma(z: Column) -> Column:
+    """By Stirling's series, eight steps up."""
+    y = z + 8.0
+    rest = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3.0))) + 1 / (1260 * F.pow(y, F.lit(5.0))) - 1 / (1680 * F.pow(y, F.lit(7.0)))
+    up = z
+    for k in range(1, 8):
+        up = up * (z + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + rest - F.log(up)
+
+
+def _fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    first = 1 / (1 - (a + b) * x / (a + 1))
+    state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    def half(s: Column, t: Column) -> Column:
+        d, c = 1 / (1 + t * s["d"]), 1 + t / s["c"]
+        return state(c, d, s["h"] * d * c)
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a - 1 + 2 * m) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
+        return half(half(s, even), odd)
+
+    steps = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda m: m.cast("double"))
+    return F.aggregate(steps, state(F.lit(1.0), first, first), step)["h"]
+
+
+def probability_over(mean: Column, n: Column, limit: float) -> Column:
+    """The probability that a share with the posterior Beta(mean n, (1 - mean) n) is over the limit."""
+    a, b, x = mean * n, (1 - mean) * n, F.lit(float(limit))
+    scale = F.exp(_log_gamma(n) - _log_gamma(a) - _log_gamma(b) + a * math.log(limit) + b * math.log(1 - limit))
+    low = limit < (a + 1) / (n + 2)  # where the fraction converges fast; else it is that of the other side
+    exact = F.when(low, 1 - scale * _fraction(a, b, x) / a).otherwise(scale * _fraction(b, a, 1 - x) / b)
+    # Beyond, a logistic curve that is within 0.0002 of the normal distribution function
+    z = (mean - limit) / F.sqrt(mean * (1 - mean) / (n + 1))
+    normal = 1 / (1 + F.exp(F.greatest(F.least(-1.5976 * z - 0.07056 * z * z * z, F.lit(700.0)), F.lit(-700.0))))
+    return F.when(a < 1e-9, 0.0).when(b < 1e-9, 1.0).when(n > WIDE, normal).otherwise(exact)
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """suffix, domain, host, n, bad, posterior mean and lower bound for each host of outcomes (host, n, bad: labelled pages and bad ones among them)."""
-    hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select("n", "bad", *[c.alias(k) for k, c in _names(F.col("host")).items()])
+def reputation(outcomes: DataFrame, max_bad: float = MAX_BAD, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """suffix, domain, host, n, bad, posterior mean, and probability of a bad share over max_bad for each host of outcomes (host, n, bad: labelled pages and bad ones among them)."""
+    hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).select("n", "bad", *[c.alias(k) for k, c in _names(F.col("host"), suffixes).items()])
     hosts = stored(hosts, "hosts")
     share = lambda n, bad, prior, strength: (bad + prior * strength) / (n + strength)
 
@@ -75,12 +126,11 @@ def reputation(outcomes: DataFrame) -> DataFrame:
         s = F.coalesce("strength", F.lit(STRENGTH))
         level = rows.select(*of, "n", "bad", "prior", s.alias("strength"), share(F.col("n"), F.col("bad"), F.col("prior"), s).alias("mean"))
         level = stored(level, f"reputation-{name}")
-    size = F.col("n") + F.col("strength") + 1
-    return level.withColumn("lower", F.greatest(F.col("mean") - Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / size), F.lit(0.0)))
+    return level.withColumn("over", probability_over(F.col("mean"), F.col("n") + F.col("strength"), max_bad))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD) -> DataFrame:
-    """page_id, host, path, rule, verdict, bad_share, bad_bound. labels: page_id, bad (0 or 1, null for none), a row for each labelled page.
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, sure: float = SURE, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule, verdict, bad_share, bad_probability. labels: page_id, bad (0 or 1, null for none), a row for each labelled page.
 
     Hosts with a third of all pages are summed before they are shuffled; the pages join a row for each host, broadcast only if its files are small.
     """
@@ -88,10 +138,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX
     rows = pages.select("page_id", *[c.alias(k) for k, c in split.items()])
     known = labels.groupBy("page_id").agg(F.max("bad").alias("bad"))
     outcomes = rows.join(known, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = stored(reputation(outcomes).select("host", F.col("mean").alias("bad_share"), F.col("lower").alias("bad_bound")), "judged")
+    hosts = stored(reputation(outcomes, max_bad, suffixes).select("host", F.col("mean").alias("bad_share"), F.col("over").alias("bad_probability")), "judged")
     fit, verdict = rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("bad_bound") > max_bad, "block").otherwise("allow")
-    return rows.join(hosts, "host", "left").select("page_id", "host", "path", fit.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bad_share", 9).alias("bad_share"), F.round("bad_bound", 9).alias("bad_bound"))
+    own = F.when(F.col("bad_probability") >= sure, "block").otherwise("allow")
+    return rows.join(hosts, "host", "left").select("page_id", "host", "path", fit.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.round("bad_share", 6).alias("bad_share"), F.round("bad_probability", 6).alias("bad_probability"))
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -122,19 +172,36 @@ def _rule_sql(value: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
+_LISTED = ", ".join(f"'{x}'" for x in SUFFIXES)
+_LAST = "array_to_string(list_slice(string_split(host, '.'), -{0}, -1), '.')"
 ORACLE_SQL = f"""
-WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) END AS rest FROM pages),
+WITH RECURSIVE cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) END AS rest FROM pages),
 rows AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 known AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
 outcomes AS (SELECT page_id, host, bad FROM rows LEFT JOIN known ON doc_id = try_cast(regexp_extract(path, '/([0-9]{{1,18}})([.][a-z]+)?/?$', 1) AS BIGINT)),
 hosts AS (
-  SELECT host, list_extract(string_split(host, '.'), -1) AS suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM outcomes GROUP BY host),
+  SELECT host, CASE WHEN {_LAST.format(2)} IN ({_LISTED}) THEN {_LAST.format(2)} ELSE {_LAST.format(1)} END AS suffix,
+    CASE WHEN {_LAST.format(2)} IN ({_LISTED}) THEN {_LAST.format(3)} ELSE {_LAST.format(2)} END AS domain, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM outcomes GROUP BY host),
 top AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.0)::DOUBLE AS mean FROM hosts),
 {_level_sql("suffixes", "top", "suffix", "")},
 {_level_sql("domains", "suffixes", "domain", "suffix")},
 {_level_sql("judged", "domains", "host", "suffix, domain")},
-bound AS (SELECT host, mean, greatest(mean - {Z}::DOUBLE * sqrt(mean * (1 - mean) / (n + strength + 1)), 0.0) AS low FROM judged)
-SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("verdict")}, CASE WHEN low > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 9) AS bad_share, round(low, 9) AS bad_bound
+posterior AS (SELECT host, mean, n + strength AS m, mean * (n + strength) AS a, (1 - mean) * (n + strength) AS b FROM judged),
+sides AS (SELECT *, {MAX_BAD} < (a + 1) / (m + 2) AS low FROM posterior),
+given AS (SELECT host, CASE WHEN low THEN a ELSE b END AS a, CASE WHEN low THEN b ELSE a END AS b, CASE WHEN low THEN {MAX_BAD}::DOUBLE ELSE 1 - {MAX_BAD}::DOUBLE END AS x FROM sides WHERE a >= 1e-9 AND b >= 1e-9 AND m <= {WIDE}),
+lentz AS (
+  SELECT host, a, b, x, 0::DOUBLE AS k, 1::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM given
+  UNION ALL
+  SELECT host, a, b, x, k + 1, 1 + t2 / c1, 1 / (1 + t2 * d1), h * d1 * c1 * (1 / (1 + t2 * d1)) * (1 + t2 / c1)
+  FROM (SELECT *, 1 / (1 + t1 * d) AS d1, 1 + t1 / c AS c1 FROM (
+    SELECT *, (k + 1) * (b - k - 1) * x / ((a + 1 + 2 * k) * (a + 2 + 2 * k)) AS t1, -(a + k + 1) * (a + b + k + 1) * x / ((a + 2 + 2 * k) * (a + 3 + 2 * k)) AS t2 FROM lentz WHERE k < {STEPS}))),
+fractions AS (SELECT host, h FROM lentz WHERE k = {STEPS}),
+bound AS (
+  SELECT host, mean, CASE WHEN a < 1e-9 THEN 0.0 WHEN b < 1e-9 THEN 1.0
+    WHEN m > {WIDE} THEN 1 / (1 + exp(greatest(least(-1.5976 * (mean - {MAX_BAD}) / sqrt(mean * (1 - mean) / (m + 1)) - 0.07056 * pow((mean - {MAX_BAD}) / sqrt(mean * (1 - mean) / (m + 1)), 3), 700.0), -700.0)))
+    WHEN low THEN 1 - exp(lgamma(m) - lgamma(a) - lgamma(b) + a * ln({MAX_BAD}::DOUBLE) + b * ln(1 - {MAX_BAD}::DOUBLE)) * h / a
+    ELSE exp(lgamma(m) - lgamma(a) - lgamma(b) + a * ln({MAX_BAD}::DOUBLE) + b * ln(1 - {MAX_BAD}::DOUBLE)) * h / b END AS over FROM sides LEFT JOIN fractions USING (host))
+SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("verdict")}, CASE WHEN over >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_share, round(over, 6)::DOUBLE AS bad_probability
 FROM rows LEFT JOIN bound USING (host)
 """
