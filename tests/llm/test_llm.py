@@ -490,6 +490,30 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labels.limit(0)).count() == 0 and urls.judge(pages, labels.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
 
 
+def test_posterior_probability(spark):
+    def brute(mean, n, limit, cells=200_000):
+        """Mass of the beta density over the limit, summed over cells."""
+        x = (np.arange(cells) + 0.5) / cells
+        log = (mean * n - 1) * np.log(x) + ((1 - mean) * n - 1) * np.log1p(-x)
+        w = np.exp(log - log.max())
+        return w[x > limit].sum() / w.sum()
+
+    cases = [(m, n, t) for m in (0.1, 0.4, 0.5, 0.55, 0.9) for n in (12.0, 30.0, 300.0, 5_000.0, 9_999.0, 20_000.0) for t in (0.3, 0.5)]
+    for limit in (0.3, 0.5):
+        mine = [(m, n) for m, n, t in cases if t == limit]
+        got = spark.createDataFrame(mine, "m double, n double").select("m", "n", urls.probability_over(F.col("m"), F.col("n"), limit).alias("p")).collect()
+        assert all(abs(r.p - brute(r.m, r.n, limit)) < 2e-3 for r in got)
+    edge = spark.createDataFrame([(0.0, 5.0), (1.0, 5.0)], "m double, n double").select(urls.probability_over(F.col("m"), F.col("n"), 0.5).alias("p")).collect()
+    assert [r.p for r in edge] == [0.0, 1.0]
+
+
+def test_registered_domains(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.shop.co.uk", "shop.co.uk", "co.uk", "a.b.com", "b.com", "com", "")], "host string")
+    assert [(r.suffix, r.domain) for r in hosts.select(*[c.alias(k) for k, c in urls._names(F.col("host"), urls.SUFFIXES).items()]).collect()] == [
+        ("co.uk", "shop.co.uk"), ("co.uk", "shop.co.uk"), ("co.uk", "co.uk"), ("com", "b.com"), ("com", "b.com"), ("com", "com"), ("", ""),
+    ]
+
+
 def test_token_counts(docs, empty):
     import tiktoken
 
