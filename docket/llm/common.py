@@ -15,11 +15,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table by name. Python workers that this session starts find the package, wherever the driver was started; on a cluster, ship it with --py-files."""
+BATCH = 1000  # rows of an Arrow batch: texts may be long, and a task holds a batch on both sides of its pipe
+
+
+def prepare(spark: SparkSession) -> None:
+    """What jobs on texts need of a session: small Arrow batches, and that Python workers which it starts find the package, wherever the driver was started; on a cluster, ship it with
+    --py-files."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, (root, env.get("PYTHONPATH"))))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table by name."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

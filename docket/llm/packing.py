@@ -30,8 +30,8 @@ from .common import holding, stored, tidy
 
 LENGTH = 2048
 SHARD = 8192  # pieces that are packed together
-BLOCK = 4_000_000  # bytes of text whose words are looked at together
-KNOWN = 64_000_000  # bytes of words and ids beyond which a worker forgets those that a block doesn't hold
+BLOCK = 1_000_000  # bytes of text whose words are looked at together
+KNOWN = 16_000_000  # bytes of words and ids beyond which a worker forgets those that a block doesn't hold
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: The rules of a vocabulary file under which words between blanks don't touch each other and SPLIT cuts as the file does.
