@@ -68,8 +68,8 @@ def find_all(c: Column, pattern: str, flags: str = FLAGS) -> Column:
         return record(at=hi, out=F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))))
 
     # A split by a pattern compiles it for every row; a replacement keeps it, and a split by one character needs none
-    gaps = lambda t: F.split(F.regexp_replace(F.translate(t, CUT, " "), p, F.lit(CUT)), CUT, -1)
-    placed = lambda t, m: F.aggregate(F.arrays_zip(m.alias("m"), gaps(t).alias("g")), start, step, lambda acc: acc["out"])
+    gaps = lambda t: F.split(F.regexp_replace(F.replace(t, F.lit(CUT), F.lit(" ")), p, F.lit(CUT)), CUT, -1)
+    placed = lambda t, m: F.aggregate(F.zip_with(m, gaps(t), lambda m, g: record(m=m, g=g)), start, step, lambda acc: acc["out"])
     # Most patterns are in few texts; the others are read once
     found = lambda t: let(F.regexp_extract_all(t, p, F.lit(0)), lambda m: F.when(F.size(m) == 0, F.array().cast(HITS)).when(m.isNotNull(), placed(t, m)))
     return let(c, found)

@@ -5,64 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let, record
-
-_BLANKS = " \t   "
+from .text import FLAGS, find_all, let, record
+
+_BLANKS = " \t\u00a0\u2007\u202f"
+_WHITE = f"[{_BLANKS}\f\r\n]"
+#: Stretches of white space of which the view has less than the text.
+SHORTENED = rf"(?={_WHITE})(?:\A{_WHITE}+|{_WHITE}{{2,}}|[\f\r]|{_WHITE}\z)"
+_NO_CAPITAL = r"\n\p{Ll}\p{Lt}\p{Lm}\p{Lo}"
+_GOES_ON = r"(?=[\p{Ll}\p{Nd},)–-])"
+#: A line of capitals and what may stand between them, before a line that would else go on with it.
+HEADING = rf"(?m)^([^{_NO_CAPITAL}]*\p{{Lu}}[^{_NO_CAPITAL}]*\p{{Lu}}[^{_NO_CAPITAL}]*)\n{_GOES_ON}"
+JOINED = rf"\n(?<![.:;!?]\n){_GOES_ON}(?![0-9]{{1,3}} ?\.(?![0-9]))"
+_KEPT = "\ufffe"  # a line feed that stays; no text holds this character by the standard
+
+
+def _text(original: Column) -> Column:
+    # Each pattern matches only where it changes something
+    bare = F.replace(F.replace(original, F.lit("\f"), F.lit("")), F.lit("\r"), F.lit(""))
+    lines = F.regexp_replace(F.regexp_replace(bare, f"[{_BLANKS}]+\n[{_BLANKS}\n]*|\n[{_BLANKS}\n]+", "\n"), f"[{_BLANKS[1:]}][{_BLANKS}]*| [{_BLANKS}]+", " ")
+    lines = F.trim(lines, F.lit(" \n"))
+    held = F.regexp_replace(lines, FLAGS + HEADING, f"$1{_KEPT}")
+    return F.replace(F.regexp_replace(held, FLAGS + JOINED, " "), F.lit(_KEPT), F.lit("\n"))
+
+
+def _moves(original: Column) -> Column:
+    """array<struct<at, kept, shift>>: of each shortened stretch, where it begins in the view, the place in the original of the character that stays of it (the last line feed, else the first blank;
+    at the ends of the text none), and how many characters are gone when it is over."""
+    size = F.length(original)
+    start = record(gone=F.lit(0), out=F.array().cast("array<struct<at:int,kept:int,shift:int>>"))
+
+    def step(acc: Column, h: Column) -> Column:
+        inner = (h["start"] > 0) & (h["end"] < size)
+        line = F.instr(F.reverse(h["raw"]), "\n")  # from the end, from 1; 0 where there is none
+        blank = F.length(F.regexp_extract(h["raw"], r"^[\f\r]*", 0))
+        kept = F.when(inner & (line > 0), h["end"] - line).when(inner & (h["start"] + blank < h["end"]), h["start"] + blank)
+        gone = acc["gone"] + h["end"] - h["start"] - F.when(kept.isNull(), 0).otherwise(1)
+        return record(gone=gone, out=F.concat(acc["out"], F.array(record(at=h["start"] - acc["gone"], kept=kept, shift=gone))))
+
+    return F.aggregate(find_all(original, SHORTENED), start, step, lambda acc: acc["out"])
 
 
 def view(original: Column) -> Column:
-    """struct<text, offs>: text is the view, offs its characters' places in the original and the original's length.
+    """struct<text, n, size, moves>: text is the view, n its length, size the original's; place() leads back.
 
     Form feeds and carriage returns go, blanks become one space, lines are trimmed and empty ones skipped. A line is joined to the one before it by a space where that one doesn't end a
     sentence and isn't a heading in capitals, and this one goes on: it starts with a small letter, a digit or one of ,)–- and not with a list number. Otherwise a line feed stays.
     """
-    bare = lambda x: F.trim(F.regexp_replace(F.translate(x, "\f\r", ""), f"[{_BLANKS}]+", " "))
-    blank = lambda s: s["c"].isin(*_BLANKS)
-    numbers = lambda *xs: F.array(*xs).cast("array<int>")
-
-    def kept(chars: Column) -> Column:
-        """Places of the characters of a line that aren't dropped: no blank at the start or after a blank, and none at the end."""
-        own = F.filter(chars, lambda s, i: ~blank(s) | ((i > 0) & ~blank(F.get(chars, i - 1))))
-        return let(own, lambda k: F.transform(F.slice(k, 1, F.size(k) - F.when((F.size(k) > 0) & blank(F.element_at(k, -1)), 1).otherwise(0)), lambda s: s["at"]))
-
-    def places(x: Column, start: Column) -> Column:
-        clean = x.rlike(rf"^[^\f\r{_BLANKS}]+( [^\f\r{_BLANKS}]+)*$")
-        chars = F.filter(F.transform(F.split(x, ""), lambda c, i: record(c=c, at=start + i)), lambda s: ~s["c"].isin("\f", "\r", ""))
-        return F.when(clean, F.sequence(start, start + F.length(x) - 1)).otherwise(let(chars, kept))
-
-    def joins(prev: Column, cur: Column) -> Column:
-        letters = F.regexp_replace(prev, r"[^\p{L}]", "")
-        heading = (F.length(letters) >= 2) & letters.rlike(r"^\p{Lu}+$")
-        goes_on = cur.rlike(r"^[\p{Ll}\p{Nd},)–-]") & ~F.substring(cur, 1, 8).rlike(r"^\d{1,3}\s?\.(?!\d)")
-        return ~prev.rlike(r"[.:;!?]$") & ~heading & goes_on
-
-    def glue(full: Column) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            sep = F.when(i == 0, "").when(joins(F.get(full, i - 1)["text"], s["text"]), " ").otherwise("\n")
-            return record(text=F.concat(sep, s["text"]), offs=F.concat(F.when(i == 0, numbers()).otherwise(numbers(s["start"] - 1)), places(s["line"], s["start"])))
-
-        return F.transform(full, one)
-
-    def with_starts(lines: Column) -> Column:
-        """Lines with their text and start; the empty ones are left out."""
-        first = record(at=F.lit(0), out=F.array().cast("array<struct<text:string,line:string,start:int>>"))
-
-        def step(acc: Column, x: Column) -> Column:
-            line = record(text=bare(x), line=x, start=acc["at"])
-            return record(at=acc["at"] + F.length(x) + 1, out=F.concat(acc["out"], F.array(line)))
-
-        return F.filter(F.aggregate(lines, first, step, lambda acc: acc["out"]), lambda s: s["text"] != "")
+    seen = lambda t: let(_text(t), lambda v: record(text=v, n=F.length(v), size=F.length(t), moves=_moves(t)))
+    return let(original, lambda t: F.when(t.isNotNull(), seen(t)))
 
-    def whole(parts: Column, text: Column) -> Column:
-        offs = F.concat(F.flatten(F.transform(parts, lambda p: p["offs"])), numbers(F.length(text)))
-        return record(text=F.array_join(F.transform(parts, lambda p: p["text"]), ""), offs=offs)
 
-    seen = lambda t: let(with_starts(F.split(t, "\n", -1)), lambda full: let(glue(full), lambda parts: whole(parts, t)))
-    return let(original, lambda t: F.when(t.isNotNull(), seen(t)))
+def origin(seen: Column, at: Column) -> Column:
+    """The place in the original of a character of the view; of its end, the original's end."""
+    moved = lambda m: F.when(m.isNull(), at).when((m["at"] == at) & m["kept"].isNotNull(), m["kept"]).otherwise(at + m["shift"])
+    last = F.try_element_at(F.filter(seen["moves"], lambda m: m["at"] <= at), F.lit(-1))
+    return F.when(at >= seen["n"], seen["size"]).otherwise(let(last, moved))
 
 
 def place(seen: Column, start: Column, end: Column) -> tuple[Column, Column]:
     """The span of the original that a span of the view stands for."""
-    offs = seen["offs"]
-    lo = F.get(offs, start)
-    return lo, F.when(start == end, lo).otherwise(F.get(offs, end - 1) + 1)
+    lo = origin(seen, start)
+    return lo, F.when(start == end, lo).otherwise(origin(seen, end - 1) + 1)

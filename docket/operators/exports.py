@@ -57,16 +57,32 @@ def dictionary(df: DataFrame, described: dict[str, str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column string, type string, description string")
 
 
-def provenance(exported: DataFrame, runs: DataFrame, corpus: DataFrame, criteria: str, channel: str) -> DataFrame:
-    """key, value: what an export is made of: criteria, runs and their time, documents exported and in the corpus, versions and channels."""
+def provenance(exported: DataFrame, runs: DataFrame, corpus: DataFrame, criteria: str, channel: str, requests: DataFrame, covered: DataFrame, version: str) -> DataFrame:
+    """key, value: what an export is made of: criteria, runs, their time and requests, documents that they covered and fetched (covered: nowy), that are exported and in the corpus, the
+    parse versions (version: a column of exported) and the channels."""
     ran = runs.agg(F.count("*").alias("runs"), F.min("started").alias("started"), F.max("finished").alias("finished"))
-    sizes = exported.agg(F.count("*").alias("exported"), F.array_join(F.array_sort(F.collect_set(channel)), ", ").alias("channels"))
-    wide = ran.join(F.broadcast(sizes)).join(F.broadcast(corpus.agg(F.count("*").alias("corpus")))).withColumn("criteria", F.lit(criteria))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), ", ")
+    sizes = exported.agg(F.count("*").alias("exported"), listed(channel).alias("channels"), listed(version).alias("versions"))
+    parts = (sizes, corpus.agg(F.count("*").alias("corpus")), requests.agg(F.count("*").alias("requests")), covered.agg(F.count("*").alias("covered"), F.count_if("nowy").alias("fetched")))
+    wide = ran
+    for one_row in parts:
+        wide = wide.join(F.broadcast(one_row))
+    wide = wide.withColumn("criteria", F.lit(criteria))
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in wide.columns])))
 
 
-def appendix(citations: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, appendix: the case numbers that a text cites, with how often, in the order of their first place."""
-    forms = citations.filter(F.col("canon").isNotNull()).groupBy(key, "canon").agg(F.count("*").alias("n"), F.min("start").alias("at"))
-    line = F.transform(F.array_sort(F.collect_list(F.struct("at", "canon", "n"))), lambda x: F.concat(F.lit("- "), x["canon"], F.lit(" ×"), x["n"].cast("string")))
+def appendix(citations: DataFrame, provisions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, appendix: the case numbers that a text cites and the provisions that it names, with how often, in the order of their first places; both from the text alone."""
+    cited = citations.filter(F.col("canon").isNotNull()).select(key, F.lit(0).alias("part"), F.col("canon").alias("name"), "start")
+    named = provisions.filter(F.col("source") == "tresc").select(key, F.lit(1).alias("part"), F.col("form").alias("name"), "start")
+    forms = cited.unionByName(named).groupBy(key, "part", "name").agg(F.count("*").alias("n"), F.min("start").alias("at"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("part", "at", "name", "n"))), lambda x: F.concat(F.lit("- "), x["name"], F.lit(" ×"), x["n"].cast("string")))
     return forms.groupBy(key).agg(F.array_join(line, "\n").alias("appendix"))
+
+
+def write_if_any(rows: DataFrame, write) -> bool:
+    """Writes rows by a function of them, unless there are none; whether there were."""
+    if rows.isEmpty():
+        return False
+    write(rows)
+    return True

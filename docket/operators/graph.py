@@ -18,9 +18,10 @@ def missing(citations: DataFrame, numbers: DataFrame, k: int, kinds: tuple[str,
     return absent.groupBy("canon").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("citing")).orderBy(F.desc("n"), "canon").limit(k)
 
 
-def placed(citations: DataFrame, sections: DataFrame, docs: DataFrame, around: int = 200, text: str = "text") -> DataFrame:
-    """Citations with the section they stand in and the text around them. The join is by document; offsets decide within it."""
-    spans = sections.select("doc_id", F.col("kind").alias("section"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    rows = citations.join(spans, "doc_id").filter((F.col("start") >= F.col("_a")) & (F.col("start") < F.col("_b"))).drop("_a", "_b")
-    lo = F.greatest(F.col("start") - around, F.lit(0))
-    return rows.join(docs.select("doc_id", F.col(text).alias("_t")), "doc_id").withColumn("context", F.substr("_t", lo + 1, F.col("end") + around - lo)).drop("_t")
+def placed(read: DataFrame, around: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, section, start, end, canon, kind, context: citations with the section they stand in and the text around them. read: documents with their text and the arrays of their structure, so
+    nothing is joined."""
+    rows = read.select(key, F.col(text).alias("_t"), "sections", F.explode("citations").alias("_c"))
+    section = F.get(F.filter("sections", lambda s: (F.col("_c.start") >= s["start"]) & (F.col("_c.start") < s["end"])), F.lit(0))["kind"]
+    lo = F.greatest(F.col("_c.start") - around, F.lit(0))
+    return rows.select(key, section.alias("section"), "_c.start", "_c.end", "_c.canon", "_c.kind", F.substr("_t", lo + 1, F.col("_c.end") + around - lo).alias("context"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from docket.functions.text import FLAGS, find_all, let, record
-from docket.functions.view import place, view
+from docket.functions.view import view
+
+from .sections import spans, within
 
 ACTS = ("pzp2004", "pzp2019", "kc", "kpc", "rozporzadzenie", "inne", "nieustalone")
 #: The grammar of a provision, and the marks of statutes in their order of precedence; a null act stands for the document's own procurement statute.
@@ -50,17 +51,22 @@ def _nearest(window: Column, own: Column) -> Column:
     return F.coalesce(F.array_min(F.filter(marks, lambda m: m["at"].isNotNull()))["act"], F.lit("nieustalone"))
 
 
-def from_text(docs: DataFrame, sections: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, ord, source, form, act, raw, start, end of the provisions in all sections."""
-    held = docs.select(key, F.col(text).alias("_text"), document_act(view(F.col(text))["text"]).alias("_own"))
-    parts = sections.select(key, F.col("start").alias("_from"), F.col("end").alias("_to")).join(held, key)
-    parts = parts.withColumn("_view", view(F.substr("_text", F.col("_from") + 1, F.col("_to") - F.col("_from"))))
-    rows = parts.select(key, "_text", "_own", "_from", "_view", F.explode(find_all(F.col("_view.text"), ARTICLE)).alias("_h"))
-    lo, hi = place(F.col("_view"), F.col("_h.start"), F.col("_h.end"))
-    act = act_after(F.substr(F.col("_view.text"), F.col("_h.end") + 1), F.col("_own"))
-    rows = rows.select(key, F.lit("tresc").alias("source"), form(F.col("_h.raw")).alias("form"), act.alias("act"), (F.col("_from") + lo).alias("start"), (F.col("_from") + hi).alias("end"), "_text")
-    rows = rows.withColumn("raw", F.substr("_text", F.col("start") + 1, F.col("end") - F.col("start"))).drop("_text")
-    return rows.withColumn("ord", F.row_number().over(W.partitionBy(key).orderBy("start")) - 1)
+def named_in(text: Column, sections: Column, own: Column) -> Column:
+    """array<struct<start, end, form, act, raw>>, in order, of the provisions in sections. own: the document's procurement statute."""
+
+    def hits(seen: Column) -> Column:
+        return F.transform(find_all(seen, ARTICLE), lambda h: record(start=h["start"], end=h["end"], form=form(h["raw"]), act=act_after(F.substr(seen, h["end"] + 1), own)))
+
+    whole = lambda h: record(start=h["start"], end=h["end"], form=h["form"], act=h["act"], raw=F.substr(text, h["start"] + 1, h["end"] - h["start"]))
+    return F.array_sort(F.transform(within(text, sections, hits, "form act"), whole))
+
+
+def from_text(docs: DataFrame, text: str = "text", key: str = "doc_id", found: str | None = None) -> DataFrame:
+    """key, ord, source, form, act, raw, start, end of the provisions in all sections, in one pass over each text. found: a column that holds the spans of the sections already."""
+    sections = F.col(found) if found else spans(F.col(text))
+    held = docs.select(key, F.col(text).alias("_text"), sections.alias("_spans"), document_act(view(F.col(text))["text"]).alias("_own"))
+    rows = held.select(key, F.posexplode(named_in(F.col("_text"), F.col("_spans"), F.col("_own"))).alias("ord", "_p"))
+    return rows.select(key, "ord", F.lit("tresc").alias("source"), "_p.form", "_p.act", "_p.raw", "_p.start", "_p.end")
 
 
 def from_channel(docs: DataFrame, listed: str = "przepisy", text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -36,13 +36,21 @@ def list_shape(df: DataFrame, body: str, key: str, allow_empty: bool = True) ->
 
 
 def record_shape(df: DataFrame, body: str, fields: tuple[str, ...], inner: tuple[str, ...] = ("data",)) -> DataFrame:
-    """df with ok, transient, missing and place: whether an object at the root, or one level down under one of inner, holds all fields."""
+    """df with ok, transient, missing, place, and the longest text of the record there with its length: whether an object at the root, or one level down under one of inner, holds all
+    fields."""
     need = F.array(*[F.lit(f) for f in fields])
     lacking = lambda keys: F.array_except(need, F.coalesce(keys, F.array().cast("array<string>")))
     spots = [("$", lacking(F.json_object_keys(body)))] + [(f"$.{k}", lacking(F.json_object_keys(F.get_json_object(body, f"$.{k}")))) for k in inner]
     place = F.coalesce(*[F.when(F.size(m) == 0, F.lit(p)) for p, m in spots])
     missing = F.when(place.isNotNull(), F.array().cast("array<string>")).otherwise(spots[0][1])
-    return df.withColumns({"ok": place.isNotNull(), "transient": F.coalesce(cut_off(F.col(body)), F.lit(False)), "missing": missing, "place": place})
+    value = F.try_parse_json(F.col(body))
+    held = F.when(place == "$", F.try_variant_get(value, "$", "map<string,variant>"))
+    for k in inner:
+        held = F.when(place == f"$.{k}", F.try_variant_get(value, f"$.{k}", "map<string,variant>")).otherwise(held)
+    texts = F.filter(F.map_entries(held), lambda e: F.schema_of_variant(e["value"]) == "STRING")
+    longest = F.array_max(F.transform(texts, lambda e: F.named_struct(F.lit("n"), F.length(F.try_variant_get(e["value"], "$", "string")), F.lit("name"), e["key"])))
+    out = {"ok": place.isNotNull(), "transient": F.coalesce(cut_off(F.col(body)), F.lit(False)), "missing": missing, "place": place}
+    return df.withColumns(out | {"longest": longest["name"], "longest_chars": longest["n"]})
 
 
 def html_shape(df: DataFrame, html: str, fragments: tuple[str, ...]) -> DataFrame:

@@ -59,14 +59,16 @@ def profile(log: DataFrame, by: tuple[str, ...], status: str, ms: str) -> DataFr
     return log.groupBy(*by, status).agg(F.count("*").alias("n"), F.round(F.avg(ms), 6).alias("mean_ms"), F.max(ms).alias("max_ms"))
 
 
-def load_cost(plan: DataFrame, page_size: int = 100, spacing_s: float = SPACING_S, per_day: int = BUDGETS[1][0], most_tries: int = 4, threshold: int = 50) -> DataFrame:
-    """plan (listed, known, pages_read) with what is left: documents, pages, requests, the least time in seconds by spacing and by daily budget, and whether
-    requests with all retries pass the threshold at which one asks first. Null counts give null costs."""
+def load_cost(plan: DataFrame, page_size: int = 100, spacing_s: float = SPACING_S, budgets: tuple[tuple[int, int], ...] = BUDGETS, most_tries: int = 4, threshold: int = 50, most: int | None = None) -> DataFrame:
+    """plan (listed, known, pages_read) with what is left: documents (of at most so many, where most says so), pages, requests, the least time in seconds by spacing and by every budget of
+    requests within a time, and whether requests with all retries pass the threshold at which one asks first. Null counts give null costs."""
     floor0 = lambda c: F.when(c.isNotNull(), F.greatest(c, F.lit(0)))  # noqa: E731  greatest alone would skip the null
-    left = floor0(F.col("listed") - F.col("known"))
-    pages = floor0(F.ceil(F.col("listed") / page_size) - F.col("pages_read"))
+    documents = F.col("listed") if most is None else F.least("listed", F.lit(most))  # least skips a null: of an unknown number, the cap
+    left = floor0(documents - F.col("known"))
+    pages = floor0(F.ceil(documents / page_size) - F.col("pages_read"))
     priced = plan.withColumns({"docs_left": left, "pages_left": pages}).withColumn("requests", F.col("docs_left") + F.col("pages_left"))
-    days = F.floor(F.greatest(F.col("requests") - 1, F.lit(0)) / per_day)
-    seconds = F.greatest((F.col("requests") - 1) * spacing_s, days * 86_400.0, F.lit(0.0))
+    before = F.greatest(F.col("requests") - 1, F.lit(0))  # requests that the last one waits for
+    waits = [F.floor(before / n) * float(s) for n, s in budgets]
+    seconds = F.greatest(before * spacing_s, *waits)
     ceiling = F.col("requests") * most_tries
     return priced.withColumns({"least_seconds": F.when(F.col("requests").isNotNull(), F.round(seconds, 6)), "ceiling": ceiling, "ask_first": ceiling > threshold})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -60,3 +60,27 @@ def outcome_summary(batch: DataFrame) -> DataFrame:
     """One row: candidates, new, skipped, missing and unread ones of a batch with the flags nowy, missing and parse_error."""
     flag = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     return batch.agg(F.count("*").alias("candidates"), flag(F.col("nowy")).alias("new"), flag(~F.col("nowy")).alias("skipped"), flag(F.col("missing")).alias("missing"), flag(F.col("parse_error")).alias("errors"))
+
+
+def documents_of(links: DataFrame, docs: DataFrame, run_id, key: str = "doc_id") -> DataFrame:
+    """The documents of one run in the order in which it met them."""
+    own = links.filter(F.col("run_id") == run_id).select(key, "position")
+    return docs.join(own, key).orderBy("position", key)
+
+
+def listed(runs: DataFrame, k: int, wanted: Column | None = None, started: str = "started", inserted: str = "run_id") -> DataFrame:
+    """The k latest runs among those wanted, the newest first, ties by insertion."""
+    return (runs if wanted is None else runs.filter(wanted)).orderBy(F.desc(started), F.desc(inserted)).limit(k)
+
+
+def selected(docs: DataFrame, links: DataFrame | None = None, order: tuple[str, ...] = (), criteria: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """The documents of an export: those of some runs (links), each once where it comes first, or those that criteria let through; never both."""
+    if (links is None) == (criteria is None):
+        raise ValueError("an export is by runs or by criteria")
+    return docs.filter(criteria) if links is None else docs.join(union_of_runs(links, order).select(key, *order), key)
+
+
+def requests_of(requests: DataFrame, runs: DataFrame, channel: str, since: str, ts: str = "ts") -> DataFrame:
+    """The requests of a channel's runs since a time."""
+    own = runs.filter(F.col("channel") == channel).select("run_id", "channel")
+    return requests.filter(F.col(ts) >= F.lit(since).cast(requests.schema[ts].dataType)).join(own, "run_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docket.functions.text import tokens
 from docket.operators import filters, ledger, search
 from docket.sources.tables import table
 
@@ -83,28 +84,92 @@ def unknown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookup_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer share a case number; the lookup lists them all."""
-    rows = _rows(spark, sf_dir).select("doc_id", F.array("presiding").alias("numbers"))
-    return filters.lookup(rows, "Customer#000000001", "doc_id", "numbers").select("doc_id", "n_matches")
+    """Orders of a customer share a case number, which is asked for in another way of writing; the lookup lists them all."""
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.array(F.concat(F.lit("KIO "), F.col("o_custkey").cast("string"), F.lit("/21"))).alias("numbers"))
+    return filters.lookup(rows, "kio  00001 / 2021", "doc_id", "numbers").select("doc_id", "n_matches")
+
+
+def normalised_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values asked for in capitals, with marks and blanks, against columns in the same plain form."""
+    asked = filters.Criteria(outcomes=(" F ", "P", "f"), kinds=("1-ÚRGENT", "2-HIGH ")).normalised()
+    rows = _rows(spark, sf_dir).withColumns({"outcome": filters.folded("outcome"), "kind": filters.folded("kind")})
+    return filters.matching(rows, asked, _AT).groupBy("outcome", "kind").agg(F.count("*").alias("n"))
+
+
+def corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred orders of the corpus, the undated ones before the others."""
+    return filters.in_order(_rows(spark, sf_dir), "date").select("doc_id", "date").limit(100)
+
+
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index over current versions: after both loads, the second one's text of each document, with a case number; only English documents have a date."""
+    first, second = _loads(spark, sf_dir)
+    both = first.unionByName(second)
+    held = ledger.current_content(ledger.documents(both), both)
+    facts = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.when(F.col("lang") == "en", F.format_string("2024-%02d-01", (F.col("doc_id") % 12 + 1).cast("int"))).alias("date"))
+    numbers = F.array(F.concat(F.lit("KIO "), F.col("doc_id").cast("string"), F.lit("/24")))
+    rows = held.join(facts, "doc_id").withColumn("numbers", numbers)
+    return search.indexed(rows, "content", "numbers", keep=("source", "lang", "date"))
+
+
+KEPT = ("source", "lang", "date")
+WANTED = filters.Criteria(since="2024-03-01", until="2024-10-31")
+_DATED = filters.Columns()
 
 
 def phrase_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(search.matches(table(spark, sf_dir, "documents"), PHRASE), TOP)
 
 
+def search_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hits among current versions that the filters let through, ranked by the statistics of the whole index, with sources and citations."""
+    allowed = filters.all_of(WANTED, _DATED)
+    hits = search.top(search.found(_index(spark, sf_dir), "available under", keep=KEPT), TOP, allowed=allowed).select("doc_id", "date", "n_words", "tf", "score")
+    docs = table(spark, sf_dir, "documents")
+    return search.attached(hits, docs, F.col("source"), F.concat(F.lit("KIO "), F.col("doc_id").cast("string"), F.lit("/24; "), F.col("source")))
+
+
+def search_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase that stands in a case number."""
+    return search.top(search.found(_index(spark, sf_dir), "KIO 7/24", keep=("source",)), TOP).select("doc_id", "source", "tf", "score")
+
+
 def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.counts(search.matches(table(spark, sf_dir, "documents"), PHRASE), TOP)
+    """Corpus, index, hits, shown ones, and hits that only lack a date."""
+    found = search.found(_index(spark, sf_dir), PHRASE, keep=KEPT)
+    return search.counts(found, TOP, table(spark, sf_dir, "documents"), filters.all_of(WANTED, _DATED), "date", filters.all_but_dates(WANTED, _DATED))
+
+
+def search_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are there without hits, too."""
+    return search.counts(search.matches(table(spark, sf_dir, "documents"), "no such phrase anywhere"), TOP)
 
 
 def phrase_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best hits among English documents, with their sources."""
-    english = table(spark, sf_dir, "documents").filter(F.col("lang").isin("en"))
-    return search.top(search.matches(english, PHRASE, keep=("source",)), TOP)
+    """The best hits among English documents, with their sources; ranked by the statistics of all documents."""
+    found = search.matches(table(spark, sf_dir, "documents"), PHRASE, keep=("source", "lang"))
+    return search.top(found, TOP, allowed=F.col("lang") == "en").drop("lang")
+
+
+def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents that hold the phrase, by label."""
+    found = search.matches(table(spark, sf_dir, "documents"), PHRASE)
+    return filters.by_phrase(table(spark, sf_dir, "labels"), found).groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+
+
+def search_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hits with the words about the first place of the phrase."""
+    docs = table(spark, sf_dir, "documents")
+    hits = search.top(search.matches(docs, PHRASE), TOP).select("doc_id")
+    rows = docs.join(hits, "doc_id").select("doc_id", search.excerpt(F.col("text"), PHRASE).alias("x"))
+    words = F.size(F.split(F.regexp_replace("x", "^… | …$", ""), " "))
+    return rows.select("doc_id", F.contains(F.array_join(tokens(F.col("x")), " "), F.lit(PHRASE)).alias("holds"), words.between(2, 16).alias("fits"))
 
 
 QUERIES = {f.__name__: f for f in (
-    version_ledger, current_version, replay_is_noop, incremental_reparse, skip_known, filter_algebra, undated_left_out, broadening_counts, unknown_values, lookup_by_key,
-    phrase_search_topk, search_counts, phrase_search_filtered,
+    version_ledger, current_version, replay_is_noop, incremental_reparse, skip_known, filter_algebra, undated_left_out, broadening_counts, unknown_values, lookup_by_key, normalised_filter, corpus_order,
+    phrase_search_topk, search_current, search_by_number, search_counts, search_nothing, phrase_search_filtered, phrase_filter, search_excerpts,
 )}
 
 _LOADS = "WITH first AS (SELECT doc_id, sha256(text) AS sha256 FROM documents), second AS (SELECT doc_id, sha256(replace(text, 'Licensed under', 'Available under')) AS sha256 FROM documents) "
@@ -113,13 +178,29 @@ _ROWS = """WITH r AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus <> 'P
 f AS (SELECT *, coalesce(date BETWEEN '1995-01-01' AND '1997-12-31', false) AS d, outcome IN ('F', 'P') AS o, kind IN ('1-URGENT', '2-HIGH') AS k, contains(lower(presiding), 'customer#') AS p, contains(lower(party), 'build') AS y FROM r) """
 
 
-def _search(where: str = "") -> str:
-    return f"""WITH t AS (SELECT doc_id, source, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM documents {where}),
-m AS (SELECT doc_id, source, len(w)::INT AS n_words, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))::INT AS tf FROM t),
+_WORDS = "list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+_COUNT = "len(list_filter(range(1, len({0}) - {1} + 2), lambda i: {2}))::INT"
+
+
+def _often(words: str, phrase: str) -> str:
+    """How often a phrase stands in a list of words."""
+    parts = phrase.split()
+    return _COUNT.format(words, len(parts), " AND ".join(f"{words}[i + {k}] = '{p}'" for k, p in enumerate(parts)))
+
+
+def _search(phrase: str = PHRASE, text: str = "text", number: str | None = None) -> str:
+    """m: all documents with n_words and tf; r: hits with their scores, by the statistics of all documents."""
+    other = _WORDS.format(number) if number else "[]::VARCHAR[]"
+    return f"""WITH t AS (SELECT doc_id, source, lang, CASE WHEN lang = 'en' THEN printf('2024-%02d-01', doc_id % 12 + 1) END AS date, {_WORDS.format(text)} AS w, {other} AS v FROM documents),
+m AS (SELECT doc_id, source, lang, date, (len(w) + len(v))::INT AS n_words, ({_often("w", phrase)} + {_often("v", phrase)})::INT AS tf FROM t),
 s AS (SELECT count(*) AS n, count(*) FILTER (tf > 0) AS df, avg(n_words) AS a FROM m),
 r AS (SELECT m.*, round(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * n_words / a))), 9) AS score FROM m, s WHERE tf > 0) """
 
 
+_SECOND, _NUMBER = "replace(text, 'Licensed under', 'Available under')", "'KIO ' || doc_id || '/24'"
+_BETWEEN = "coalesce(date BETWEEN '2024-03-01' AND '2024-10-31', false)"
+
+
 ORACLE_SQL = {
     "version_ledger": _LOADS + "SELECT doc_id, sha256, min(load)::INT AS load FROM (SELECT *, 1 AS load FROM first UNION ALL SELECT *, 2 FROM second) GROUP BY ALL",
     "current_version": _LOADS + "SELECT s.doc_id, s.sha256 AS current_sha256, (CASE WHEN f.sha256 = s.sha256 THEN 1 ELSE 2 END)::INT AS version_load, '2024-01-01' AS first_seen, '2024-02-01' AS last_seen FROM second s JOIN first f USING (doc_id)",
@@ -131,8 +212,15 @@ ORACLE_SQL = {
     "broadening_counts": _ROWS
     + "SELECT 0 AS position, 'presiding' AS dropped, count(*) FILTER (d AND o AND k AND y) AS hits FROM f UNION ALL SELECT 1, 'party', count(*) FILTER (d AND o AND k AND p) FROM f UNION ALL SELECT 2, 'dates', count(*) FILTER (o AND k AND p AND y) FROM f UNION ALL SELECT 3, 'outcomes', count(*) FILTER (d AND k AND p AND y) FROM f",
     "unknown_values": "SELECT value FROM (VALUES ('1-URGENT'), ('9-NONE'), ('2-HIGH'), ('0-NOW')) v(value) WHERE value NOT IN (SELECT o_orderpriority FROM orders)",
-    "lookup_by_key": _ROWS + "SELECT doc_id, count(*) OVER () AS n_matches FROM r WHERE presiding = 'Customer#000000001'",
+    "lookup_by_key": "SELECT o_orderkey AS doc_id, count(*) OVER () AS n_matches FROM orders WHERE o_custkey = 1",
     "phrase_search_topk": _search() + f"SELECT doc_id, n_words, tf, score FROM r ORDER BY score DESC, doc_id LIMIT {TOP}",
-    "search_counts": _search() + f"SELECT count(*) AS indexed, count(*) FILTER (tf > 0) AS hits, least(count(*) FILTER (tf > 0), {TOP}) AS shown FROM m",
-    "phrase_search_filtered": _search("WHERE lang = 'en'") + f"SELECT doc_id, source, n_words, tf, score FROM r ORDER BY score DESC, doc_id LIMIT {TOP}",
+    "search_counts": _search(PHRASE, _SECOND, _NUMBER) + f"SELECT (SELECT count(*) FROM documents) AS corpus, count(*) AS indexed, count(*) FILTER (tf > 0 AND {_BETWEEN}) AS hits, least(count(*) FILTER (tf > 0 AND {_BETWEEN}), {TOP}) AS shown, count(*) FILTER (tf > 0 AND date IS NULL) AS undated FROM m",
+    "phrase_search_filtered": _search() + f"SELECT doc_id, source, n_words, tf, score FROM r WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT {TOP}",
+    "normalised_filter": _ROWS + "SELECT lower(outcome) AS outcome, lower(kind) AS kind, count(*) AS n FROM f WHERE o AND k GROUP BY ALL",
+    "corpus_order": _ROWS + "SELECT doc_id, date FROM r ORDER BY date NULLS FIRST, doc_id LIMIT 100",
+    "search_current": _search("available under", _SECOND, _NUMBER) + f"SELECT doc_id, date, n_words, tf, score, source, 'KIO ' || doc_id || '/24; ' || source AS citation FROM r WHERE {_BETWEEN} ORDER BY score DESC, doc_id LIMIT {TOP}",
+    "search_by_number": _search("kio 7 24", _SECOND, _NUMBER) + f"SELECT doc_id, source, tf, score FROM r ORDER BY score DESC, doc_id LIMIT {TOP}",
+    "search_nothing": "SELECT count(*) AS corpus, count(*) AS indexed, 0::BIGINT AS hits, 0::BIGINT AS shown, 0::BIGINT AS undated FROM documents",
+    "phrase_filter": _search() + "SELECT quality, toxic, count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM r) GROUP BY ALL",
+    "search_excerpts": _search() + f"SELECT doc_id, true AS holds, true AS fits FROM r ORDER BY score DESC, doc_id LIMIT {TOP}",
 }

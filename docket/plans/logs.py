@@ -75,6 +75,40 @@ def request_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requestlog.profile(_events(spark, sf_dir).select("*", day), ("day",), "event_type", "value")
 
 
+def continued_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of a resumed run, whose positions go on from those of views."""
+    events = _events(spark, sf_dir)
+    before = runs.first_links(events.filter("event_type = 'view'").select("run_id", F.floor("value").cast("long").alias("doc_id"), "ts", "event_id"), ("ts", "event_id"))
+    return runs.continued(events.filter("event_type = 'click'").select("run_id", "event_id"), before, ("event_id",)).select("run_id", "event_id", "position")
+
+
+def run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty latest runs that can be resumed."""
+    ledger = _runs(spark, sf_dir).join(_events(spark, sf_dir).groupBy("run_id").agg(F.min("ts").alias("started")), "run_id")
+    return runs.listed(runs.classified(ledger), 20, F.col("state") == "resumable").select("run_id", "status", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"))
+
+
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of one run, in its order; values of events stand for documents."""
+    links = runs.first_links(_events(spark, sf_dir).select("run_id", F.floor("value").cast("long").alias("doc_id"), "ts", "event_id"), ("ts", "event_id"))
+    return runs.documents_of(links, table(spark, sf_dir, "documents").select("doc_id", "lang"), 7).select("doc_id", "lang", "position")
+
+
+def requests_by_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a channel's runs since a day, by type; even runs belong to one channel, odd ones to the other."""
+    events = _events(spark, sf_dir)
+    ledger = events.select("run_id", F.when(F.col("run_id") % 2 == 0, "atlas").otherwise("uzp").alias("channel")).distinct()
+    since = runs.requests_of(events, ledger, "atlas", "2024-01-15")
+    return since.groupBy("channel", "event_type").agg(F.count("*").alias("n"))
+
+
+def capped_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of loads of at most 500 documents of each month."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
+    plan = orders.agg(F.when(F.count("*") % 5 > 0, F.count("*")).alias("listed"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("known"), F.lit(1).cast("long").alias("pages_read"))
+    return requestlog.load_cost(plan, most=500).select("month", "docs_left", "pages_left", "requests", "least_seconds")
+
+
 def vintage_cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan for each month of orders: urgent ones are known."""
     orders = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"))
@@ -107,7 +141,8 @@ def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    latest_run, run_ledger, lineage_rebuild, union_of_runs, error_streaks, rolling_budget, min_spacing, cooldown, byte_stability, request_profile, vintage_cost_estimate,
+    latest_run, run_ledger, lineage_rebuild, union_of_runs, error_streaks, rolling_budget, min_spacing, cooldown, byte_stability, request_profile, continued_positions, run_list,
+    run_documents, requests_by_channel, capped_cost, vintage_cost_estimate,
     shape_list, shape_record, shape_html, marker_counts,
 )}
 
@@ -126,9 +161,14 @@ ORACLE_SQL = {
     "byte_stability": _E
     + ", g AS (SELECT nullif(event_type, 'error') AS c, lag(nullif(event_type, 'error')) OVER w AS p, (us - lag(us) OVER w) / 3.6e9 AS h, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY run_id ORDER BY ts, event_id)) SELECT CASE WHEN n = 1 THEN 'first' WHEN c IS NULL OR p IS NULL THEN 'not_comparable' WHEN h IS NULL THEN 'unknown_gap' WHEN c <> p THEN 'unstable' WHEN h < 24 THEN 'too_early' ELSE 'stable' END AS verdict, count(*) AS n FROM g GROUP BY 1",
     "request_profile": _E + "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM e GROUP BY ALL",
-    "vintage_cost_estimate": "WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS listed, count(*) FILTER (o_orderpriority = '1-URGENT') AS known FROM orders GROUP BY 1), c AS (SELECT month, listed - known AS docs_left, greatest(ceil(listed / 100)::BIGINT - 1, 0) AS pages_left FROM p), q AS (SELECT *, docs_left + pages_left AS requests FROM c) SELECT *, round(greatest((requests - 1) * 0.2::DOUBLE, floor(greatest(requests - 1, 0) / 1400) * 86400.0::DOUBLE, 0.0::DOUBLE), 6) AS least_seconds, requests * 4 AS ceiling, requests * 4 > 50 AS ask_first FROM q",
+    "vintage_cost_estimate": "WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS listed, count(*) FILTER (o_orderpriority = '1-URGENT') AS known FROM orders GROUP BY 1), c AS (SELECT month, listed - known AS docs_left, greatest(ceil(listed / 100)::BIGINT - 1, 0) AS pages_left FROM p), q AS (SELECT *, docs_left + pages_left AS requests FROM c) SELECT *, round(greatest((requests - 1) * 0.2::DOUBLE, floor(greatest(requests - 1, 0) / 450) * 60.0::DOUBLE, floor(greatest(requests - 1, 0) / 1400) * 86400.0::DOUBLE, 0.0::DOUBLE), 6) AS least_seconds, requests * 4 AS ceiling, requests * 4 > 50 AS ask_first FROM q",
     "shape_list": "SELECT event_type, event_type <> 'error' AS ok, event_type = 'error' AS transient, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY ALL",
     "shape_record": "SELECT event_type, json_contains(json_keys(props)::JSON, '\"k\"') AS ok, CASE WHEN json_contains(json_keys(props)::JSON, '\"k\"') THEN '$' END AS place, count(*) AS n FROM events GROUP BY ALL",
     "shape_html": "SELECT page_id, array_to_string(m, ',') = '' AS ok, array_to_string(m, ',') AS missing FROM (SELECT page_id, list_filter([CASE WHEN NOT contains(lower(html), '<!doctype html') THEN '<!DOCTYPE html' END, CASE WHEN NOT contains(lower(html), '<article>') THEN '<article>' END, CASE WHEN NOT contains(lower(html), '<table') THEN '<table' END], lambda x: x IS NOT NULL) AS m FROM pages)",
     "marker_counts": "SELECT page_id, m.marker, ((length(lower(html)) - length(replace(lower(html), m.marker, ''))) / length(m.marker))::BIGINT AS n FROM pages, (VALUES ('licensed under'), ('<p>'), ('copyright')) m(marker)",
+    "continued_positions": _E + ", l AS (SELECT run_id, count(DISTINCT floor(value)::BIGINT) AS k FROM e WHERE event_type = 'view' GROUP BY 1) SELECT run_id, event_id, (row_number() OVER (PARTITION BY run_id ORDER BY event_id) + coalesce(k, 0))::INT AS position FROM e LEFT JOIN l USING (run_id) WHERE event_type = 'click'",
+    "run_list": _E + ", b AS (SELECT run_id, min(ts) AS started FROM e GROUP BY 1) SELECT run_id, status, strftime(started, '%Y-%m-%d %H:%M:%S') AS started FROM r JOIN b USING (run_id) WHERE status = 'w_toku' ORDER BY b.started DESC, run_id DESC LIMIT 20",
+    "run_documents": _E + ", l AS (SELECT floor(value)::BIGINT AS doc_id, ts, event_id FROM e WHERE run_id = 7 QUALIFY row_number() OVER (PARTITION BY floor(value)::BIGINT ORDER BY ts, event_id) = 1), p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id, doc_id)::INT AS position FROM l) SELECT doc_id, lang, position FROM documents JOIN p USING (doc_id)",
+    "requests_by_channel": _E + "SELECT 'atlas' AS channel, event_type, count(*) AS n FROM e WHERE run_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-15' GROUP BY ALL",
+    "capped_cost": "WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN count(*) % 5 > 0 THEN count(*) END AS listed, count(*) FILTER (o_orderpriority = '1-URGENT') AS known FROM orders GROUP BY 1), d AS (SELECT month, coalesce(least(listed, 500), 500) AS n, known FROM p), c AS (SELECT month, greatest(n - known, 0) AS docs_left, greatest(ceil(n / 100)::BIGINT - 1, 0) AS pages_left FROM d), q AS (SELECT *, docs_left + pages_left AS requests FROM c) SELECT *, round(greatest((requests - 1) * 0.2::DOUBLE, floor(greatest(requests - 1, 0) / 450) * 60.0::DOUBLE, floor(greatest(requests - 1, 0) / 1400) * 86400.0::DOUBLE, 0.0::DOUBLE), 6) AS least_seconds FROM q",
 }

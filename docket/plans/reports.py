@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.functions.text import labelled, neutral, strip_controls
-from docket.operators import citations, coverage, exports, graph, provisions, sections
+from docket.operators import coverage, exports, graph, ledger, runs, structure
 from docket.sources.tables import table
 
 from . import rulings
 
 
-def _rulings(spark: SparkSession, sf_dir: str):
-    docs = rulings.compose(spark, sf_dir).withColumn("number", F.concat(F.lit("KIO "), (F.col("doc_id") % 99999 + 1).cast("string"), F.lit("/"), F.col("yy")))
-    cut = sections.segment(docs).persist(StorageLevel.DISK_ONLY)  # read by citations and by the report; offsets only, no text
-    return docs, cut, citations.citations(docs, cut)
+def _read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structure of the rulings as arrays; texts are read once, and not shuffled."""
+    docs = rulings.compose(spark, sf_dir).select("doc_id", "number", F.array("number").alias("own"), "text")
+    return structure.read(docs, own="own", keep=("doc_id", "number"))
+
+
+def _cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.exploded(_read(spark, sf_dir), "citations")
 
 
 def vintage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cut, cited = _rulings(spark, sf_dir)
-    return coverage.vintage_report(docs, cut, cited, "number")
+    return coverage.vintage_report(_read(spark, sf_dir), "number")
+
+
+def vintage_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.as_json(vintage_report(spark, sf_dir).select("vintage", "docs", "complete", "partial", "none"))
+
+
+def vintage_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.as_markdown(vintage_report(spark, sf_dir).select("vintage", "docs", "complete", "partial", "none"), "Coverage", "vintage")
 
 
 def vintage_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,20 +46,75 @@ def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.totals(docs, done, 6, "lang")
 
 
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the orders and lines say that each ruling holds, from sizes of its pieces and columns of its lines. Every seventh ruling is annotated in an older version, and the annotation of
+    every fifth lacks its last citation."""
+    row = rulings.composed(spark, sf_dir)
+    named = lambda kind, a, b: F.named_struct(F.lit("start"), a.cast("int"), F.lit("end"), b.cast("int"), F.lit("kind"), kind)
+    size = F.length("text")
+    edges = [F.lit(0)]
+    for n in ("n_head", "n_ruling", "n_appeal"):
+        edges.append(edges[-1] + F.col(n))
+    edges += [size - F.col("n_dissent"), size]
+    kinds = [F.when(F.col("shape") == 7, "nieprzypisane").otherwise("naglowek"), *map(F.lit, ("sentencja", "pouczenie", "uzasadnienie", "zdanie_odrebne"))]
+    whole = F.filter(F.array(*[named(k, a, b) for k, a, b in zip(kinds, edges[:-1], edges[1:], strict=True)]), lambda s: s["end"] > s["start"])
+    body = edges[3] + F.col("n_title")
+    hit = lambda a, n, kind, canon: F.named_struct(F.lit("start"), a.cast("int"), F.lit("end"), (a + n).cast("int"), F.lit("kind"), kind, F.lit("canon"), canon)
+    before = lambda i: F.aggregate(F.slice("told", 1, i), F.lit(0), lambda n, s: n + F.length(s["sentence"]) + 1)
+    lines = F.transform("told", lambda s, i: hit(body + before(i) + s["lead_in"], F.length(s["canon"]), s["kind"], s["canon"]))
+    after = body + F.col("n_told") + len(" Por. także ")
+    bare = F.concat(F.lit("77/"), F.col("yy"))
+    unread = F.array(hit(after, F.lit(len("sygn. akt nieznana")), F.lit("inne"), F.lit(None).cast("string")), hit(after + len("sygn. akt nieznana, oraz sygn. akt "), F.length(bare), F.lit("kio_bez_repertorium"), F.concat(F.lit("KIO "), bare)))
+    against = F.array(hit(size - 1 - F.length("against"), F.length("against"), F.lit("kio"), F.col("against")))
+    more = F.when(F.col("shape") == 8, unread).when(F.col("shape") == 4, against).otherwise(F.slice(against, 1, 0))
+    cited = F.filter(F.concat(lines, more), lambda c: ~((c["kind"] == "kio") & (c["canon"] == F.col("number"))))
+    cited = F.when(F.col("doc_id") % 5 == 0, F.slice(cited, 1, F.greatest(F.size(cited) - 1, F.lit(0)))).otherwise(cited)
+    form = lambda form, act: F.named_struct(F.lit("form"), form, F.lit("act"), act)
+    forms = F.concat(F.transform("told", lambda s: form(s["form"], s["act"])), F.when(F.col("shape") == 6, F.array().cast("array<struct<form:string,act:string>>")).otherwise(F.array(form(F.lit("art. 579 ust. 1"), F.lit("pzp2019")))))
+    sha = F.when(F.col("doc_id") % 7 == 0, F.lit("older")).otherwise(F.sha2("text", 256))
+    return row.select("doc_id", sha.alias("sha256"), whole.alias("sections"), cited.alias("citations"), coverage.counted(forms).alias("provisions"))
+
+
+def _structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read of each ruling in the form of annotations."""
+    docs = rulings.compose(spark, sf_dir).select("doc_id", F.array("number").alias("own"), F.sha2("text", 256).alias("sha256"), "text")
+    return coverage.annotated(structure.read(docs, own="own", keep=("doc_id", "sha256")))
+
+
 def gold_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was read of each ruling, against what its order lines say; rulings with more than four lines have a gold row of an older version."""
-    docs, cut, cited = _rulings(spark, sf_dir)
-    read = coverage.structures(docs.withColumn("sha", F.sha2("text", 256)), cut, cited, provisions.from_text(docs, cut), "sha")
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count("*").cast("int").alias("n"))
-    gold = read.join(lines, "doc_id").withColumn("sha256", F.when(F.col("n") <= 4, F.col("sha256")).otherwise("older")).withColumn("citations", F.slice("citations", 1, 3)).drop("n")
-    checked = coverage.gold_check(gold, read)
+    """What was read of each ruling, against what its order and lines say."""
+    checked = coverage.gold_check(_gold(spark, sf_dir), _structures(spark, sf_dir))
     return checked.groupBy("checked", "conforms", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
+def gold_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts of annotations, of which the sections are shown."""
+    drafts = coverage.gold_draft(_structures(spark, sf_dir))
+    part = lambda path: F.get_json_object("annotation", path)
+    return drafts.select("doc_id", part("$.sha256").alias("sha256"), part("$.sections[0].kind").alias("first"), part("$.sections[0].end").cast("int").alias("first_end"))
+
+
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.profile(table(spark, sf_dir, "documents"), ("doc_id", "lang", "source"), "text")
 
 
+def ruling_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rulings with how many cite others, and the most citations of one."""
+    docs = rulings.compose(spark, sf_dir).select("doc_id", "number", F.array("number").alias("own"), "text")
+    rows = structure.read(docs, own="own", keep=("doc_id", "number", "text"))
+    n = F.size("citations")
+    return coverage.profile(rows, ("number",), "text", {"citing": F.count_if(n > 0), "citations": F.sum(n), "most_citations": F.max(n)})
+
+
+def outcome_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return coverage.crosstab(orders, F.col("o_orderstatus"), F.col("o_orderpriority"))
+
+
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.table_counts({n: table(spark, sf_dir, n) for n in ("documents", "events", "labels", "orders", "pages")})
+
+
 def feature_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     features = {"english": F.col("lang") == "en", "many_lines": F.size(F.split("text", "\n")) > 5, "mail": F.contains("text", F.lit("@"))}
@@ -79,16 +144,55 @@ def export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    date = F.when(F.col("lang") == "en", F.lit("2024-05-06"))
-    block = exports.citation_block(F.lit("wyrok"), date, F.array(F.concat(F.lit("KIO "), F.col("doc_id").cast("string"), F.lit("/24"))), "KIO", F.col("source"), F.sha2("text", 256), F.lit("2024-06-01"), "domena publiczna")
-    return docs.select("doc_id", block.alias("block"))
+    return table(spark, sf_dir, "documents").select("doc_id", _block().alias("block"))
 
 
 def export_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users stand for runs, events for requests, labelled documents for those that runs covered; of these, toxic ones were known before."""
+    docs, events = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    ran = events.groupBy("user_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("started"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("finished"))
+    exported = docs.filter("lang = 'en'").withColumn("parse_version", F.col("doc_id") % 2 + 5)
+    covered = table(spark, sf_dir, "labels").select((F.col("toxic") == 0).alias("nowy"))
+    return exports.provenance(exported, ran, docs, '{"kinds":["en"]}', "source", events, covered, "parse_version")
+
+
+def _block() -> Column:
+    date = F.when(F.col("lang") == "en", F.lit("2024-05-06"))
+    return exports.citation_block(F.lit("wyrok"), date, F.array(F.concat(F.lit("KIO "), F.col("doc_id").cast("string"), F.lit("/24"))), "KIO", F.col("source"), F.sha2("text", 256), F.lit("2024-06-01"), "domena publiczna")
+
+
+def export_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an export, read again."""
+    docs = table(spark, sf_dir, "documents").withColumn("raw", F.struct("source", "lang", "n_chars"))
+    lines = exports.jsonl(docs, _block(), "raw")
+    back = F.from_json("value", "doc_id long, citation string, record struct<source:string,lang:string,n_chars:long>")
+    return lines.select(back.alias("r")).select("r.doc_id", "r.citation", "r.record.*")
+
+
+def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    runs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.date_format(F.min("ts"), "yyyy-MM-dd").alias("started"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("finished"))
-    return exports.provenance(docs.filter("lang = 'en'"), runs, docs, '{"kinds":["en"]}', "source")
+    ref, title = F.concat("source", F.lit("/ "), "doc_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string"))
+    rows = exports.markdown(docs, title, _block(), F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.lit("\n\n- appendix")), ref)
+    return rows.select("file", F.sha2("value", 256).alias("sha256"), F.length("value").alias("n_chars"))
+
+
+def export_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.dictionary(export_rows(spark, sf_dir), {"id": "number of the document", "organ": "who publishes"})
+
+
+def export_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of two runs, each where it comes first, with how many there are by run. Users stand for runs, values for documents."""
+    events = table(spark, sf_dir, "events").filter("user_id in (1, 2, 3)")
+    links = events.select(F.floor("value").cast("long").alias("doc_id"), F.col("user_id").alias("run_id"), "ts", "event_id")
+    return runs.selected(table(spark, sf_dir, "documents").select("doc_id", "source"), links, ("ts", "event_id")).select("doc_id", "source", "event_id")
+
+
+def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived rows of all documents, those of labelled ones replaced by the newer parse."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    old = docs.select("doc_id", F.col("n_chars").alias("chars"), F.lit(5).alias("parse_version"))
+    new = labels.select("doc_id", F.col("quality").cast("long").alias("chars"), F.lit(6).alias("parse_version"))
+    return ledger.replaced(old, new, ("doc_id",)).groupBy("parse_version").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
 def export_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,49 +201,70 @@ def export_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_appendix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.appendix(_rulings(spark, sf_dir)[2])
+    read = _read(spark, sf_dir)
+    named = structure.exploded(read, "provisions").withColumn("source", F.lit("tresc"))
+    return exports.appendix(structure.exploded(read, "citations"), named)
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulings.compose(spark, sf_dir).select("doc_id", "number")
 
 
 def citation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, cited = _rulings(spark, sf_dir)
-    return graph.resolved(cited, docs.select("doc_id", "number")).groupBy("cited").agg(F.count("*").alias("n"), F.countDistinct("citing").alias("citing"))
+    return graph.resolved(_cited(spark, sf_dir), _numbers(spark, sf_dir)).groupBy("cited").agg(F.count("*").alias("n"), F.countDistinct("citing").alias("citing"))
 
 
 def missing_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, cited = _rulings(spark, sf_dir)
-    return graph.missing(cited, docs.select("doc_id", "number"), 50)
+    return graph.missing(_cited(spark, sf_dir), _numbers(spark, sf_dir), 50)
 
 
 def citation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cut, cited = _rulings(spark, sf_dir)
-    return graph.placed(cited, cut, docs).groupBy("section").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("chars"))
+    """Where citations stand, and how many characters are around them."""
+    docs = rulings.compose(spark, sf_dir).select("doc_id", F.array("number").alias("own"), "text")
+    read = structure.read(docs, own="own", keep=("doc_id", "text"))
+    return graph.placed(read).groupBy("section").agg(F.count("*").alias("n"), F.sum(F.length("context")).alias("chars"))
 
 
 QUERIES = {f.__name__: f for f in (
-    vintage_report, vintage_crosstab, corpus_totals, gold_check, corpus_profile, feature_prevalence, label_topk, corpus_digest, sanitize_text, export_rows, citation_block,
-    export_metadata, export_index, reference_appendix, citation_graph, missing_rulings, citation_sections,
+    vintage_report, vintage_json, vintage_markdown, vintage_crosstab, corpus_totals, gold_check, gold_draft, corpus_profile, ruling_profile, outcome_split, table_counts, feature_prevalence, label_topk, corpus_digest,
+    sanitize_text, export_rows, citation_block, export_metadata, export_jsonl, export_markdown, export_dictionary, export_selection, replaced_rows, export_index, reference_appendix, citation_graph, missing_rulings,
+    citation_sections,
 )}
 
 _R = rulings.DUCKDB
-_OWN = ", own AS (SELECT doc_id AS cited, 'KIO ' || (doc_id % 99999 + 1) || '/' || yy AS canon FROM rulings) "
+_OWN = ", named AS (SELECT doc_id AS cited, own AS canon FROM rulings) "
+_VINTAGE = """, c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (canon IS NULL) AS u FROM cites GROUP BY 1), v AS (
+  SELECT '20' || yy AS vintage, count(*) AS docs, count(*) FILTER (shape NOT IN (6, 7)) AS complete, count(*) FILTER (shape IN (6, 7)) AS partial, 0::BIGINT AS none, sum(length(text))::BIGINT AS chars,
+    sum(CASE WHEN shape = 7 THEN length(head) ELSE 0 END)::BIGINT AS unassigned_chars, coalesce(sum(n), 0)::BIGINT AS citations, coalesce(sum(u), 0)::BIGINT AS unresolved FROM rulings LEFT JOIN c USING (doc_id) GROUP BY 1) """
+_BLOCK = "'Wyrok KIO ' || CASE WHEN lang = 'en' THEN 'z dnia 2024-05-06' ELSE '(data nieznana)' END || ', KIO ' || doc_id || '/24; źródło: ' || source || '; wersja ' || sha256(text)[1:12] || '; pobrano 2024-06-01; domena publiczna'"
 _FILE = "regexp_replace(source || '/ ' || doc_id, '[^A-Za-z0-9._-]+', '_', 'g') || '.md'"
 ORACLE_SQL = {
-    "vintage_report": _R + "SELECT '20' || yy AS vintage, count(*) AS docs, count(*) AS complete, 0::BIGINT AS partial, 0::BIGINT AS none, sum(length(head || ruling || appeal || reasons))::BIGINT AS chars, 0::BIGINT AS unassigned_chars, sum(n)::BIGINT AS citations, 0::BIGINT AS unresolved FROM rulings JOIN (SELECT doc_id, count(*) AS n FROM spread GROUP BY 1) USING (doc_id) GROUP BY 1",
+    "vintage_report": _R + _VINTAGE + "SELECT * FROM v",
     "vintage_crosstab": "SELECT coalesce(o_orderpriority, 'brak') AS a, coalesce(CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y') END, 'brak') AS b, count(*) AS n FROM orders GROUP BY 1, 2",
     "corpus_totals": "SELECT count(*) AS docs, count(*) FILTER (v IS NULL) AS no_metadata, count(*) FILTER (v < 6) AS older, count(*) FILTER (lang IS NULL) AS no_date FROM documents LEFT JOIN (SELECT doc_id, 5 + max(quality) AS v FROM labels GROUP BY 1) USING (doc_id)",
-    "gold_check": _R + ", c AS (SELECT doc_id, count(*) AS n FROM spread GROUP BY 1) SELECT n <= 4 AS checked, n <= 3 AS conforms, CASE WHEN n = 4 THEN 'citations' ELSE '' END AS reasons, count(*) AS n FROM c GROUP BY ALL",
-    "corpus_profile": "WITH w AS (SELECT count(*) AS rows, count(doc_id) AS filled_doc_id, count(lang) AS filled_lang, count(source) AS filled_source, min(length(text))::BIGINT AS min_chars, max(length(text))::BIGINT AS max_chars, sum(length(text))::BIGINT AS sum_chars FROM documents) UNPIVOT w ON rows, filled_doc_id, filled_lang, filled_source, min_chars, max_chars, sum_chars INTO NAME measure VALUE value",
+    "gold_check": _R + ", c AS (SELECT doc_id, count(c.a) AS n FROM rulings LEFT JOIN cites c USING (doc_id) GROUP BY 1), g AS (SELECT doc_id % 7 <> 0 AS checked, doc_id % 5 = 0 AND n > 0 AS short FROM c) SELECT checked, checked AND NOT short AS conforms, CASE WHEN checked AND short THEN 'citations' ELSE '' END AS reasons, count(*) AS n FROM g GROUP BY ALL",
+    "corpus_profile": "WITH w AS (SELECT count(*)::DOUBLE AS rows, count(doc_id)::DOUBLE AS filled_doc_id, count(lang)::DOUBLE AS filled_lang, count(source)::DOUBLE AS filled_source, min(length(text))::DOUBLE AS min_chars, max(length(text))::DOUBLE AS max_chars, sum(length(text))::DOUBLE AS sum_chars, round(avg(length(text)), 3) AS mean_chars FROM documents) UNPIVOT w ON rows, filled_doc_id, filled_lang, filled_source, min_chars, max_chars, sum_chars, mean_chars INTO NAME measure VALUE value",
     "feature_prevalence": "WITH f AS (SELECT count(*) AS d, count(*) FILTER (lang = 'en') AS e, count(*) FILTER (len(string_split(text, chr(10))) > 5) AS l, count(*) FILTER (contains(text, '@')) AS m FROM documents), r AS (SELECT 'english' AS feature, e AS n, d, 0.6::DOUBLE AS expected, 0.1::DOUBLE AS tolerance FROM f UNION ALL SELECT 'many_lines', l, d, 0.5, 0.2 FROM f UNION ALL SELECT 'mail', m, d, 0.9, 0.05 FROM f) SELECT *, n / d AS share, abs(n / d - expected) <= tolerance AS fits FROM r",
     "label_topk": "SELECT source AS label, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, label LIMIT 40",
-    "corpus_digest": "WITH h AS (SELECT sha256(doc_id || ':' || sha256(text)) AS h FROM documents), p AS (SELECT h[1:2] AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM p",
+    "corpus_digest": "WITH h AS (SELECT sha256(doc_id || ':' || sha256(text)) AS h FROM documents), p AS (SELECT h[1:6] AS b, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY 1), q AS (SELECT b[1:3] AS b, sha256(string_agg(d, '' ORDER BY p.b)) AS d, sum(n) AS n FROM p GROUP BY p.b[1:3]) SELECT sum(n)::BIGINT AS n, sha256(string_agg(d, '' ORDER BY b)) AS digest FROM q",
     "sanitize_text": "SELECT doc_id, sha256('=' || text) AS clean, sha256('''=' || text) AS neutral FROM documents",
     "export_rows": "SELECT doc_id AS id, source || '; ' || lang AS tags, CASE lang WHEN 'en' THEN 'English (en)' WHEN 'de' THEN 'German (de)' WHEN 'fr' THEN 'French (fr)' ELSE lang END AS language, n_chars AS chars, 'KIO' AS organ, 'public data' AS attribution FROM documents",
-    "citation_block": "SELECT doc_id, 'Wyrok KIO ' || CASE WHEN lang = 'en' THEN 'z dnia 2024-05-06' ELSE '(data nieznana)' END || ', KIO ' || doc_id || '/24; źródło: ' || source || '; wersja ' || sha256(text)[1:12] || '; pobrano 2024-06-01; domena publiczna' AS block FROM documents",
-    "export_metadata": "WITH r AS (SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS s, strftime(max(ts), '%Y-%m-%d') AS f FROM events GROUP BY 1), w AS (SELECT (SELECT count(*) FROM r)::VARCHAR AS runs, (SELECT min(s) FROM r) AS started, (SELECT max(f) FROM r) AS finished, (SELECT count(*) FROM documents WHERE lang = 'en')::VARCHAR AS exported, (SELECT string_agg(source, ', ' ORDER BY source) FROM (SELECT DISTINCT source FROM documents WHERE lang = 'en')) AS channels, (SELECT count(*) FROM documents)::VARCHAR AS corpus, '{\"kinds\":[\"en\"]}' AS criteria) UNPIVOT w ON runs, started, finished, exported, channels, corpus, criteria INTO NAME key VALUE value",
+    "citation_block": f"SELECT doc_id, {_BLOCK} AS block FROM documents",
+    "export_metadata": "WITH r AS (SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS s, strftime(max(ts), '%Y-%m-%d') AS f FROM events GROUP BY 1), w AS (SELECT (SELECT count(*) FROM r)::VARCHAR AS runs, (SELECT min(s) FROM r) AS started, (SELECT max(f) FROM r) AS finished, (SELECT count(*) FROM documents WHERE lang = 'en')::VARCHAR AS exported, (SELECT string_agg(source, ', ' ORDER BY source) FROM (SELECT DISTINCT source FROM documents WHERE lang = 'en')) AS channels, (SELECT string_agg(v, ', ' ORDER BY v) FROM (SELECT DISTINCT (doc_id % 2 + 5)::VARCHAR AS v FROM documents WHERE lang = 'en')) AS versions, (SELECT count(*) FROM documents)::VARCHAR AS corpus, (SELECT count(*) FROM events)::VARCHAR AS requests, (SELECT count(*) FROM labels)::VARCHAR AS covered, (SELECT count(*) FROM labels WHERE toxic = 0)::VARCHAR AS fetched, '{\"kinds\":[\"en\"]}' AS criteria) UNPIVOT w ON runs, started, finished, exported, channels, versions, corpus, requests, covered, fetched, criteria INTO NAME key VALUE value",
     "export_index": f"SELECT {_FILE} AS file, doc_id::VARCHAR AS number, CASE WHEN lang = 'en' THEN '2024-05-06' ELSE 'data nieznana' END AS date, lang AS outcome FROM documents",
-    "reference_appendix": _R + ", c AS (SELECT doc_id, canon, count(*) AS n, min(before) AS spot FROM spread GROUP BY 1, 2) SELECT doc_id, string_agg('- ' || canon || ' ×' || n, chr(10) ORDER BY spot) AS appendix FROM c GROUP BY 1",
-    "citation_graph": _R + _OWN + "SELECT cited, count(*) AS n, count(DISTINCT s.doc_id) AS citing FROM spread s JOIN own USING (canon) GROUP BY 1",
-    "missing_rulings": _R + _OWN + "SELECT canon, count(*) AS n, count(DISTINCT doc_id) AS citing FROM spread WHERE canon NOT IN (SELECT canon FROM own) GROUP BY 1 ORDER BY n DESC, canon LIMIT 50",
-    "citation_sections": _R
-    + ", c AS (SELECT length(head || ruling || appeal) + length('Uzasadnienie') + 1 + before + length('Tak orzekła Izba w sprawie ') AS a, length(canon) AS l, length(head || ruling || appeal || reasons) AS n FROM spread JOIN rulings USING (doc_id)) SELECT 'uzasadnienie' AS section, count(*) AS n, sum(least(a + l + 200, n) - greatest(a - 200, 0))::BIGINT AS chars FROM c",
+    "reference_appendix": _R + ", f AS (SELECT doc_id, 0 AS part, canon AS name, a FROM cites WHERE canon IS NOT NULL UNION ALL SELECT s.doc_id, 1, form, spot + length(title) + before + length(lead_in) + length(canon) FROM spread s JOIN rulings USING (doc_id) UNION ALL SELECT doc_id, 1, 'art. 579 ust. 1', length(head || ruling) FROM rulings WHERE appeal <> ''), c AS (SELECT doc_id, part, name, count(*) AS n, min(a) AS a FROM f GROUP BY 1, 2, 3) SELECT doc_id, string_agg('- ' || name || ' ×' || n, chr(10) ORDER BY part, a, name) AS appendix FROM c GROUP BY 1",
+    "citation_graph": _R + _OWN + "SELECT cited, count(*) AS n, count(DISTINCT s.doc_id) AS citing FROM cites s JOIN named USING (canon) GROUP BY 1",
+    "missing_rulings": _R + _OWN + "SELECT canon, count(*) AS n, count(DISTINCT doc_id) AS citing FROM cites WHERE kind = 'kio' AND canon NOT IN (SELECT canon FROM named) GROUP BY 1 ORDER BY n DESC, canon LIMIT 50",
+    "citation_sections": _R + "SELECT CASE WHEN shape = 4 AND a >= spot + length(reasons) THEN 'zdanie_odrebne' ELSE 'uzasadnienie' END AS section, count(*) AS n, sum(least(a + l + 200, length(text)) - greatest(a - 200, 0))::BIGINT AS chars FROM cites JOIN rulings USING (doc_id) GROUP BY 1",
+    "vintage_json": _R + _VINTAGE + "SELECT '{\"vintage\":\"' || vintage || '\",\"docs\":' || docs || ',\"complete\":' || complete || ',\"partial\":' || partial || ',\"none\":' || none || '}' AS value FROM v",
+    "vintage_markdown": _R + _VINTAGE + "SELECT unnest([0, 1, 2, 3])::INT AS position, unnest(['## Coverage', '', '| vintage | docs | complete | partial | none |', '|---|---|---|---|---|']) AS value UNION ALL SELECT (row_number() OVER (ORDER BY vintage) + 3)::INT, '| ' || vintage || ' | ' || docs || ' | ' || complete || ' | ' || partial || ' | ' || none || ' |' FROM v",
+    "gold_draft": _R + "SELECT doc_id, sha256(text) AS sha256, CASE WHEN shape = 7 THEN 'nieprzypisane' ELSE 'naglowek' END AS first, length(head)::INT AS first_end FROM rulings",
+    "ruling_profile": _R + ", c AS (SELECT doc_id, count(c.a) AS n FROM rulings LEFT JOIN cites c USING (doc_id) GROUP BY 1), w AS (SELECT count(*)::DOUBLE AS rows, count(own)::DOUBLE AS filled_number, min(length(text))::DOUBLE AS min_chars, max(length(text))::DOUBLE AS max_chars, sum(length(text))::DOUBLE AS sum_chars, round(avg(length(text)), 3) AS mean_chars, count(*) FILTER (n > 0)::DOUBLE AS citing, sum(n)::DOUBLE AS citations, max(n)::DOUBLE AS most_citations FROM rulings JOIN c USING (doc_id)) UNPIVOT w ON rows, filled_number, min_chars, max_chars, sum_chars, mean_chars, citing, citations, most_citations INTO NAME measure VALUE value",
+    "outcome_split": "SELECT coalesce(o_orderstatus, 'brak') AS a, coalesce(o_orderpriority, 'brak') AS b, count(*) AS n FROM orders GROUP BY 1, 2",
+    "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("documents", "events", "labels", "orders", "pages")),
+    "export_jsonl": f"SELECT doc_id, {_BLOCK} AS citation, source, lang, n_chars FROM documents",
+    "export_markdown": f"SELECT {_FILE} AS file, sha256(value) AS sha256, length(value)::INT AS n_chars FROM (SELECT doc_id, source, '---' || chr(10) || 'title: Document ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || '> ' || {_BLOCK} || chr(10) || chr(10) || text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '- appendix' ELSE '' END AS value FROM documents)",
+    "export_dictionary": "SELECT * FROM (VALUES (0, 'id', 'bigint', 'number of the document'), (1, 'tags', 'string', ''), (2, 'language', 'string', ''), (3, 'chars', 'bigint', ''), (4, 'organ', 'string', 'who publishes'), (5, 'attribution', 'string', '')) v(position, \"column\", type, description) WHERE (SELECT count(*) FROM documents) >= 0",
+    "export_selection": "WITH l AS (SELECT floor(value)::BIGINT AS doc_id, event_id FROM events WHERE user_id IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY floor(value)::BIGINT ORDER BY ts, event_id) = 1) SELECT doc_id, source, event_id FROM documents JOIN l USING (doc_id)",
+    "replaced_rows": "SELECT 5 AS parse_version, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1 UNION ALL SELECT 6, count(*), sum(quality)::BIGINT FROM labels GROUP BY 1",
 }

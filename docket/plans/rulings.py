@@ -1,91 +1,148 @@
-"""Texts of rulings composed from orders, their lines and customers, and queries over them. The composition is SQL that both engines run, so the expected extraction follows from columns."""
+"""Texts of rulings composed from orders, their lines and customers, and queries over them. The composition is SQL that both engines run, so the expected extraction follows from columns.
+
+The last digit of an order's key decides the shape of its ruling: 1 a heading of spaced letters, 2 a repeated case number instead of a heading, 3 neither, so that the reasons begin below
+the signature, 4 a dissent, 5 sentences broken over lines and pages, 6 no appeal instruction, 7 no header, and numbers of other courts, 8 announced numbers that can't be read, or bare
+ones, and an operative part of spaced letters, 9 a heading glued to the signature's dots, 0 none of these.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docket.functions.identity import chamber_numbers, vintage
 from docket.operators import citations, provisions, sections
 from docket.sources.tables import table
 
-#: Parts of a ruling; {…} are columns.
-_HEAD = "'Sygn. akt: KIO ' || CAST(o_orderkey % 99999 + 1 AS STRING) || '/' || yy || chr(10) || 'WYROK' || chr(10) || 'z dnia ' || day || ' r.' || chr(10) || 'Krajowa Izba Odwoławcza, odwołujący: ' || c_name || ', po rozpoznaniu na rozprawie '"
-_RULING = "'orzeka:' || chr(10) || '1. oddala odwołanie;' || chr(10) || '2. kosztami obciąża odwołującego.' || chr(10)"
-_APPEAL = "'Stosownie do art. 579 ust. 1 ustawy z dnia 11 września 2019 r. Prawo zamówień publicznych na niniejszy wyrok przysługuje skarga.' || chr(10) || 'Przewodnicząca: ………' || chr(10)"
-_REASONS = "'Uzasadnienie' || chr(10) || body || ' Izba podziela te poglądy i oddala odwołanie w całości.'"
+#: Pieces of a ruling as SQL over the columns of an order (shape, o_orderkey, yy, day, c_name, o_custkey, body).
+_OWN = "'KIO ' || CAST(o_orderkey % 99999 + 1 AS STRING) || '/' || yy"
+_HEAD = (
+    f"CASE WHEN shape = 7 THEN '' ELSE 'Sygn. akt: ' || {_OWN} || chr(10) || 'WYROK' || chr(10) || 'z dnia ' || day || ' r.' || chr(10) END"
+    " || 'Krajowa Izba Odwoławcza, odwołujący: ' || c_name || ', po rozpoznaniu na rozprawie '"
+)
+_SIGNED = "'Przewodnicząca: ………' || CASE WHEN shape = 9 THEN '' ELSE chr(10) END"
+_RULING = f"CASE WHEN shape = 8 THEN 'po stana wia:' ELSE 'orzeka:' END || chr(10) || '1. oddala odwołanie;' || chr(10) || '2. kosztami obciąża odwołującego.' || chr(10) || CASE WHEN shape = 6 THEN {_SIGNED} ELSE '' END"
+_APPEAL = f"CASE WHEN shape = 6 THEN '' ELSE 'Stosownie do art. 579 ust. 1 ustawy z dnia 11 września 2019 r. Prawo zamówień publicznych na niniejszy wyrok przysługuje skarga.' || chr(10) || {_SIGNED} END"
+_TITLE = f"CASE shape WHEN 1 THEN 'Uz as adnienie' || chr(10) WHEN 2 THEN 'Sygn. akt: ' || {_OWN} || chr(10) WHEN 3 THEN '' ELSE 'Uzasadnienie' || chr(10) END"
+_CLOSING = "' Izba podziela te poglądy i oddala odwołanie w całości, ponieważ zarzuty nie znalazły potwierdzenia w zebranym materiale, a koszty ponosi odwołujący zgodnie z wynikiem sprawy.'"
+_UNREAD, _BARE = "'sygn. akt nieznana'", "'77/' || yy"
+_MORE = f"CASE shape WHEN 8 THEN ' Por. także ' || {_UNREAD} || ', oraz sygn. akt ' || {_BARE} || '.' WHEN 4 THEN chr(10) ELSE '' END"
+_AGAINST = "'KIO ' || CAST(o_custkey % 9999 + 1 AS STRING) || '/' || yy"
+_DISSENT = f"CASE WHEN shape = 4 THEN 'Zdanie odrębne' || chr(10) || 'Nie podzielam tego stanowiska, por. wyrok ' || {_AGAINST} || '.' ELSE '' END"
+_TEXT = f"{_HEAD} || {_RULING} || {_APPEAL} || {_TITLE} || body || {_CLOSING} || {_MORE} || {_DISSENT}"
 #: One sentence for each line of an order: a citation and a provision.
-_CITED = "'KIO ' || CAST(l_partkey AS STRING) || '/' || yy"
-_SENTENCE = f"'Tak orzekła Izba w sprawie ' || {_CITED} || ', na podstawie art. ' || CAST(l_suppkey AS STRING) || ' ust. ' || CAST(l_linenumber AS STRING) || ' ustawy Pzp.'"
+_FAMILY = "CASE WHEN shape <> 7 THEN 0 ELSE l_linenumber % 5 END"
+_SMALL = "CAST(l_partkey % 1000 + 1 AS STRING)"
+_CITED = f"CASE {_FAMILY} WHEN 0 THEN 'KIO ' || CAST(l_partkey AS STRING) WHEN 1 THEN 'II CSK ' || CAST(l_partkey AS STRING) WHEN 2 THEN 'II SA/Wa ' || CAST(l_partkey AS STRING) WHEN 3 THEN 'C-' || {_SMALL} ELSE 'UZP/ZO/0-' || {_SMALL} END || '/' || yy"
+_COURT = f"CASE {_FAMILY} WHEN 0 THEN 'kio' WHEN 1 THEN 'sn' WHEN 2 THEN 'wsa' WHEN 3 THEN 'tsue' ELSE 'uzp_zo' END"
+_LEAD = "'Tak orzekła Izba' || CASE WHEN shape = 5 THEN chr(10) || chr(12) ELSE ' ' END || 'w sprawie '"
+_FORM = "'art. ' || CAST(l_suppkey AS STRING) || ' ust. ' || CAST(l_linenumber AS STRING) || CASE WHEN l_linenumber % 4 = 3 THEN ' pkt 5 lit. b' ELSE '' END"
+_STATUTE = "CASE l_linenumber % 3 WHEN 0 THEN 'ustawy Pzp' WHEN 1 THEN 'kodeksu cywilnego' ELSE 'Kodeksu postępowania cywilnego' END"
+_ACT = "CASE l_linenumber % 3 WHEN 0 THEN CASE WHEN shape = 6 THEN 'nieustalone' ELSE 'pzp2019' END WHEN 1 THEN 'kc' ELSE 'kpc' END"
+_SENTENCE = f"{_LEAD} || {_CITED} || ', na podstawie ' || {_FORM} || ' ' || {_STATUTE} || '.'"
 
 #: Composed as it stands by DuckDB; Spark differs in how it joins the sentences in order.
 DUCKDB = f"""
-WITH years AS (SELECT o_orderkey, o_custkey, substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 3, 2) AS yy, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM orders),
-cited AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, yy, {_CITED} AS canon, {_SENTENCE} AS sentence FROM lineitem JOIN years ON o_orderkey = l_orderkey),
-bodies AS (SELECT l_orderkey, string_agg(sentence, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS body FROM cited GROUP BY l_orderkey),
-rulings AS (
-  SELECT o_orderkey AS doc_id, yy, {_HEAD} AS head, {_RULING} AS ruling, {_APPEAL} AS appeal, {_REASONS} AS reasons
-  FROM years JOIN customer ON c_custkey = o_custkey JOIN bodies ON l_orderkey = o_orderkey),
+WITH years AS (SELECT o_orderkey, o_custkey, CAST(o_orderkey % 10 AS INT) AS shape, substring(CAST(CAST(o_orderdate AS DATE) AS STRING), 3, 2) AS yy, CAST(CAST(o_orderdate AS DATE) AS STRING) AS day FROM orders),
 spread AS (
-  SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey, yy, canon, sentence,
-    coalesce(sum(length(sentence) + 1) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS nth
-  FROM cited)
+  SELECT *, coalesce(sum(length(sentence) + 1) OVER (PARTITION BY doc_id ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT l_orderkey AS doc_id, l_linenumber, l_partkey, l_suppkey, shape, yy, {_CITED} AS canon, {_COURT} AS kind, {_LEAD} AS lead_in, {_FORM} AS form, {_ACT} AS act, {_SENTENCE} AS sentence
+    FROM lineitem JOIN years ON o_orderkey = l_orderkey)),
+bodies AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS body, count(*) AS n_lines FROM spread GROUP BY doc_id),
+rulings AS (
+  SELECT doc_id, shape, yy, n_lines, {_OWN} AS own, {_HEAD} AS head, {_RULING} AS ruling, {_APPEAL} AS appeal, {_TITLE} AS title, {_TITLE} || body || {_CLOSING} || {_MORE} AS reasons, {_DISSENT} AS dissent,
+    {_TEXT} AS text, length({_HEAD} || {_RULING} || {_APPEAL}) AS spot, length(body || {_CLOSING}) AS told, {_AGAINST} AS against
+  FROM years JOIN customer ON c_custkey = o_custkey JOIN bodies ON doc_id = o_orderkey),
+found AS (
+  SELECT s.doc_id, spot + length(title) + before + length(lead_in) AS a, length(canon) AS l, canon AS raw, s.kind, canon FROM spread s JOIN rulings USING (doc_id)
+  UNION ALL SELECT doc_id, spot + length(title) + told + length(' Por. także '), length({_UNREAD}), {_UNREAD}, 'inne', NULL FROM rulings WHERE shape = 8
+  UNION ALL SELECT doc_id, spot + length(title) + told + length(' Por. także ' || {_UNREAD} || ', oraz sygn. akt '), length({_BARE}), {_BARE}, 'kio_bez_repertorium', 'KIO ' || {_BARE} FROM rulings WHERE shape = 8
+  UNION ALL SELECT doc_id, spot + length(reasons) + length('Zdanie odrębne' || chr(10) || 'Nie podzielam tego stanowiska, por. wyrok '), length(against), against, 'kio', against FROM rulings WHERE shape = 4),
+cites AS (SELECT f.*, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS ord FROM found f JOIN rulings USING (doc_id) WHERE NOT (kind = 'kio' AND canon = own)),
+cut AS (
+  SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS ord, substring(text, (a + 1)::BIGINT, (b - a)::BIGINT) AS part FROM (
+    SELECT doc_id, text, CASE WHEN shape = 7 THEN 'nieprzypisane' ELSE 'naglowek' END AS kind, 0 AS a, length(head) AS b FROM rulings
+    UNION ALL SELECT doc_id, text, 'sentencja', length(head), length(head || ruling) FROM rulings
+    UNION ALL SELECT doc_id, text, 'pouczenie', length(head || ruling), spot FROM rulings WHERE appeal <> ''
+    UNION ALL SELECT doc_id, text, 'uzasadnienie', spot, spot + length(reasons) FROM rulings
+    UNION ALL SELECT doc_id, text, 'zdanie_odrebne', spot + length(reasons), length(text) FROM rulings WHERE dissent <> '')),
+forms AS (
+  SELECT doc_id, 'tresc' AS source, form, act FROM spread
+  UNION ALL SELECT doc_id, 'tresc', 'art. 579 ust. 1', 'pzp2019' FROM rulings WHERE appeal <> ''
+  UNION ALL SELECT doc_id, 'kanal', form, 'nieustalone' FROM spread)
 """.replace("AS STRING", "AS VARCHAR")
 
 
 def compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, yy, text, listed: a ruling for each order with lines; listed is what a channel would list of its provisions."""
-    orders, lines, customer = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
-    years = orders.selectExpr("o_orderkey", "o_custkey", "substring(cast(cast(o_orderdate as date) as string), 3, 2) as yy", "cast(cast(o_orderdate as date) as string) as day")
-    cited = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(years.select("o_orderkey", "yy"), F.col("o_orderkey") == F.col("l_orderkey"))
-    cited = cited.selectExpr("l_orderkey", "struct(l_linenumber, l_partkey, l_suppkey) as k", f"{_SENTENCE} as sentence", "'art. ' || cast(l_suppkey as string) || ' ust. ' || cast(l_linenumber as string) as listed")
-    grouped = cited.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", "sentence", "listed"))).alias("a"))
-    bodies = grouped.select("l_orderkey", F.array_join(F.transform("a", lambda x: x["sentence"]), " ").alias("body"), F.transform("a", lambda x: x["listed"]).alias("listed"))
-    rows = years.join(bodies, F.col("l_orderkey") == F.col("o_orderkey")).join(customer.select("c_custkey", "c_name"), F.col("c_custkey") == F.col("o_custkey"))
-    return rows.selectExpr("o_orderkey as doc_id", "yy", "listed", f"{_HEAD} || {_RULING} || {_APPEAL} || {_REASONS} as text")
+    """doc_id, yy, number, text, listed: a ruling for each order with lines; number is its own case number, listed what a channel would list of its provisions."""
+    return composed(spark, sf_dir).select("doc_id", "yy", "number", "listed", "text")
 
 
-def _cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = compose(spark, sf_dir)
-    return docs, sections.segment(docs)
+def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """compose with what the pieces hold: shape, sizes of the pieces, and in order of the lines sentences as lead, canon, kind, form, act, size."""
+    orders, lines, customer = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    years = orders.selectExpr("o_orderkey", "o_custkey", "cast(o_orderkey % 10 as int) as shape", "substring(cast(cast(o_orderdate as date) as string), 3, 2) as yy", "cast(cast(o_orderdate as date) as string) as day")
+    cited = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(years.select("o_orderkey", "shape", "yy"), F.col("o_orderkey") == F.col("l_orderkey"))
+    told = f"struct(l_linenumber, l_partkey, l_suppkey, {_SENTENCE} as sentence, length({_LEAD}) as lead_in, {_CITED} as canon, {_COURT} as kind, {_FORM} as form, {_ACT} as act)"
+    grouped = cited.selectExpr("l_orderkey", f"{told} as s").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("told"))
+    bodies = grouped.select("l_orderkey", "told", F.array_join("told.sentence", " ").alias("body"))
+    rows = years.join(bodies, F.col("l_orderkey") == F.col("o_orderkey")).join(customer.select("c_custkey", "c_name"), F.col("c_custkey") == F.col("o_custkey"))
+    sizes = [f"length({x}) as {n}" for x, n in ((_HEAD, "n_head"), (_RULING, "n_ruling"), (_APPEAL, "n_appeal"), (_TITLE, "n_title"), (_MORE, "n_more"), (_DISSENT, "n_dissent"), (f"body || {_CLOSING}", "n_told"))]
+    return rows.selectExpr("o_orderkey as doc_id", "shape", "yy", f"{_OWN} as number", f"{_AGAINST} as against", "told", *sizes, "told.form as listed", f"{_TEXT} as text")
 
 
 def sections_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cut(spark, sf_dir)[1].select("doc_id", "ord", "kind", "start", "end", "sha256")
+    return sections.segment(compose(spark, sf_dir)).select("doc_id", "ord", "kind", "start", "end", "sha256")
 
 
 def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.section_coverage(_cut(spark, sf_dir)[1])
+    return sections.section_coverage(sections.segment(compose(spark, sf_dir)))
 
 
 def split_text_lossless(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cut = _cut(spark, sf_dir)
-    grouped = cut.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "kind")).alias("s"))
-    parts = docs.join(grouped, "doc_id", "left").select("doc_id", "text", sections.split_text(F.col("text"), F.coalesce("s", F.array().cast("array<struct<start:int,end:int,kind:string>>"))).alias("p"))
+    """The dissents are left out of the sections, so their text comes as a gap."""
+    docs = sections.with_spans(compose(spark, sf_dir))
+    known = F.transform(F.filter("spans", lambda s: s["kind"] != "zdanie_odrebne"), lambda s: F.named_struct(F.lit("start"), s["start"], F.lit("end"), s["end"], F.lit("kind"), s["kind"]))
+    parts = docs.select("doc_id", sections.split_text(F.col("text"), known).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["part"]), "")
-    return parts.select("doc_id", F.size("p").alias("n_parts"), F.length(joined).alias("n_chars"), F.sha2(joined, 256).alias("sha256"))
+    gaps = F.size(F.filter("p", lambda x: x["kind"].isNull()))
+    return parts.select("doc_id", F.size("p").alias("n_parts"), gaps.alias("n_gaps"), F.length(joined).alias("n_chars"), F.sha2(joined, 256).alias("sha256"))
+
+
+def headed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with a heading before each section."""
+    docs = sections.with_spans(compose(spark, sf_dir))
+    known = F.transform("spans", lambda s: F.named_struct(F.lit("start"), s["start"], F.lit("end"), s["end"], F.lit("kind"), s["kind"]))
+    parts = docs.select("doc_id", sections.split_text(F.col("text"), known).alias("p"))
+    return parts.select("doc_id", F.sha2(sections.with_headings(F.col("p"), LABELS), 256).alias("sha256"))
+
+
+def selective_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The map of all sections, with the text of operative parts and dissents alone."""
+    return sections.selective_read(sections.with_spans(compose(spark, sf_dir)), ("sentencja", "zdanie_odrebne"), found="spans").select("doc_id", "ord", "kind", "start", "end", "part")
 
 
 def citations_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cut = _cut(spark, sf_dir)
-    return citations.citations(docs, cut).select("doc_id", "ord", "start", "end", "raw", "kind", "canon")
+    return cited(spark, sf_dir).select("doc_id", "ord", "start", "end", "raw", "kind", "canon")
+
+
+def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return citations.citations(compose(spark, sf_dir).withColumn("own", F.array("number")), own="own")
 
 
 def citation_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cut = _cut(spark, sf_dir)
-    return citations.citation_kinds(citations.citations(docs, cut))
+    return citations.citation_kinds(cited(spark, sf_dir))
 
 
 def case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from docket.functions.identity import chamber_numbers, vintage
-
-    rows = compose(spark, sf_dir).select("doc_id", chamber_numbers(F.col("text")).alias("numbers"))
-    return rows.select("doc_id", F.get("numbers", F.lit(0)).alias("own"), vintage(F.get("numbers", F.lit(0))).alias("vintage"), F.size("numbers").alias("n_numbers"))
+    rows = compose(spark, sf_dir).select("doc_id", "number", chamber_numbers(F.col("text")).alias("numbers"))
+    first = F.get("numbers", F.lit(0))
+    return rows.select("doc_id", (first == F.col("number")).alias("own_first"), vintage(F.col("number")).alias("vintage"), F.size("numbers").alias("n_numbers"))
 
 
 def _provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cut = _cut(spark, sf_dir)
-    return provisions.from_text(docs, cut).unionByName(provisions.from_channel(docs, "listed"))
+    docs = compose(spark, sf_dir)
+    return provisions.from_text(docs).unionByName(provisions.from_channel(docs, "listed"))
 
 
 def provision_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,33 +157,24 @@ def provision_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provisions.containment(_provisions(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (sections_map, section_coverage, split_text_lossless, citations_offsets, citation_kinds, case_numbers, provision_forms, statute_by_context, provision_containment)}
+LABELS = {"naglowek": "Nagłówek", "sentencja": "Sentencja", "pouczenie": "Pouczenie", "uzasadnienie": "Uzasadnienie"}
+QUERIES = {f.__name__: f for f in (
+    sections_map, section_coverage, split_text_lossless, headed_text, selective_read, citations_offsets, citation_kinds, case_numbers, provision_forms, statute_by_context, provision_containment,
+)}
 
-#: A section's end leaves out the white space before the next one.
-_SECTIONS = """, cut AS (
-  SELECT doc_id, 0 AS ord, 'naglowek' AS kind, 0 AS a, length(head) AS b, head AS body FROM rulings
-  UNION ALL SELECT doc_id, 1, 'sentencja', length(head), length(head || ruling), ruling FROM rulings
-  UNION ALL SELECT doc_id, 2, 'pouczenie', length(head || ruling), length(head || ruling || appeal), appeal FROM rulings
-  UNION ALL SELECT doc_id, 3, 'uzasadnienie', length(head || ruling || appeal), length(head || ruling || appeal || reasons), reasons FROM rulings)
-"""
-_WHOLE = "head || ruling || appeal || reasons"
-_START = "length(head || ruling || appeal) + length('Uzasadnienie') + 1 + before + length('Tak orzekła Izba w sprawie ')"
-_FORMS = """, forms AS (
-  SELECT doc_id, 'tresc' AS source, 'art. ' || l_suppkey || ' ust. ' || l_linenumber AS form, 'pzp2019' AS act FROM spread
-  UNION ALL SELECT doc_id, 'tresc', 'art. 579 ust. 1', 'pzp2019' FROM rulings
-  UNION ALL SELECT doc_id, 'kanal', 'art. ' || l_suppkey || ' ust. ' || l_linenumber, 'nieustalone' FROM spread)
-"""
+_TITLES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
 ORACLE_SQL = {
-    "sections_map": DUCKDB + _SECTIONS + "SELECT doc_id, ord::INT AS ord, kind, a::INT AS start, b::INT AS \"end\", sha256(body) AS sha256 FROM cut",
-    "section_coverage": DUCKDB + _SECTIONS + "SELECT " + ", ".join(f"coalesce(sum(CASE WHEN kind = '{k}' THEN b - a END), 0)::BIGINT AS {k}" for k in sections.KINDS) + " FROM cut",
-    "split_text_lossless": DUCKDB + f"SELECT doc_id, 4 AS n_parts, length({_WHOLE})::INT AS n_chars, sha256({_WHOLE}) AS sha256 FROM rulings",
-    "citations_offsets": DUCKDB + f"SELECT doc_id, (nth - 1)::INT AS ord, ({_START})::INT AS start, ({_START} + length(canon))::INT AS \"end\", canon AS raw, 'kio' AS kind, canon FROM spread JOIN rulings USING (doc_id)",
-    "citation_kinds": DUCKDB + "SELECT 'kio' AS kind, count(*) AS n FROM spread",
+    "sections_map": DUCKDB + 'SELECT doc_id, ord, kind, a::INT AS start, b::INT AS "end", sha256(part) AS sha256 FROM cut',
+    "section_coverage": DUCKDB + "SELECT " + ", ".join(f"coalesce(sum(CASE WHEN kind = '{k}' THEN b - a END), 0)::BIGINT AS {k}" for k in sections.KINDS) + " FROM cut",
+    "split_text_lossless": DUCKDB + "SELECT doc_id, count(*)::INT AS n_parts, count(*) FILTER (kind = 'zdanie_odrebne')::INT AS n_gaps, length(any_value(text))::INT AS n_chars, sha256(any_value(text)) AS sha256 FROM cut GROUP BY doc_id",
+    "headed_text": DUCKDB + f"SELECT doc_id, sha256(string_agg('## ' || CASE kind {_TITLES} ELSE kind END || chr(10) || part, '' ORDER BY ord)) AS sha256 FROM cut GROUP BY doc_id",
+    "selective_read": DUCKDB + "SELECT doc_id, ord, kind, a::INT AS start, b::INT AS \"end\", CASE WHEN kind IN ('sentencja', 'zdanie_odrebne') THEN part END AS part FROM cut",
+    "citations_offsets": DUCKDB + 'SELECT doc_id, ord, a::INT AS start, (a + l)::INT AS "end", raw, kind, canon FROM cites',
+    "citation_kinds": DUCKDB + "SELECT CASE WHEN canon IS NULL THEN 'nierozpoznane' ELSE kind END AS kind, count(*) AS n FROM cites GROUP BY 1",
     "case_numbers": DUCKDB
-    + ", own AS (SELECT doc_id, 'KIO ' || (doc_id % 99999 + 1) || '/' || yy AS own, yy FROM rulings) SELECT doc_id, own, '20' || yy AS vintage, (SELECT count(DISTINCT c) FROM (SELECT canon AS c FROM spread s WHERE s.doc_id = own.doc_id UNION SELECT own.own))::INT AS n_numbers FROM own",
-    "provision_forms": DUCKDB + _FORMS + "SELECT doc_id, source, form, act, count(*) AS n FROM forms GROUP BY ALL",
-    "statute_by_context": DUCKDB + _FORMS + "SELECT source, act, count(*) AS n FROM forms GROUP BY ALL",
+    + ", every AS (SELECT doc_id, canon AS c FROM spread WHERE kind = 'kio' UNION SELECT doc_id, own FROM rulings WHERE shape <> 7 UNION SELECT doc_id, against FROM rulings WHERE shape = 4), heads AS (SELECT doc_id, CASE WHEN shape = 7 THEN min_by(canon, before) FILTER (spread.kind = 'kio') ELSE any_value(own) END AS first FROM rulings JOIN spread USING (doc_id, shape) GROUP BY doc_id, shape) SELECT doc_id, first = own AS own_first, '20' || yy AS vintage, (SELECT count(*) FROM every e WHERE e.doc_id = rulings.doc_id)::INT AS n_numbers FROM rulings JOIN heads USING (doc_id)",
+    "provision_forms": DUCKDB + "SELECT doc_id, source, form, act, count(*) AS n FROM forms GROUP BY ALL",
+    "statute_by_context": DUCKDB + "SELECT source, act, count(*) AS n FROM forms GROUP BY ALL",
     "provision_containment": DUCKDB
-    + _FORMS
     + ", f AS (SELECT doc_id, form, max((source = 'kanal')::INT) AS c, max((source = 'tresc')::INT) AS t FROM forms GROUP BY ALL) SELECT sum(c)::BIGINT AS channel, sum(t)::BIGINT AS text, sum(c * t)::BIGINT AS \"both\", sum(c * t) / sum(c)::DOUBLE AS in_text, sum(c * t) / sum(t)::DOUBLE AS in_channel FROM f",
 }

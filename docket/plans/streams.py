@@ -2,44 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.sources.records import candidates, decode
-from docket.sources.tables import table
+from docket.operators import runs
+from docket.sources.records import candidates, decode, first_candidates, page_checks
+from docket.sources.tables import shared_folder, table
 from docket.streaming import ingest
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="docket-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def stream_ingest_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, streamed twice: the second time adds nothing."""
-    out, path = _folder(spark), f"{sf_dir}/documents.parquet"
+    """All documents, streamed twice: the second time adds nothing. Then another stream writes the versions of a batch and is cut off before its commit."""
+    out, path = shared_folder(spark, "stream"), f"{sf_dir}/documents.parquet"
     schema = spark.read.parquet(path).schema
     for k in (1, 2):
         files = spark.readStream.schema(schema).parquet(f"{path}*").select("doc_id", "text", F.to_timestamp(F.lit("2024-01-01")).alias("seen_at"))
         ingest.start(files, out, f"{out}/checkpoint-{k}").awaitTermination()
-    return ingest.committed(spark, out).select("doc_id", "sha256")
+    cut_off = spark.read.parquet(path).select("doc_id", F.lit("0").alias("sha256"), F.to_timestamp(F.lit("2024-01-02")).alias("seen_at"), F.lit(1).alias("load"), F.lit("cut off").alias("stream"), F.lit(0).cast("long").alias("batch_id"))
+    cut_off.write.mode("append").parquet(f"{out}/versions")
+    ingest.settle(spark, out, f"{out}/settled")
+    return ingest.committed(spark, f"{out}/settled").select("doc_id", "sha256")
 
 
 def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of each run by the hour; all of one batch, so nothing is late."""
-    out, path = _folder(spark), f"{sf_dir}/events.parquet"
+    """Requests of each run by the hour; the hours that the watermark has not passed at the end don't come out."""
+    out, path = shared_folder(spark, "stream"), f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("run_id"))
     counted = ingest.budget(stream, 3600, 2).select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "run_id", "n", "over")
-
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/result")
-
-    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/result")
+    counted.writeStream.format("parquet").outputMode("append").option("path", f"{out}/result").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{out}/result")
 
 
 def record_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,19 +41,49 @@ def record_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "decoded", "source_ref", F.array_join("sygnatury", ";").alias("sygnatury"), "rozstrzygniecie", "koszty")
 
 
-def listing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as listing pages, a record for each turn; assistants' turns have no slug."""
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as listing pages, a record for each turn; assistants' turns have no slug, and of every fifth page it isn't said whether more follow."""
     slug = F.when(F.col("role") == "user", F.concat(F.lit('"slug": "'), "conv_id", F.lit("-"), "turn", F.lit('", '))).otherwise("")
     record = F.concat(F.lit("{"), slug, F.lit('"primary_signature": "KIO '), "turn", F.lit('/24"}'))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", record.alias("r")).groupBy(F.col("conv_id").alias("page")).agg(F.array_sort(F.collect_list(F.struct("turn", "r"))).alias("a"))
-    pages = rows.select("page", F.concat(F.lit('{"has_more": true, "data": ['), F.array_join(F.transform("a", lambda x: x["r"]), ","), F.lit("]}")).alias("body"))
-    return candidates(pages).select("page", "idx", "source_ref", F.array_join("sygnatury", ";").alias("sygnatury"), "good")
+    more = F.when(F.col("page") % 5 == 0, "1").otherwise("true")
+    return rows.select("page", F.concat(F.lit('{"has_more": '), more, F.lit(', "data": ['), F.array_join(F.transform("a", lambda x: x["r"]), ","), F.lit("]}")).alias("body"))
+
+
+def listing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(_pages(spark, sf_dir)).select("page", "idx", "source_ref", F.array_join("sygnatury", ";").alias("sygnatura"), "good")
+
+
+def listing_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records without a slug, by page."""
+    return candidates(_pages(spark, sf_dir)).filter("not good").groupBy("page").agg(F.count("*").alias("n"))
+
+
+def listing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_checks(_pages(spark, sf_dir), 50)
+
+
+def first_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 candidates that a load with that cap would take."""
+    return first_candidates(candidates(_pages(spark, sf_dir)), 25).select("page", "idx", "source_ref")
+
+
+def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for a batch of candidates: toxic ones are known, those of bad quality couldn't be read, and those without a document are missing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("there")).distinct()
+    batch = table(spark, sf_dir, "labels").join(docs, "doc_id", "left")
+    return runs.outcome_summary(batch.select((F.col("toxic") == 0).alias("nowy"), F.col("there").isNull().alias("missing"), (F.col("quality") == 0).alias("parse_error")))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest_equals_batch, stream_budget, record_decode, listing_candidates)}
+QUERIES = {f.__name__: f for f in (stream_ingest_equals_batch, stream_budget, record_decode, listing_candidates, listing_rejects, listing_checks, first_listed, batch_outcome)}
+_LISTED = "l AS (SELECT conv_id AS page, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1)::INT AS idx, CASE WHEN role = 'user' THEN conv_id || '-' || turn END AS source_ref, 'KIO ' || turn || '/24' AS sygnatura, role = 'user' AS good FROM conversations) "
 ORACLE_SQL = {
     "stream_ingest_equals_batch": "SELECT DISTINCT doc_id, sha256(text) AS sha256 FROM documents",
-    "stream_budget": "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, user_id AS run_id, count(*) AS n, count(*) > 2 AS over FROM events GROUP BY 1, 2",
+    "stream_budget": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, user_id AS run_id, count(*) AS n, count(*) > 2 AS over FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2",
     "record_decode": "SELECT doc_id, doc_id % 3 <> 0 AS decoded, CASE WHEN doc_id % 3 <> 0 THEN doc_id::VARCHAR END AS source_ref, CASE WHEN doc_id % 3 <> 0 THEN 'KIO ' || doc_id || '/24' END AS sygnatury, NULL::VARCHAR AS rozstrzygniecie, CASE WHEN doc_id % 3 <> 0 AND n_chars % 2 = 0 THEN n_chars::DOUBLE END AS koszty FROM documents",
-    "listing_candidates": "SELECT conv_id AS page, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1)::INT AS idx, CASE WHEN role = 'user' THEN conv_id || '-' || turn END AS source_ref, 'KIO ' || turn || '/24' AS sygnatury, role = 'user' AS good FROM conversations",
+    "listing_candidates": "WITH " + _LISTED + "SELECT * FROM l",
+    "listing_rejects": "WITH " + _LISTED + "SELECT page, count(*) AS n FROM l WHERE NOT good GROUP BY page",
+    "listing_checks": "SELECT count(DISTINCT conv_id) AS pages, count(DISTINCT conv_id) FILTER (conv_id % 5 = 0) AS bad_flags, max(conv_id) > 50 AS runaway FROM conversations",
+    "first_listed": "WITH " + _LISTED + "SELECT page, idx, source_ref FROM l WHERE good ORDER BY page, idx LIMIT 25",
+    "batch_outcome": "SELECT count(*) AS candidates, count(*) FILTER (toxic = 0) AS new, count(*) FILTER (toxic <> 0) AS skipped, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM documents)) AS missing, count(*) FILTER (quality = 0) AS errors FROM labels",
 }

@@ -1,38 +1,55 @@
-"""Incremental load of documents: each micro-batch appends versions that aren't there yet, and is committed by a row written last, so a replay adds nothing."""
+"""Incremental load of documents: each micro-batch appends its versions, and is committed by a row written last; what was seen before, or by a batch that ran twice, is left out when the
+versions are read, so a batch costs what it holds, however much was loaded before."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.operators.ledger import new_versions
 
-VERSIONS = "doc_id long, sha256 string, seen_at timestamp, load int, batch_id long"
+VERSIONS = "doc_id long, sha256 string, seen_at timestamp, load int, stream string, batch_id long"
+COMMITS = "stream string, batch_id long"
+
+
+def stream_name(checkpoint: str) -> str:
+    """A stream is named by where its progress is kept: batch numbers count within it."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """Versions of batches that have their commit row; rows of a batch that was cut off are as if not there. A batch that ran twice counts once."""
-    rows = spark.read.schema(VERSIONS).option("pathGlobFilter", "*.parquet").parquet(f"{path}/versions")
-    done = spark.read.schema("batch_id long").parquet(f"{path}/commits").distinct()
-    return rows.join(F.broadcast(done), "batch_id").dropDuplicates(["doc_id", "sha256"])  # a row for each batch
+    """doc_id, sha256, seen_at, load: the first sighting of each version in the batches of all streams that have their commit row; rows of a batch that was cut off are as if not there."""
+    rows = spark.read.schema(VERSIONS).parquet(f"{path}/versions")
+    done = spark.read.schema(COMMITS).parquet(f"{path}/commits").distinct()
+    return new_versions(rows.join(done, ["stream", "batch_id"], "left_semi"))
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, load: int = 1):
-    """A query that appends new versions of the stream's documents (doc_id, text, seen_at) under path, for all that is there now."""
-    spark = stream.sparkSession
-    for name, schema in (("versions", VERSIONS), ("commits", "batch_id long")):
-        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{name}")
+    """A query that appends the versions of the stream's documents (doc_id, text, seen_at) under path, for all that is there now."""
+    spark, name = stream.sparkSession, stream_name(checkpoint)
+    for table, schema in (("versions", VERSIONS), ("commits", COMMITS)):
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{path}/{table}")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), "seen_at", F.lit(load).alias("load"))
-        fresh = new_versions(rows, committed(spark, path)).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        fresh.select("doc_id", "sha256", "seen_at", "load", "batch_id").write.mode("append").parquet(f"{path}/versions")
-        spark.range(batch_id, batch_id + 1).select(F.col("id").alias("batch_id")).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+        mark = {"stream": F.lit(name), "batch_id": F.lit(batch_id).cast("long")}
+        new_versions(rows).withColumns(mark).write.mode("append").parquet(f"{path}/versions")
+        spark.range(1).select(*[c.alias(n) for n, c in mark.items()]).coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def settle(spark: SparkSession, path: str, to: str) -> None:
+    """The committed versions written anew under to, each once, as one committed batch."""
+    mark = {"stream": F.lit("settled"), "batch_id": F.lit(0).cast("long")}
+    committed(spark, path).withColumns(mark).write.parquet(f"{to}/versions")
+    spark.range(1).select(*[c.alias(n) for n, c in mark.items()]).coalesce(1).write.parquet(f"{to}/commits")
+
+
 def budget(stream: DataFrame, seconds: int = 60, most: int = 450, late: str = "10 minutes", ts: str = "ts") -> DataFrame:
-    """window, run_id, n, over: requests of each run in each window of so many seconds; rows later than the watermark are left out."""
+    """window, run_id, n, over: requests of each run in each window of so many seconds, to be written in append mode: a window comes out once, when the watermark has passed its end,
+    and its state goes; rows that come later than that are left out."""
     span = F.window(F.col(ts), f"{seconds} seconds")
     return stream.withWatermark(ts, late).groupBy(span.alias("window"), "run_id").agg(F.count("*").alias("n")).withColumn("over", F.col("n") > most)

@@ -38,6 +38,25 @@ def test_sections_cover_the_text(ruling):
     assert totals.zdanie_odrebne == 0 and totals.nieprzypisane == 10
 
 
+OTHERS = {  # texts and the kinds of their sections
+    "bez\nSygn. akt: KIO 1/20\npostanawia: odrzuca.\nPrzewodniczący: ……\nSygn. akt: KIO 1/20\n" + "Izba uznała, że odwołanie nie jest zasadne. " * 6: ["naglowek", "sentencja", "uzasadnienie"],
+    "Sygn. akt: KIO 1/20\norzeka: oddala.\nPrzewodniczący: ……\n….……\n12\n" + "Izba uznała, że odwołanie nie jest zasadne. " * 6: ["naglowek", "sentencja", "uzasadnienie"],
+    "Sygn. akt: KIO 1/20\norzeka: oddala.\nPrzewodniczący: ……\nZa krótko.": ["naglowek", "sentencja"],
+    "Sygn. akt: KIO 1/20\no rzeka: oddala.\nPrzewodniczący: ………Uzasadnienie\nTak.\nZ danie odrębne\nNie.": ["naglowek", "sentencja", "uzasadnienie", "zdanie_odrebne"],
+    "Wstęp bez numeru\norzeka 1. oddala.\nUzasadnienie:\nTak.": ["nieprzypisane", "sentencja", "uzasadnienie"],
+    "Uzasadnienie do wyroku z dnia\nTak.\nPouczenie: na orzeczenie przysługuje skarga.": ["nieprzypisane", "pouczenie"],  # an instruction after which no reasons come
+}
+
+
+def test_sections_by_every_fallback(spark):
+    docs = spark.createDataFrame(list(enumerate(OTHERS)), "doc_id int, text string")
+    rows = sections.segment(docs).orderBy("doc_id", "ord").collect()
+    for k, (text, kinds) in enumerate(OTHERS.items()):
+        own = [r for r in rows if r.doc_id == k]
+        assert [r.kind for r in own] == kinds, text
+        assert own[0].start == len(text) - len(text.lstrip()) and all(a.end <= b.start and not text[a.end : b.start].strip() for a, b in zip(own, own[1:])) and not text[own[-1].end :].strip()
+
+
 def test_split_text_loses_nothing(spark):
     df = spark.sql("select 'abcdefghij' as t, array(named_struct('start', 2, 'end', 5, 'kind', 'x'), named_struct('start', 4, 'end', 7, 'kind', 'y')) as s")
     parts = df.select(sections.split_text(F.col("t"), F.col("s")).alias("p"))
@@ -48,14 +67,14 @@ def test_split_text_loses_nothing(spark):
 
 def test_citations_and_unread_ones(ruling):
     docs, cut = ruling
-    rows = citations.citations(docs, cut, own="own").orderBy("ord").collect()
+    rows = citations.citations(docs, own="own").orderBy("ord").collect()
     assert [(r.kind, r.canon) for r in rows] == [("kio", "KIO 20/22"), ("kio_bez_repertorium", "KIO 3376/23"), ("inne", None)]
     assert all(RULING[r.start : r.end] == r.raw for r in rows) and [r.ord for r in rows] == [0, 1, 2]
 
 
 def test_provisions_with_statutes(ruling):
     docs, cut = ruling
-    rows = provisions.from_text(docs, cut).orderBy("ord").collect()
+    rows = provisions.from_text(docs).orderBy("ord").collect()
     assert [(r.form, r.act) for r in rows] == [("art. 579 ust. 1", "pzp2019"), ("art. 226 ust. 1 pkt 5 lit. a", "pzp2019"), ("art. 415", "kc"), ("art. 98", "kpc")]
     listed = docs.filter("doc_id = 1").withColumn("przepisy", F.array(F.lit("art. 226 ust. 1 Pzp"), F.lit(" inne ")))
     assert [(r.form, r.act) for r in provisions.from_channel(listed).orderBy("ord").collect()] == [("art. 226 ust. 1", "pzp2019"), ("inne", "nieustalone")]
@@ -85,17 +104,32 @@ def test_filters(spark):
     assert filters.Criteria(kinds=("b", "a", "a")).canonical() == '{"kinds":["a","b"]}' and len(filters.Criteria().fingerprint()) == 16
     with pytest.raises(ValueError):
         filters.Criteria(since="2025", until="2024")
+    plain = filters.Criteria(outcomes=(" Łąka", "łĄKA ", ""), presiding=" x ").normalised()
+    assert plain.outcomes == ("laka",) and plain.presiding == "x"
+    numbered = spark.createDataFrame([(1, ["KIO 10/23"]), (2, ["KIO 010 / 2023", "x"]), (3, None)], "doc_id long, numbers array<string>")
+    asked = lambda q: sorted((r.doc_id, r.n_matches) for r in filters.lookup(numbered, q, "doc_id", "numbers").collect())
+    assert asked("kio 10/2023") == [(1, 2), (2, 2)] and asked("3") == [(3, 1)] and asked("x") == [(2, 1)] and asked("y") == []
+    assert [r.id for r in filters.in_order(df, "date", "id").collect()] == [2, 1, 3]
 
 
 def test_search(spark):
     docs = spark.createDataFrame([(1, "Ala ma kota, ma kota"), (2, "kota ma Ala"), (3, None), (4, "ma KOTA i psa oraz wiele innych zwierząt")], "doc_id long, text string")
     found = search.matches(docs, "ma kota")
-    assert [r.doc_id for r in search.top(found).collect()] == [1, 4] and search.counts(found, 1).first().asDict() == {"indexed": 4, "hits": 2, "shown": 1}
+    assert [r.doc_id for r in search.top(found).collect()] == [1, 4] and search.counts(found, 1).first().asDict() == {"corpus": 4, "indexed": 4, "hits": 2, "shown": 1, "undated": 0}
     repeated = spark.createDataFrame([(1, "a a a")], "doc_id long, text string")
     assert search.matches(repeated, "a a").first().tf == 2
     assert docs.filter("doc_id = 4").select(search.excerpt(F.col("text"), "psa", 3).alias("x")).first().x == "… i psa oraz …"
     with pytest.raises(ValueError):
         search.matches(docs, " * ")
+    # Case numbers are searched too, a phrase doesn't run on from one to the next, and filters leave the statistics alone
+    numbered = docs.withColumn("numbers", F.when(F.col("doc_id") < 3, F.array(F.lit("KIO 7/24"), F.lit("KIO 8/24"))))
+    hits = lambda phrase: [r.doc_id for r in search.top(search.matches(numbered, phrase, numbers="numbers")).collect()]
+    assert hits("kio 8 24") == [2, 1] and hits("24 kio") == [] and hits("Ala ma") == [1]
+    whole = {r.doc_id: r.score for r in search.ranked(found).collect()}
+    assert {r.doc_id: r.score for r in search.ranked(found, F.col("doc_id") > 1).collect()} == {4: whole[4]}
+    dated = found.withColumn("date", F.when(F.col("doc_id") == 1, "2024-01-01"))
+    row = search.counts(dated, 5, docs, F.coalesce(F.col("date") > "2023", F.lit(False)), "date", F.lit(True)).first()
+    assert (row.corpus, row.indexed, row.hits, row.shown, row.undated) == (4, 4, 1, 1, 1)
 
 
 def test_runs(spark):
@@ -104,6 +138,9 @@ def test_runs(spark):
     assert runs.union_of_runs(links, ("ts",)).count() == 2
     requests = spark.createDataFrame([(3, "x", 2), (3, "y", 1), (3, "z", 3)], "run_id int, sha256 string, ts int")
     versions = spark.createDataFrame([("x", 5), ("y", 6), ("z", 1), ("z", 2)], "sha256 string, doc_id int")
+    with pytest.raises(ValueError):
+        runs.selected(links, None, (), None)
+    assert not exports.write_if_any(links.filter("doc_id = 99"), lambda _: 1 / 0) and exports.write_if_any(links, lambda df: df.count())
     all_runs = spark.createDataFrame([(1,), (3,)], "run_id int")
     assert [(r.doc_id, r.position) for r in runs.rebuilt_lineage(all_runs, links, requests, versions).orderBy("position").collect()] == [(6, 1), (5, 2)]
 
@@ -139,7 +176,7 @@ def test_records(spark):
 
 def test_gold(ruling):
     docs, cut = ruling
-    cited, named = citations.citations(docs, cut), provisions.from_text(docs, cut)
+    cited, named = citations.citations(docs), provisions.from_text(docs)
     read = coverage.structures(docs.withColumn("sha", F.sha2("text", 256)), cut, cited, named, "sha")
     assert read.count() == 4 and coverage.gold_check(read, read).filter("checked and not conforms").count() == 0
     other = read.withColumn("citations", F.slice("citations", 1, 1))
@@ -171,3 +208,34 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
         stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in").withColumn("seen_at", F.to_timestamp(F.lit("2024-01-01")))
         ingest.start(stream, f"{tmp_path}/out", f"{tmp_path}/check{k}").awaitTermination()
     assert ingest.committed(spark, f"{tmp_path}/out").count() == 2
+
+
+def test_batch_of_a_second_stream_that_is_cut_off_is_not_there(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/one")
+    docs.withColumn("text", F.lit("other")).write.parquet(f"{tmp_path}/two")
+
+    def load(folder):
+        stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/{folder}").withColumn("seen_at", F.to_timestamp(F.lit("2024-01-01")))
+        return ingest.start(stream, f"{tmp_path}/out", f"{tmp_path}/check-{folder}")
+
+    load("one").awaitTermination()
+    ranged = type(spark).range
+    with monkeypatch.context() as m:  # the second stream's batch 0 writes its versions and fails before its commit
+        m.setattr(type(spark), "range", lambda *_, **__: 1 / 0)
+        with pytest.raises(Exception, match="ZeroDivisionError"):
+            load("two").awaitTermination()
+    assert type(spark).range is ranged and spark.read.parquet(f"{tmp_path}/out/versions").count() == 2 and ingest.committed(spark, f"{tmp_path}/out").count() == 1
+    load("two").awaitTermination()  # the batch runs again
+    assert spark.read.parquet(f"{tmp_path}/out/versions").count() == 3 and ingest.committed(spark, f"{tmp_path}/out").count() == 2
+
+
+def test_budget_leaves_late_rows_out(spark, tmp_path):
+    row = lambda m, k: (datetime(2024, 1, 1, 10, m), k)
+    for k, rows in enumerate(([row(0, 1), row(1, 1), row(50, 1)], [row(2, 1), row(45, 2), row(59, 3)], [row(59, 3)])):
+        spark.createDataFrame(rows, "ts timestamp, run_id int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("ts timestamp, run_id int").parquet(f"{tmp_path}/in")
+        query = ingest.budget(stream, 600, 1).writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check")
+        query.trigger(availableNow=True).start().awaitTermination()
+    got = {(r.window.start.minute, r.run_id): (r.n, r.over) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {(0, 1): (2, True)} or got == {(0, 1): (2, True), (40, 2): (1, False)}

@@ -1,8 +1,10 @@
+import random
+
 from pyspark.sql import functions as F
 
 from docket.functions.identity import bare_number, case_numbers, chamber_number, chamber_numbers, document_id, file_name, vintage
 from docket.functions.text import find_all, fold, labelled, mask, neutral, strip_controls, tokens, without_overlaps
-from docket.functions.view import place, view
+from docket.functions.view import origin, place, view
 
 TEXT = "Sygn. akt:  KIO  233/18\r\n\n WYROK\nz dnia 5 stycznia\n 2020 r. \fIzba  w składzie\n1. oddala,\nodwołanie 🙂 i\n16.01.2024 dalej"
 
@@ -27,14 +29,30 @@ def test_longer_of_two_that_start_together_wins_and_overlaps_go(spark):
 def test_view_joins_lines_and_maps_back(spark):
     seen = one(spark, view(F.col("t")), TEXT)
     assert seen.text == "Sygn. akt: KIO 233/18\nWYROK\nz dnia 5 stycznia 2020 r. Izba w składzie\n1. oddala, odwołanie 🙂 i 16.01.2024 dalej"
-    assert len(seen.offs) == len(seen.text) + 1 and seen.offs[-1] == len(TEXT)
-    assert all(c == TEXT[o] for c, o in zip(seen.text, seen.offs) if c not in " \n")
+    v = view(F.col("t"))
+    offs = one(spark, F.transform(F.sequence(F.lit(0), v["n"]), lambda i: origin(v, i)), TEXT)
+    assert len(offs) == len(seen.text) + 1 and offs[-1] == len(TEXT)
+    assert all(c == TEXT[o] for c, o in zip(seen.text, offs) if c not in " \n")
     at = seen.text.index("Izba")
     df = spark.createDataFrame([(TEXT,)], "t string").select(view(F.col("t")).alias("v"))
     a, b = df.select(F.struct(*place(F.col("v"), F.lit(at), F.lit(at + 4))).alias("x")).first().x
     assert TEXT[a:b] == "Izba"
 
 
+def test_every_character_of_a_view_is_one_of_the_original(spark):
+    pick = random.Random(3)
+    some = ["a", "Ab", "ABC", "Ł", "ż", "12", "1.", "12. ", "3.5", ".", ":", ",", ")", "–", "-", "\n", "\n", "\n", " ", "  ", "\t", "\f", "\r", "\u00a0", "🙂", "WYROK", "x!", "ŻÓŁĆ KIO\n", "\n\f"]
+    texts = ["".join(pick.choice(some) for _ in range(pick.randint(0, 25))) for _ in range(2000)]
+    v = view(F.col("t"))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", v["text"].alias("v"), F.transform(F.sequence(F.lit(0), v["n"]), lambda i: origin(v, i)).alias("o")).collect()
+    white = " \t\u00a0\n\f\r"
+    for r in rows:
+        assert r.o == sorted(set(r.o)) and r.o[-1] == len(r.t) and len(r.o) == len(r.v) + 1
+        assert all(r.t[o] == c or (c in " \n" and r.t[o] in white) for c, o in zip(r.v, r.o))
+        assert "".join(c for c in r.t if c not in white) == "".join(c for c in r.v if c not in " \n")
+        assert not any(x in r.v for x in ("  ", " \n", "\n ", "\n\n")) and r.v == r.v.strip(" \n")
+
+
 def test_case_numbers_of_all_families(spark):
     text = "KIO/UZP 1482 / 08, KIO 1234/23do, XXIII zs 1/22, XXIII ZS 012/2022, III CZP 56/17, X Qq 7/10, II SA/oP 4/18, VI GSK/Wa 1/20, UZP/ZO/0-62/07, C-652/22, beton C12/15, KIO/582/11"
     assert [(h.kind, h.canon) for h in one(spark, case_numbers(F.col("t")), text)] == [
