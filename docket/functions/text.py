@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode classes and case, and only the line feed ends a line.
@@ -32,6 +32,12 @@ def record(**fields: Column) -> Column:
     return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
 
 
+def each(df: DataFrame, columns: list, array: Column, name: str, place: str = "ord") -> DataFrame:
+    """columns, place and name of df, a row for each entry of an array. Entries come out of an outer generator: for an inner one Spark would evaluate the array again, to leave out rows
+    without entries beforehand."""
+    return df.select(*columns, F.posexplode_outer(array).alias(place, name)).filter(F.col(place).isNotNull())
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower case of A-Z alone, as in a LIKE that folds ASCII only."""
     return F.translate(c, _UPPER, _LOWER)

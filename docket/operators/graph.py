@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docket.functions.text import each
+
 
 def resolved(citations: DataFrame, numbers: DataFrame) -> DataFrame:
     """citing, cited, canon: citations joined to the documents that carry the number. numbers: doc_id, number, a row for each."""
@@ -21,7 +23,7 @@ def missing(citations: DataFrame, numbers: DataFrame, k: int, kinds: tuple[str,
 def placed(read: DataFrame, around: int = 200, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, section, start, end, canon, kind, context: citations with the section they stand in and the text around them. read: documents with their text and the arrays of their structure, so
     nothing is joined."""
-    rows = read.select(key, F.col(text).alias("_t"), "sections", F.explode("citations").alias("_c"))
+    rows = each(read, [key, F.col(text).alias("_t"), "sections"], F.col("citations"), "_c")
     section = F.get(F.filter("sections", lambda s: (F.col("_c.start") >= s["start"]) & (F.col("_c.start") < s["end"])), F.lit(0))["kind"]
     lo = F.greatest(F.col("_c.start") - around, F.lit(0))
     return rows.select(key, section.alias("section"), "_c.start", "_c.end", "_c.canon", "_c.kind", F.substr("_t", lo + 1, F.col("_c.end") + around - lo).alias("context"))

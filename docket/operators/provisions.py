@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.functions.text import FLAGS, find_all, let, record
+from docket.functions.text import FLAGS, each, find_all, let, record
 from docket.functions.view import view
 
-from .sections import spans, within
+from .sections import spans_of, within
 
 ACTS = ("pzp2004", "pzp2019", "kc", "kpc", "rozporzadzenie", "inne", "nieustalone")
 #: The grammar of a provision, and the marks of statutes in their order of precedence; a null act stands for the document's own procurement statute.
@@ -63,16 +63,16 @@ def named_in(text: Column, sections: Column, own: Column) -> Column:
 
 def from_text(docs: DataFrame, text: str = "text", key: str = "doc_id", found: str | None = None) -> DataFrame:
     """key, ord, source, form, act, raw, start, end of the provisions in all sections, in one pass over each text. found: a column that holds the spans of the sections already."""
-    sections = F.col(found) if found else spans(F.col(text))
-    held = docs.select(key, F.col(text).alias("_text"), sections.alias("_spans"), document_act(view(F.col(text))["text"]).alias("_own"))
-    rows = held.select(key, F.posexplode(named_in(F.col("_text"), F.col("_spans"), F.col("_own"))).alias("ord", "_p"))
+    outline = let(view(F.col(text)), lambda v: record(spans=F.col(found) if found else spans_of(v), act=document_act(v["text"])))
+    held = docs.select(key, F.col(text).alias("_text"), outline.alias("_seen"))
+    rows = each(held, [key], named_in(F.col("_text"), F.col("_seen.spans"), F.col("_seen.act")), "_p")
     return rows.select(key, "ord", F.lit("tresc").alias("source"), "_p.form", "_p.act", "_p.raw", "_p.start", "_p.end")
 
 
 def from_channel(docs: DataFrame, listed: str = "przepisy", text: str = "text", key: str = "doc_id") -> DataFrame:
     """The same from the channel's list, in its order: by the same grammar, without offsets. An entry that the grammar doesn't know stays as it is."""
     own = document_act(view(F.col(text))["text"])
-    rows = docs.select(key, own.alias("_own"), F.posexplode(listed).alias("ord", "raw"))
+    rows = each(docs, [key, own.alias("_own")], F.col(listed), "raw")
     hit = F.regexp_extract("raw", FLAGS + ARTICLE, 0)
     rest = F.substr("raw", F.instr("raw", hit) + F.length(hit))
     known = hit != ""

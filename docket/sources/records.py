@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docket.functions.text import each
+
 #: Our fields, the provider's names for them, and their kinds.
 CONTRACT = {
     "source_ref": ("slug", "text"), "sygnatura_glowna": ("primary_signature", "text"), "sygnatury": ("signatures", "list"), "data_wydania": ("ruling_date", "text"),
@@ -43,7 +45,7 @@ def decode(landed: DataFrame, content: str = "content", contract: dict = CONTRAC
 
 def candidates(pages: DataFrame, page: str = "page", body: str = "body") -> DataFrame:
     """page, idx, source_ref, sygnatury, data_wydania, good of the records of listing pages; a record without a slug isn't good. Text dates only."""
-    rows = pages.select(page, F.try_parse_json(F.col(body)).alias("_p")).select(page, F.posexplode(F.try_variant_get("_p", "$.data", "array<variant>")).alias("idx", "_v"))
+    rows = each(pages.select(page, F.try_parse_json(F.col(body)).alias("_p")), [page], F.try_variant_get("_p", "$.data", "array<variant>"), "_v", "idx")
     slug, numbers, main = _field("slug", "text"), _field("signatures", "list"), _field("primary_signature", "text")
     both = F.when(F.size(numbers) > 0, numbers).when(main.isNotNull(), F.array(main)).otherwise(F.array().cast("array<string>"))
     return rows.select(page, "idx", slug.alias("source_ref"), both.alias("sygnatury"), _field("ruling_date", "text").alias("data_wydania"), slug.isNotNull().alias("good"))
