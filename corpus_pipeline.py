@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.llm import jaccard, lines, packing, pii, toxicity
-from docket.llm.common import discard, folder, prepare, stored, table
+from docket.llm.common import discard, prepare, stored, table
+from docket.sources.tables import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -66,7 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, from the documents of sf_dir. A stage's documents go once the next one's are written."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        where = folder(spark, f"stage-{name}")
+        where = shared_folder(spark, f"stage-{name}")
         docs = stored(stage(spark, docs, sf_dir), "documents", where)
         if before:
             discard(spark, before)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docket.sources.tables import shared_folder
 
 BATCH = 1000  # rows of an Arrow batch: texts may be long, and a task holds a batch on both sides of its pipe
 
@@ -34,48 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Own folders by application, where nothing names one.
-_OWN: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where it is unset and everything runs in one machine, as in tests, a new local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="docket-")
-        base = _OWN[app]
-    return base
-
-
-def _files(spark: SparkSession, path: str):
-    """The file system of a path, and the path as it takes it."""
-    jvm = spark.sparkContext._jvm
-    to = jvm.org.apache.hadoop.fs.Path(path)
-    return to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), to
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, which goes when the driver ends."""
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    files, to = _files(spark, path)
-    files.deleteOnExit(to)
-    return path
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate tables that nothing reads any more."""
-    files, to = _files(spark, path)
-    files.delete(to, True)
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
 
 
 def stored(df: DataFrame, name: str, within: str | None = None) -> DataFrame:
     """df written once to the shared folder, or to a folder made there, and read back: a lost executor costs no recomputation, and Spark knows the size for its choice of join."""
     spark = df.sparkSession
-    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else folder(spark, name)
+    path = f"{within}/{name}-{uuid.uuid4().hex}" if within else shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

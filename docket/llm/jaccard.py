@@ -24,7 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, folder, stored, tidy
+from docket.sources.tables import shared_folder
+
+from .common import discard, stored, tidy
 
 SHINGLE = 5
 NUMERATOR, DENOMINATOR = 80, 100
@@ -298,7 +300,7 @@ class _Join:
 
 def _joined(docs: DataFrame) -> _Join:
     """Copies collapsed, tiles dealt, and each tile's documents compared with its smallest id."""
-    where = folder(docs.sparkSession, "jaccard")
+    where = shared_folder(docs.sparkSession, "jaccard")
     known = stored(points(docs), "points", where)
     some = known.filter("n_shingles > 0 and doc_id is not null")
     named = stored(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "sets", where)
