@@ -41,12 +41,11 @@ def document_act(text: Column) -> Column:
 
 def act_after(rest: Column, own: Column) -> Column:
     """The statute marked nearest after a provision, in the same sentence; on a tie the mark that is listed first."""
-    return let(F.get(F.split(F.left(rest, F.lit(WINDOW)), FLAGS + SENTENCE_END, 2), F.lit(0)), lambda window: _nearest(window, own))
+    return let(F.regexp_extract(F.left(rest, F.lit(WINDOW)), FLAGS + rf"(?s)^(.*?)(?:{SENTENCE_END}|\z)", 1), lambda window: _nearest(window, own))
 
 
 def _nearest(window: Column, own: Column) -> Column:
-    # The length of what precedes the first match; without one, the whole window
-    at = lambda p: F.when(window.rlike(FLAGS + p), F.length(F.get(F.split(window, FLAGS + p, 2), F.lit(0))))
+    at = lambda p: F.nullif(F.regexp_instr(window, F.lit(FLAGS + p)), F.lit(0))
     marks = F.array(*[record(at=at(p), k=F.lit(k), act=F.lit(act) if act else own) for k, (p, act) in enumerate(MARKS)])
     return F.coalesce(F.array_min(F.filter(marks, lambda m: m["at"].isNotNull()))["act"], F.lit("nieustalone"))
 

@@ -1,10 +1,12 @@
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from docket.operators import citations, coverage, exports, filters, graph, ledger, provisions, quality, requestlog, runs, search, sections
+from docket.operators import citations, coverage, exports, filters, graph, ledger, provisions, quality, requestlog, runs, search, sections, structure
 from docket.sources import records
+from docket.sources.tables import shared_folder
 from docket.streaming import ingest
 
 RULING = """Sygn. akt: KIO 10/23
@@ -239,3 +241,30 @@ def test_budget_leaves_late_rows_out(spark, tmp_path):
         query.trigger(availableNow=True).start().awaitTermination()
     got = {(r.window.start.minute, r.run_id): (r.n, r.over) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {(0, 1): (2, True)} or got == {(0, 1): (2, True), (40, 2): (1, False)}
+
+
+def test_local_folders_are_refused_on_a_cluster(spark):
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="app", _jvm=spark._jvm, _jsc=spark.sparkContext._jsc))
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077"), "x")
+    assert shared_folder(session("local[2]"), "x").startswith("file:///")
+
+
+def test_structure_of_a_text_in_one_pass(ruling):
+    docs, cut = ruling
+    read = structure.read(docs, own="own").persist()
+    parts = lambda name, *columns: sorted((r.doc_id, *[r[c] for c in columns]) for r in structure.exploded(read, name).collect())
+    rows = lambda df, *columns: sorted((r.doc_id, *[r[c] for c in columns]) for r in df.collect())
+    assert parts("sections", "ord", "start", "end", "kind", "sha256") == rows(cut, "ord", "start", "end", "kind", "sha256")
+    assert parts("citations", "ord", "start", "end", "kind", "raw") == rows(citations.citations(docs, own="own"), "ord", "start", "end", "kind", "raw")
+    assert parts("provisions", "ord", "start", "end", "form", "act") == rows(provisions.from_text(docs), "ord", "start", "end", "form", "act")
+    assert {r.doc_id: (r.sections, r.citations, r.provisions) for r in read.filter("doc_id in (2, 3)").collect()} == {2: ([], [], []), 3: ([], [], [])}
+    read.unpersist()
+
+
+def test_reports_as_text(spark):
+    report = spark.createDataFrame([("b", 2, None), ("a", 1, 0.5)], "name string, n int, share double")
+    assert sorted(r.value for r in coverage.as_json(report).collect()) == ['{"name":"a","n":1,"share":0.5}', '{"name":"b","n":2,"share":null}']
+    assert [r.value for r in coverage.as_markdown(report, "T", "name").orderBy("position").collect()] == ["## T", "", "| name | n | share |", "|---|---|---|", "| a | 1 | 0.5 |", "| b | 2 | – |"]
+    whole = spark.range(1000).select(F.col("id").cast("string").alias("e"))
+    assert coverage.digest(whole, F.col("e")).collect() == coverage.digest(whole.orderBy(F.rand()), F.col("e"), (6, 3)).collect() and coverage.digest(whole, F.col("e")).first().n == 1000
