@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, fingerprints, jaccard, lines, neighbours, packing, pii, tokens, toxicity, urls
+from . import bpe, divergence, fingerprints, interactions, jaccard, lines, neighbours, packing, pii, suffixes, tokens, toxicity, urls
 from .common import table
 
 
@@ -55,5 +55,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_line_dedup, op3_nearest_neighbours, op4_best_fit_packing, op5_byte_bpe, op6_pii, op7_jaccard_join, op8_toxicity, op9_url_filter, op10_token_counts)}
-ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op9_url_filter": urls.ORACLE_SQL}
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.drop_repeats(table(spark, sf_dir, "documents")))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.diverge(table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_fingerprints, op2_line_dedup, op3_nearest_neighbours, op4_best_fit_packing, op5_byte_bpe, op6_pii, op7_jaccard_join, op8_toxicity, op9_url_filter, op10_token_counts,
+    op11_filter_interactions, op12_suffix_dedup, op13_source_divergence,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {"op2_line_dedup": lines.ORACLE_SQL, "op9_url_filter": urls.ORACLE_SQL, "op11_filter_interactions": interactions.ORACLE_SQL, "op12_suffix_dedup": suffixes.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL}
