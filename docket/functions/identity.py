@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .text import find_all, let, record, without_overlaps
 
 #: The announcement of a case number, and the families of case numbers as they are written.
-CHAMBER = r"(?i)\b(KIO\s*/\s*UZP|KIO\s*/\s*KU|KIO\s*/\s*KD|KIO\s*/\s*W|KIO)\s*/?\s*(\d{1,5})\s*/\s*(\d{2}(?:\d{2})?)(?!\d)"
-COURT = r"\b([IVXL]{1,6})\s+([A-Z][A-Za-z]{0,4})\s+(\d{1,6})\s*/\s*(\d{2}(?:\d{2})?)(?!\d)"
-ADMINISTRATIVE = r"\b([IVXL]{1,6})\s+(SA|GSK)\s*/\s*([A-Za-z]{2})\s+(\d{1,6})\s*/\s*(\d{2}(?:\d{2})?)(?!\d)"
-ARBITRATION = r"(?i)\bUZP\s*/\s*ZO\s*/\s*0\s*-\s*(\d{1,4})\s*/\s*(\d{2})(?!\d)"
-UNION = r"\b([CT])\s*[-‑–]\s*(\d{1,4})\s*/\s*(\d{2})(?!\d)"
+CHAMBER = r"(?i)(?=[Kk\u212a])\b(KIO\s*/\s*UZP|KIO\s*/\s*KU|KIO\s*/\s*KD|KIO\s*/\s*W|KIO)\s*/?\s*(\d{1,5})\s*/\s*(\d{2}(?:\d{2})?)(?!\d)"
+COURT = r"(?=[IVXL])\b([IVXL]{1,6})\s+([A-Z][A-Za-z]{0,4})\s+(\d{1,6})\s*/\s*(\d{2}(?:\d{2})?)(?!\d)"
+ADMINISTRATIVE = r"(?=[IVXL])\b([IVXL]{1,6})\s+(SA|GSK)\s*/\s*([A-Za-z]{2})\s+(\d{1,6})\s*/\s*(\d{2}(?:\d{2})?)(?!\d)"
+ARBITRATION = r"(?i)(?=[Uu])\bUZP\s*/\s*ZO\s*/\s*0\s*-\s*(\d{1,4})\s*/\s*(\d{2})(?!\d)"
+UNION = r"(?=[CT])\b([CT])\s*[-‑–]\s*(\d{1,4})\s*/\s*(\d{2})(?!\d)"
 BARE = r"^\s*(\d{1,4})\s*/\s*(\d{2})(?!\d)"
 #: Court registers by the court they belong to.
 REGISTERS = {

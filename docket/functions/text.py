@@ -19,6 +19,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CUT = "\uffff"
 
 
+CHUNK = 512
+
 HITS = "array<struct<start:int,end:int,raw:string>>"
 
 
@@ -61,24 +63,81 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(c, F.lit("")), keep_stroke=True), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def find_all(c: Column, pattern: str, flags: str = FLAGS) -> Column:
-    """array<struct<start, end, raw>> of the matches of a pattern, which must not match nothing. Matches and the gaps between them come from one pass each; a fold
-    adds their lengths up. Null texts give null."""
-    p = F.lit(flags + pattern)
-    start = record(at=F.lit(0), out=F.array().cast(HITS))
+BLOCK = 128
+_POWERS = [1 << k for k in reversed(range(24))]
+
+
+def running(sizes: Column) -> Column:
+    """0, and the sum of all entries of an array of numbers up to each. Blocks are added up on their own, so that an entry is copied once for each BLOCK entries that follow."""
+    append = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    block = lambda xs, acc, k: F.aggregate(F.slice(xs, k * BLOCK + 1, F.lit(BLOCK)), F.slice(acc, -1, 1), append)
+    joined = lambda xs: F.aggregate(F.sequence(F.lit(0), (F.size(xs) / BLOCK).cast("int")), F.array(F.lit(0)), lambda acc, k: F.concat(acc, F.slice(block(xs, acc, k), 2, BLOCK)))
+    return let(sizes, joined)
+
+
+def steps(n: Column) -> Column:
+    """What count_until halves its way by, for an array of n entries."""
+    return F.filter(F.lit(_POWERS), lambda p: p <= n)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + F.length(x["g"])
-        hi = lo + F.coalesce(F.length(x["m"]), F.lit(0))
-        hit = record(start=lo, end=hi, raw=x["m"])
-        return record(at=hi, out=F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))))
+def count_until(array: Column, ways: Column, holds) -> Column:
+    """How many entries from the first on hold, where all that hold stand before all that don't: a binary search."""
+    n = F.size(array)
+    return F.aggregate(ways, F.lit(0), lambda at, p: F.when((at + p <= n) & holds(F.get(array, at + p - 1)), at + p).otherwise(at))
 
+
+def pieces(c: Column, pattern: str, flags: str = FLAGS) -> Column:
+    """What lies between matches and the matches, in turn, from one pass over a text."""
     # A split by a pattern compiles it for every row; a replacement keeps it, and a split by one character needs none
-    gaps = lambda t: F.split(F.regexp_replace(F.replace(t, F.lit(CUT), F.lit(" ")), p, F.lit(CUT)), CUT, -1)
-    placed = lambda t, m: F.aggregate(F.zip_with(m, gaps(t), lambda m, g: record(m=m, g=g)), start, step, lambda acc: acc["out"])
-    # Most patterns are in few texts; the others are read once
-    found = lambda t: let(F.regexp_extract_all(t, p, F.lit(0)), lambda m: F.when(F.size(m) == 0, F.array().cast(HITS)).when(m.isNotNull(), placed(t, m)))
-    return let(c, found)
+    return F.split(F.regexp_replace(F.replace(c, F.lit(CUT), F.lit(" ")), F.lit(flags + pattern), F.lit(f"{CUT}$0{CUT}")), CUT, -1)
+
+
+def find_all(c: Column, pattern: str, flags: str = FLAGS, rest: int = 0) -> Column:
+    """array<struct<start, end, raw>> of the matches of a pattern, which must not match nothing. rest: with that many characters that follow each, as rest. Null texts give null."""
+
+    def after(ps: Column, i: Column) -> Column:
+        own = F.get(ps, i + 1)
+        # The next pieces: a match has two characters at least, as all patterns do that ask for what follows
+        more = lambda: F.left(F.array_join(F.transform(F.slice(ps, i + 2, F.lit(rest)), lambda x: F.left(x, F.lit(rest))), ""), F.lit(rest))
+        return F.when((F.length(own) >= rest) | (i + 2 >= F.size(ps)), F.left(own, F.lit(rest))).otherwise(more())
+
+    def hits(ps: Column, at: Column) -> Column:
+        def hit(k: Column) -> Column:
+            i = k * 2 - 1
+            more = {"rest": after(ps, i)} if rest else {}
+            return record(start=F.get(at, i), end=F.get(at, i + 1), raw=F.get(ps, i), **more)
+
+        return F.transform(F.sequence(F.lit(1), ((F.size(ps) - 1) / 2).cast("int")), hit)
+
+    shape = HITS.replace("raw:string", "raw:string,rest:string") if rest else HITS
+    found = lambda ps: F.when(F.size(ps) == 1, F.array().cast(shape)).when(ps.isNotNull(), let(running(F.transform(ps, F.length)), lambda at: hits(ps, at)))
+    return let(pieces(c, pattern, flags), found)
+
+
+def first_from(text: Column, pattern: str, after: Column) -> Column:
+    """struct<start, end, raw> of the first match that starts at after or later, or null. Only the text until there is looked at; what stands before after is seen by what looks behind."""
+
+    def cut(tail: Column) -> Column:
+        def found(ps: Column) -> Column:
+            lo, size = F.length(F.get(ps, F.lit(0))), F.length(tail) - F.length(F.get(ps, F.lit(0))) - F.length(F.get(ps, F.lit(1)))
+            return F.when(F.size(ps) > 1, record(start=after + lo - 1, end=after + lo - 1 + size, raw=F.substr(tail, lo + 1, size)))
+
+        return let(F.split(tail, rf"{FLAGS}(?!\A)(?:{pattern})", 2), found)
+
+    return let(F.when(after > 0, F.substr(text, after)).otherwise(F.concat(F.lit("\n"), text)), cut)
+
+
+def chunks(text: Column) -> Column:
+    """A text in parts of CHUNK characters, for reading stretches of it by place."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def stretch(parts: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in chunks, without going through what stands before."""
+    first, last = (start / CHUNK).cast("int"), (end / CHUNK).cast("int")
+    one = F.coalesce(F.get(parts, first), F.lit(""))
+    own = F.when(first == last, one).otherwise(F.array_join(F.slice(parts, first + 1, last - first + 1), ""))
+    return F.substr(own, start - first * CHUNK + 1, end - start)
 
 
 def without_overlaps(hits: Column) -> Column:
@@ -87,7 +146,10 @@ def without_overlaps(hits: Column) -> Column:
 
     def fold_hits(all_hits: Column) -> Column:
         free = lambda kept, x: F.when((F.size(kept) > 0) & (x["start"] < F.element_at(kept, -1)["end"]), kept).otherwise(F.concat(kept, F.array(x)))
-        return F.aggregate(F.array_sort(all_hits, order), F.slice(all_hits, 1, 0), free)
+        apart = lambda xs: F.forall(F.zip_with(F.slice(xs, F.lit(2), F.size(xs)), xs, lambda b, a: F.coalesce(b["start"] >= a["end"], F.lit(True))), lambda ok: ok)
+        # Most have none: then nothing is copied
+        kept = lambda xs: F.when(apart(xs), xs).otherwise(F.aggregate(xs, F.slice(xs, 1, 0), free))
+        return let(F.array_sort(all_hits, order), kept)
 
     return let(hits, fold_hits)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import FLAGS, find_all, let, record
+from .text import FLAGS, count_until, find_all, let, record, running, steps
 
 _BLANKS = " \t\u00a0\u2007\u202f"
 _WHITE = f"[{_BLANKS}\f\r\n]"
@@ -32,33 +32,34 @@ def _moves(original: Column) -> Column:
     """array<struct<at, kept, shift>>: of each shortened stretch, where it begins in the view, the place in the original of the character that stays of it (the last line feed, else the first blank;
     at the ends of the text none), and how many characters are gone when it is over."""
     size = F.length(original)
-    start = record(gone=F.lit(0), out=F.array().cast("array<struct<at:int,kept:int,shift:int>>"))
 
-    def step(acc: Column, h: Column) -> Column:
+    def stays(h: Column) -> Column:
         inner = (h["start"] > 0) & (h["end"] < size)
         line = F.instr(F.reverse(h["raw"]), "\n")  # from the end, from 1; 0 where there is none
         blank = F.length(F.regexp_extract(h["raw"], r"^[\f\r]*", 0))
-        kept = F.when(inner & (line > 0), h["end"] - line).when(inner & (h["start"] + blank < h["end"]), h["start"] + blank)
-        gone = acc["gone"] + h["end"] - h["start"] - F.when(kept.isNull(), 0).otherwise(1)
-        return record(gone=gone, out=F.concat(acc["out"], F.array(record(at=h["start"] - acc["gone"], kept=kept, shift=gone))))
+        return F.when(inner & (line > 0), h["end"] - line).when(inner & (h["start"] + blank < h["end"]), h["start"] + blank)
 
-    return F.aggregate(find_all(original, SHORTENED), start, step, lambda acc: acc["out"])
+    def measured(h: Column) -> Column:
+        return let(stays(h), lambda kept: record(start=h["start"], kept=kept, gone=h["end"] - h["start"] - F.when(kept.isNull(), 0).otherwise(1)))
+
+    move = lambda m, before: record(at=m["start"] - before, kept=m["kept"], shift=before + m["gone"])
+    return let(F.transform(find_all(original, SHORTENED), measured), lambda ms: F.zip_with(ms, F.slice(running(F.transform(ms, lambda m: m["gone"])), F.lit(1), F.size(ms)), move))
 
 
 def view(original: Column) -> Column:
-    """struct<text, n, size, moves>: text is the view, n its length, size the original's; place() leads back.
+    """struct<text, n, size, moves, ways>: text is the view, n its length, size the original's; place() leads back.
 
     Form feeds and carriage returns go, blanks become one space, lines are trimmed and empty ones skipped. A line is joined to the one before it by a space where that one doesn't end a
     sentence and isn't a heading in capitals, and this one goes on: it starts with a small letter, a digit or one of ,)–- and not with a list number. Otherwise a line feed stays.
     """
-    seen = lambda t: let(_text(t), lambda v: record(text=v, n=F.length(v), size=F.length(t), moves=_moves(t)))
+    seen = lambda t: let(_text(t), lambda v: let(_moves(t), lambda m: record(text=v, n=F.length(v), size=F.length(t), moves=m, ways=steps(F.size(m)))))
     return let(original, lambda t: F.when(t.isNotNull(), seen(t)))
 
 
 def origin(seen: Column, at: Column) -> Column:
     """The place in the original of a character of the view; of its end, the original's end."""
     moved = lambda m: F.when(m.isNull(), at).when((m["at"] == at) & m["kept"].isNotNull(), m["kept"]).otherwise(at + m["shift"])
-    last = F.try_element_at(F.filter(seen["moves"], lambda m: m["at"] <= at), F.lit(-1))
+    last = F.get(seen["moves"], count_until(seen["moves"], seen["ways"], lambda m: m["at"] <= at) - 1)
     return F.when(at >= seen["n"], seen["size"]).otherwise(let(last, moved))
 
 

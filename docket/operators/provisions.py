@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.functions.text import FLAGS, each, find_all, let, record
+from docket.functions.text import CUT, FLAGS, chunks, each, find_all, let, record, stretch
 from docket.functions.view import view
 
-from .sections import spans_of, within
+from .sections import spans_of, views, within
 
 ACTS = ("pzp2004", "pzp2019", "kc", "kpc", "rozporzadzenie", "inne", "nieustalone")
 #: The grammar of a provision, and the marks of statutes in their order of precedence; a null act stands for the document's own procurement statute.
-ARTICLE = r"(?i)\bart\.\s*(\d+[a-z]?)(?:\s*ust\.\s*(\d+[a-z]?))?(?:\s*pkt\.?\s*(\d+[a-z]?))?(?:\s*lit\.\s*([a-z])\)?)?"
+ARTICLE = r"(?i)(?=[Aa])\bart\.\s*(\d+[a-z]?)(?:\s*ust\.\s*(\d+[a-z]?))?(?:\s*pkt\.?\s*(\d+[a-z]?))?(?:\s*lit\.\s*([a-z])\)?)?"
 ACT_2004 = r"(?i)ustaw\w*\s+z\s+dnia\s+29(?:\s+stycznia\s+|[.\s-]*0?1[.\s-]*)2004"
 ACT_2019 = r"(?i)ustaw\w*\s+z\s+dnia\s+11(?:\s+wrze[sś]nia\s+|[.\s-]*0?9[.\s-]*)2019"
 MARKS = (
@@ -27,11 +27,19 @@ MARKS = (
 WINDOW, SENTENCE_END = 160, r"\.\s+(?=[A-ZĄĆĘŁŃÓŚŹŻ])"
 
 
+def _groups(text: Column, pattern: str, n: int) -> Column:
+    """The groups of the first match of a pattern that takes a text whole, as an array, with empty strings for those that take no part; an array of one where nothing matches."""
+    return F.split(F.regexp_replace(F.replace(text, F.lit(CUT), F.lit(" ")), F.lit(FLAGS + pattern), F.lit(CUT.join(f"${k}" for k in range(1, n + 1)))), CUT, -1)
+
+
 def form(raw: Column) -> Column:
     """The canonical form of a match: art., and ust., pkt, lit. where they are named."""
-    part = lambda k: F.regexp_extract(raw, FLAGS + ARTICLE, k)
-    named = [F.when(part(k) != "", F.concat(F.lit(f"{name} "), part(k))) for k, name in enumerate(("art.", "ust.", "pkt", "lit."), 1)]
-    return F.concat_ws(" ", *named)
+
+    def named(parts: Column) -> Column:
+        part = lambda k: F.get(parts, F.lit(k))
+        return F.concat_ws(" ", *[F.when(part(k) != "", F.concat(F.lit(f"{name} "), part(k))) for k, name in enumerate(("art.", "ust.", "pkt", "lit."))])
+
+    return let(_groups(raw, ARTICLE, 4), named)
 
 
 def document_act(text: Column) -> Column:
@@ -44,41 +52,77 @@ def act_after(rest: Column, own: Column) -> Column:
     return let(F.regexp_extract(F.left(rest, F.lit(WINDOW)), FLAGS + rf"(?s)^(.*?)(?:{SENTENCE_END}|\z)", 1), lambda window: _nearest(window, own))
 
 
+#: All marks at once: the first place where one stands, and at one place the first listed.
+ANY_MARK = "(?s)^.*?(?:" + "|".join(f"({p})" for p, _ in MARKS) + r").*\z"
+
+
 def _nearest(window: Column, own: Column) -> Column:
-    at = lambda p: F.nullif(F.regexp_instr(window, F.lit(FLAGS + p)), F.lit(0))
-    marks = F.array(*[record(at=at(p), k=F.lit(k), act=F.lit(act) if act else own) for k, (p, act) in enumerate(MARKS)])
-    return F.coalesce(F.array_min(F.filter(marks, lambda m: m["at"].isNotNull()))["act"], F.lit("nieustalone"))
+    acts = F.array(*[F.lit(act) if act else own for _, act in MARKS])
+
+    def named(parts: Column) -> Column:
+        # The group that took part is the first that isn't empty
+        at = F.array_position(F.transform(parts, lambda x: x != ""), F.lit(True)).cast("int")
+        return F.when(F.size(parts) == 1, "nieustalone").otherwise(F.get(acts, at - 1))
+
+    return let(_groups(window, ANY_MARK, len(MARKS)), named)
 
 
-def named_in(text: Column, sections: Column, own: Column) -> Column:
-    """array<struct<start, end, form, act, raw>>, in order, of the provisions in sections. own: the document's procurement statute."""
+def named_in(text: Column, parts: Column, own: Column) -> Column:
+    """array<struct<start, end, form, act, raw>>, in order, of the provisions in views of sections. text: in chunks. own: the document's procurement statute."""
 
     def hits(seen: Column) -> Column:
-        return F.transform(find_all(seen, ARTICLE), lambda h: record(start=h["start"], end=h["end"], form=form(h["raw"]), act=act_after(F.substr(seen, h["end"] + 1), own)))
+        return F.transform(find_all(seen, ARTICLE, rest=WINDOW), lambda h: record(start=h["start"], end=h["end"], form=form(h["raw"]), act=act_after(h["rest"], own)))
+
+    whole = lambda h: record(start=h["start"], end=h["end"], form=h["form"], act=h["act"], raw=stretch(text, h["start"], h["end"]))
+    return F.array_sort(F.transform(within(parts, hits, "form act"), whole))
+
 
-    whole = lambda h: record(start=h["start"], end=h["end"], form=h["form"], act=h["act"], raw=F.substr(text, h["start"] + 1, h["end"] - h["start"]))
-    return F.array_sort(F.transform(within(text, sections, hits, "form act"), whole))
+def listed_in(entries: Column, own: Column) -> Column:
+    """The same of a channel's list, in its order, by the same grammar and without offsets. An entry that the grammar doesn't know stays as it is."""
+    none = F.lit(None).cast("int")
+
+    def read(raw: Column) -> Column:
+        hit = F.regexp_extract(raw, FLAGS + ARTICLE, 0)
+        known = lambda h: record(start=none, end=none, form=form(h), act=act_after(F.substr(raw, F.instr(raw, h) + F.length(h)), own), raw=raw)
+        return let(hit, lambda h: F.when(h == "", record(start=none, end=none, form=F.trim(raw), act=F.lit("nieustalone"), raw=raw)).otherwise(known(h)))
+
+    return F.transform(entries, read)
+
+
+def outlined(docs: DataFrame, text: str, keep: tuple[str, ...], found: str | None = None) -> DataFrame:
+    """keep, _text and _seen (spans, act): what looking for provisions needs, from one view. found: a column that holds the spans of the sections already."""
+    outline = let(view(F.col(text)), lambda v: record(spans=F.col(found) if found else spans_of(v), act=document_act(v["text"])))
+    return docs.select(*keep, F.col(text).alias("_text"), outline.alias("_seen"))
+
+
+def _in_text() -> Column:
+    return let(chunks(F.col("_text")), lambda t: named_in(t, views(F.col("_text"), F.col("_seen.spans")), F.col("_seen.act")))
+
+
+_FIELDS = ("form", "act", "raw", "start", "end")
 
 
 def from_text(docs: DataFrame, text: str = "text", key: str = "doc_id", found: str | None = None) -> DataFrame:
     """key, ord, source, form, act, raw, start, end of the provisions in all sections, in one pass over each text. found: a column that holds the spans of the sections already."""
-    outline = let(view(F.col(text)), lambda v: record(spans=F.col(found) if found else spans_of(v), act=document_act(v["text"])))
-    held = docs.select(key, F.col(text).alias("_text"), outline.alias("_seen"))
-    rows = each(held, [key], named_in(F.col("_text"), F.col("_seen.spans"), F.col("_seen.act")), "_p")
-    return rows.select(key, "ord", F.lit("tresc").alias("source"), "_p.form", "_p.act", "_p.raw", "_p.start", "_p.end")
+    rows = each(outlined(docs, text, (key,), found), [key], _in_text(), "_p")
+    return rows.select(key, "ord", F.lit("tresc").alias("source"), *[F.col(f"_p.{f}") for f in _FIELDS])
 
 
 def from_channel(docs: DataFrame, listed: str = "przepisy", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The same from the channel's list, in its order: by the same grammar, without offsets. An entry that the grammar doesn't know stays as it is."""
+    """The same from the channel's list."""
     own = document_act(view(F.col(text))["text"])
-    rows = each(docs, [key, own.alias("_own")], F.col(listed), "raw")
-    hit = F.regexp_extract("raw", FLAGS + ARTICLE, 0)
-    rest = F.substr("raw", F.instr("raw", hit) + F.length(hit))
-    known = hit != ""
-    return rows.select(
-        key, "ord", F.lit("kanal").alias("source"), F.when(known, form(hit)).otherwise(F.trim("raw")).alias("form"),
-        F.when(known, act_after(rest, F.col("_own"))).otherwise("nieustalone").alias("act"), "raw", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"),
-    )
+    held = docs.select(key, F.col(listed).alias("_listed"), own.alias("_own"))
+    rows = each(held, [key], listed_in(F.col("_listed"), F.col("_own")), "_p")
+    return rows.select(key, "ord", F.lit("kanal").alias("source"), *[F.col(f"_p.{f}") for f in _FIELDS])
+
+
+def from_both(docs: DataFrame, listed: str = "przepisy", text: str = "text", key: str = "doc_id") -> DataFrame:
+    """from_text and from_channel, from one view of each text."""
+    held = outlined(docs.withColumn("_listed", F.col(listed)), text, (key, "_listed"))
+    named = lambda hits, source: F.transform(hits, lambda h, i: record(ord=i, source=F.lit(source), **{f: h[f] for f in _FIELDS}))
+    none = F.array().cast("array<struct<ord:int,source:string,form:string,act:string,raw:string,start:int,end:int>>")
+    both = F.concat(F.coalesce(named(_in_text(), "tresc"), none), F.coalesce(named(listed_in(F.col("_listed"), F.col("_seen.act")), "kanal"), none))
+    return each(held, [key], both, "_p", "_at").select(key, "_p.ord", "_p.source", *[F.col(f"_p.{f}") for f in _FIELDS])
 
 
 def collapsed(rows: DataFrame, key: str = "doc_id") -> DataFrame:

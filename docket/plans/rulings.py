@@ -141,8 +141,7 @@ def case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = compose(spark, sf_dir)
-    return provisions.from_text(docs).unionByName(provisions.from_channel(docs, "listed"))
+    return provisions.from_both(compose(spark, sf_dir), "listed")
 
 
 def provision_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
