@@ -5,8 +5,8 @@ There, rows of (piece, position, token) join the merge table and contract each p
 aggregation of the tokens' bytes decodes them again.
 
 Defined results: null and empty texts have no tokens, and hashes of no bytes. Text that the pattern skips can't occur, as it covers all characters. Repeated rows
-are encoded alike. A piece that is a token by itself is that token. Pieces of any length work: long ones contract, at a step, all pairs of the minimum rank
-where this gives what one at a time gives. An empty table gives an empty result. Other columns of the input are not read.
+are encoded alike. A piece that is a token by itself is that token. Pieces of any length work, in time that grows with their length; see Codec.stitched. An empty table gives an empty result.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import base64
 import functools
 import hashlib
 import struct
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ from .common import holding, tidy
 LONG = 40  # bytes from which a piece contracts all pairs of its minimum rank at a step
 STEPS = 64  # of a recursive query, before its state is written anew
 CHUNK = 20_000  # pieces given to a query at once
+CUT = 48  # bytes from one block of a long piece to the next; a block has twice as many
 KNOWN = 500_000  # pieces that a worker remembers
 
 #: A row holds a token, its place in its piece, and the place and token that follow. A step finds the pairs that the merge table has, takes each piece's
@@ -90,6 +92,8 @@ class Codec:
         left, right, rank = zip(*pairs, strict=True) if pairs else ((), (), ())
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self.pa = pa
+        self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
+        self.sizes[list(self.tokens)] = list(map(len, self.tokens.values()))
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         given = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())})  # noqa: F841
         self.db.register("given", given)
@@ -126,6 +130,65 @@ class Codec:
             out[w], decoded[w] = struct.pack(f"<{len(ids)}I", *ids), bytes.fromhex(back)
         return out, decoded
 
+    def stitched(self, pieces: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Ids and decoded bytes of long pieces, from blocks that overlap.
+
+        A sequence of tokens is what contracting gives if and only if that holds of each two neighbours in it. So where the tokens of two blocks that overlap have one in common, at the same place, those of the
+        first up to it and those of the second after it are right together: any two neighbours stand so in a block. Blocks that share none are joined and contracted again, in the end as one.
+        """
+        blocks = [[(i, min(i + 2 * CUT, len(p))) for i in range(0, max(1, len(p) - CUT), CUT)] for p in pieces]
+        known: dict[bytes, np.ndarray] = {}
+        open_pieces = list(range(len(pieces)))
+        done: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
+        while open_pieces:
+            fresh = list({pieces[k][a:b] for k in open_pieces for a, b in blocks[k]} - known.keys())
+            for i in range(0, len(fresh), CHUNK):
+                part = fresh[i : i + CHUNK]
+                known.update(zip(part, (np.frombuffer(x, np.uint32) for x in self.contract(part, len(max(part, key=len)) >= 4 * CUT)[0]), strict=True))
+            rest = []
+            for k in open_pieces:
+                ids, blocks[k] = self.join(pieces[k], blocks[k], known)
+                if len(blocks[k]) > 1:
+                    rest.append(k)
+                else:
+                    done[k] = ids
+            open_pieces = rest
+        ids = [x.astype("<u4").tobytes() for x in done]
+        return ids, self.decode(done)
+
+    def join(self, piece: bytes, blocks: list[tuple[int, int]], known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """The tokens of a piece and one block, or the blocks to go on with where neighbours have no token in common."""
+        out, left, last = [], [], None
+        for a, b in blocks:
+            ids = known[piece[a:b]]
+            ends = a + np.cumsum(self.sizes[ids])
+            if last is not None:
+                # A token is named by its end and id
+                own, other = (e.astype(np.int64) << 32 | i for e, i in ((last[1], last[0]), (ends, ids)))
+                _, x, y = np.intersect1d(own, other, return_indices=True)
+                if not len(x):
+                    left[-1] = (left[-1][0], b)
+                    last = (ids, ends)
+                    out = None
+                    continue
+                if out is not None:
+                    out[-1] = out[-1][: len(out[-1]) - (len(last[0]) - x[-1]) + 1]
+                    ids, ends = ids[y[-1] + 1 :], ends[y[-1] + 1 :]
+            left.append((a, b))
+            last = (ids, ends)
+            if out is not None:
+                out.append(ids)
+        return (np.concatenate(out), [(0, len(piece))]) if out is not None else (np.zeros(0, np.uint32), left)
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        sizes = [len(x) for x in ids]
+        given = self.pa.table({"word": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.concatenate([np.arange(n) for n in sizes]), "tok": np.concatenate(ids).astype(np.int32)})
+        self.db.register("given", given)
+        rows = self.db.execute("SELECT word, string_agg(bytes, '' ORDER BY pos) FROM given JOIN tokens USING (tok) GROUP BY word").fetchall()
+        self.db.unregister("given")
+        of = dict(rows)
+        return [bytes.fromhex(of.get(k, "")) for k in range(len(ids))]
+
     def learn(self, pieces: set[str]) -> None:
         fresh = []
         for p in pieces:
@@ -134,10 +197,12 @@ class Codec:
                 self.known[p], self.back[p] = k.to_bytes(4, "little"), self.tokens[k]
             else:
                 fresh.append((p, raw))
-        for every, some in ((False, [x for x in fresh if len(x[1]) < LONG]), (True, [x for x in fresh if len(x[1]) >= LONG])):
+        kinds = ((0, LONG, lambda x: self.contract(x, False)), (LONG, 4 * CUT, lambda x: self.contract(x, True)), (4 * CUT, sys.maxsize, self.stitched))
+        for low, high, way in kinds:
+            some = [x for x in fresh if low <= len(x[1]) < high]
             for i in range(0, len(some), CHUNK):
                 part = some[i : i + CHUNK]
-                ids, back = self.contract([raw for _, raw in part], every)
+                ids, back = way([raw for _, raw in part])
                 self.known.update(zip((p for p, _ in part), ids, strict=True))
                 self.back.update(zip((p for p, _ in part), back, strict=True))
 

@@ -2,7 +2,7 @@
 
 Labelled pages are good or bad. Bad shares shrink through beta-binomial priors: from the whole table to the suffix, to the registered domain, to the host.
 A host is blocked when the lower posterior bound of its bad share passes a limit, that is, when by its beta posterior the share is over the limit with at least the wanted
-probability. The beta distribution function is a continued fraction; posteriors of more than WIDE pages, which are as good as normal, are taken as normal.
+probability. The beta distribution function is a continued fraction at all sizes; its steps grow with the square root of a host's pages, as its convergence takes.
 
 A page's label comes through the document whose number its url's path ends in; pages without one count for nothing in the reputations, but are judged like the others.
 
@@ -28,7 +28,7 @@ LEVELS = ("suffix", "domain", "host")
 SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "com.mx", "com.tr", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr", "co.nz", "co.za", "com.pl", "org.pl")
 MAX_BAD = 0.5
 SURE = 0.95  # probability with which the bound holds
-STEPS, WIDE = 200, 10_000  # of the continued fraction, and pages up to which it is used
+STEPS, MORE = 200, 4  # of the continued fraction, and more for each square root of pages
 STRENGTH = 20.0  # pages that the parent's share counts for, where the children's spread doesn't tell
 
 
@@ -55,18 +55,18 @@ def _names(host: Column, suffixes: Sequence[str]) -> dict[str, Column]:
     return {"suffix": F.when(double, last(2)).otherwise(last(1)), "domain": F.when(double, last(3)).otherwise(last(2)), "host": host}
 
 
-def _log_gamma(z: Column) -> Column:
-    """By Stirling's series, eight steps up."""
+def _beyond_stirling(z: Column) -> Column:
+    """log Gamma(z) less (z - 1/2) log z - z + log(2 pi) / 2: small at all sizes, so that sums of it keep their places. Stirling's series, taken eight steps up."""
     y = z + 8.0
     rest = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3.0))) + 1 / (1260 * F.pow(y, F.lit(5.0))) - 1 / (1680 * F.pow(y, F.lit(7.0)))
-    up = z
-    for k in range(1, 8):
-        up = up * (z + k)
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + rest - F.log(up)
+    up = F.lit(0.0)
+    for k in range(8):
+        up = up + F.log1p(k / z)  # log z(z+1)...(z+7) less 8 log z
+    return rest + (y - 0.5) * F.log1p(8.0 / z) - 8.0 - up
 
 
 def _fraction(a: Column, b: Column, x: Column) -> Column:
-    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    """The continued fraction of the incomplete beta function, by Lentz's method. It converges within some square roots of a + b."""
     first = 1 / (1 - (a + b) * x / (a + 1))
     state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
 
@@ -79,20 +79,18 @@ def _fraction(a: Column, b: Column, x: Column) -> Column:
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 1 + 2 * m))
         return half(half(s, even), odd)
 
-    steps = F.transform(F.sequence(F.lit(1), F.lit(STEPS)), lambda m: m.cast("double"))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(STEPS) + (MORE * F.ceil(F.sqrt(a + b))).cast("int")), lambda m: m.cast("double"))
     return F.aggregate(steps, state(F.lit(1.0), first, first), step)["h"]
 
 
 def probability_over(mean: Column, n: Column, limit: float) -> Column:
     """The probability that a share with the posterior Beta(mean n, (1 - mean) n) is over the limit."""
     a, b, x = mean * n, (1 - mean) * n, F.lit(float(limit))
-    scale = F.exp(_log_gamma(n) - _log_gamma(a) - _log_gamma(b) + a * math.log(limit) + b * math.log(1 - limit))
+    # Of the logarithm, what grows with n is written by shares, where it loses no places
+    log = -a * F.log(mean / limit) - b * F.log((1 - mean) / (1 - limit)) + 0.5 * F.log(n * mean * (1 - mean) / (2 * math.pi)) + _beyond_stirling(n) - _beyond_stirling(a) - _beyond_stirling(b)
     low = limit < (a + 1) / (n + 2)  # where the fraction converges fast; else it is that of the other side
-    exact = F.when(low, 1 - scale * _fraction(a, b, x) / a).otherwise(scale * _fraction(b, a, 1 - x) / b)
-    # Beyond, a logistic curve that is within 0.0002 of the normal distribution function
-    z = (mean - limit) / F.sqrt(mean * (1 - mean) / (n + 1))
-    normal = 1 / (1 + F.exp(F.greatest(F.least(-1.5976 * z - 0.07056 * z * z * z, F.lit(700.0)), F.lit(-700.0))))
-    return F.when(a < 1e-9, 0.0).when(b < 1e-9, 1.0).when(n > WIDE, normal).otherwise(exact)
+    exact = F.when(low, 1 - F.exp(log) * _fraction(a, b, x) / a).otherwise(F.exp(log) * _fraction(b, a, 1 - x) / b)
+    return F.when(a < 1e-9, 0.0).when(b < 1e-9, 1.0).otherwise(exact)
 
 
 def reputation(outcomes: DataFrame, max_bad: float = MAX_BAD, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
@@ -189,17 +187,16 @@ top AS (SELECT coalesce(sum(bad) / nullif(sum(n), 0), 0.0)::DOUBLE AS mean FROM
 {_level_sql("judged", "domains", "host", "suffix, domain")},
 posterior AS (SELECT host, mean, n + strength AS m, mean * (n + strength) AS a, (1 - mean) * (n + strength) AS b FROM judged),
 sides AS (SELECT *, {MAX_BAD} < (a + 1) / (m + 2) AS low FROM posterior),
-given AS (SELECT host, CASE WHEN low THEN a ELSE b END AS a, CASE WHEN low THEN b ELSE a END AS b, CASE WHEN low THEN {MAX_BAD}::DOUBLE ELSE 1 - {MAX_BAD}::DOUBLE END AS x FROM sides WHERE a >= 1e-9 AND b >= 1e-9 AND m <= {WIDE}),
+given AS (SELECT host, CASE WHEN low THEN a ELSE b END AS a, CASE WHEN low THEN b ELSE a END AS b, CASE WHEN low THEN {MAX_BAD}::DOUBLE ELSE 1 - {MAX_BAD}::DOUBLE END AS x, {STEPS} + {MORE} * ceil(sqrt(m)) AS most FROM sides WHERE a >= 1e-9 AND b >= 1e-9),
 lentz AS (
-  SELECT host, a, b, x, 0::DOUBLE AS k, 1::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM given
+  SELECT host, a, b, x, most, 0::DOUBLE AS k, 1::DOUBLE AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM given
   UNION ALL
-  SELECT host, a, b, x, k + 1, 1 + t2 / c1, 1 / (1 + t2 * d1), h * d1 * c1 * (1 / (1 + t2 * d1)) * (1 + t2 / c1)
+  SELECT host, a, b, x, most, k + 1, 1 + t2 / c1, 1 / (1 + t2 * d1), h * d1 * c1 * (1 / (1 + t2 * d1)) * (1 + t2 / c1)
   FROM (SELECT *, 1 / (1 + t1 * d) AS d1, 1 + t1 / c AS c1 FROM (
-    SELECT *, (k + 1) * (b - k - 1) * x / ((a + 1 + 2 * k) * (a + 2 + 2 * k)) AS t1, -(a + k + 1) * (a + b + k + 1) * x / ((a + 2 + 2 * k) * (a + 3 + 2 * k)) AS t2 FROM lentz WHERE k < {STEPS}))),
-fractions AS (SELECT host, h FROM lentz WHERE k = {STEPS}),
+    SELECT *, (k + 1) * (b - k - 1) * x / ((a + 1 + 2 * k) * (a + 2 + 2 * k)) AS t1, -(a + k + 1) * (a + b + k + 1) * x / ((a + 2 + 2 * k) * (a + 3 + 2 * k)) AS t2 FROM lentz WHERE k < most))),
+fractions AS (SELECT host, h FROM lentz WHERE k = most),
 bound AS (
   SELECT host, mean, CASE WHEN a < 1e-9 THEN 0.0 WHEN b < 1e-9 THEN 1.0
-    WHEN m > {WIDE} THEN 1 / (1 + exp(greatest(least(-1.5976 * (mean - {MAX_BAD}) / sqrt(mean * (1 - mean) / (m + 1)) - 0.07056 * pow((mean - {MAX_BAD}) / sqrt(mean * (1 - mean) / (m + 1)), 3), 700.0), -700.0)))
     WHEN low THEN 1 - exp(lgamma(m) - lgamma(a) - lgamma(b) + a * ln({MAX_BAD}::DOUBLE) + b * ln(1 - {MAX_BAD}::DOUBLE)) * h / a
     ELSE exp(lgamma(m) - lgamma(a) - lgamma(b) + a * ln({MAX_BAD}::DOUBLE) + b * ln(1 - {MAX_BAD}::DOUBLE)) * h / b END AS over FROM sides LEFT JOIN fractions USING (host))
 SELECT page_id, host, path, {_rule_sql("rule")} AS rule, coalesce({_rule_sql("verdict")}, CASE WHEN over >= {SURE} THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_share, round(over, 6)::DOUBLE AS bad_probability
