@@ -13,10 +13,12 @@ and no terms; one with a single source has no pairs. An empty table gives an emp
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,7 +30,10 @@ TOP = 10  # terms that are listed of a group
 SHARD = 1024  # terms of a shard
 BLOCK = 32  # sources of a block
 SCALE = 1_000_000_000
-NOT_A_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What each byte of a text is to terms: letters of any kind stay, A-Z lower-cased, and all else parts them.
+TERMS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+KNOWN = 300_000  # terms and groups that a task counts before it sends them on
+SENT = 50_000  # rows of a batch that is sent
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LANG = 0  # stands for the language as a whole among the numbers of groups in a task
 
@@ -116,14 +121,48 @@ def priced(frame: pd.DataFrame, top: int = TOP) -> pd.DataFrame:
     return out.assign(lang=lang, shard=int(shard))[["lang", "shard", "source", "other", "idx", "value"]]
 
 
+def _sent(counts: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), (n, held) in counts.items():
+        terms = list(n)
+        for low in range(0, len(terms), SENT):
+            part = terms[low : low + SENT]
+            numbers = [pa.array([x[t] for t in part], pa.int64()) for x in (n, held)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()).cast(pa.string()), *numbers], names=["lang", "source", "term", "n", "held"])
+
+
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of terms and documents that hold them by group, added up over as many documents as memory is meant for. In UTF-8 all that is no term is a byte of its own."""
+    tidy("divergence")
+    counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    known, groups = 0, set()
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
+            group = (lang.as_py(), source.as_py())
+            groups.add(group)
+            n, held = counts.setdefault(group, (Counter(), Counter()))
+            before = len(n)
+            found = text.as_buffer().to_pybytes().translate(TERMS).split()
+            n.update(found)
+            held.update(set(found))
+            known += len(n) - before
+            if known >= KNOWN or len(groups) >= KNOWN:
+                yield from _sent(counts)
+                yield _heads(groups)
+                counts, known, groups = {}, 0, set()
+    yield from _sent(counts)
+    yield _heads(groups)
+
+
+def _heads(groups: set[tuple[str, str]]) -> pa.RecordBatch:
+    none = pa.array([0] * len(groups), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.string()), pa.array([g[1] for g in groups], pa.string()), pa.nulls(len(groups), pa.string()), none, none], names=["lang", "source", "term", "n", "held"])
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, held: occurrences of each term, and the documents that hold it, by group; a row with a null term for each group."""
-    empty = F.lit("")
-    rows = docs.select(F.coalesce("lang", empty).alias("lang"), F.coalesce("source", empty).alias("source"), F.split(F.translate(F.coalesce("text", empty), UPPER, LOWER), NOT_A_TERM).alias("t"))
-    rows = rows.withColumn("t", F.filter("t", lambda t: t != ""))
-    pick = lambda t, n, held: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(held).cast("long").alias("held"))
-    each = F.concat(F.transform("t", lambda t: pick(t, 1, 0)), F.transform(F.array_distinct("t"), lambda t: pick(t, 0, 1)), F.array(pick(F.lit(None).cast("string"), 0, 0)))
-    return rows.select("lang", "source", F.inline(each)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    rows = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    rows = rows.mapInArrow(count_terms, "lang string, source string, term string, n long, held long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
 
 
 def diverge(docs: DataFrame, held: int = HELD, top: int = TOP, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
