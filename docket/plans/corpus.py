@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.functions.text import tokens
-from docket.operators import filters, ledger, search
-from docket.sources.tables import table
+from docket.operators import filters, ledger, postings, search
+from docket.operators.postings import Index
+from docket.sources.tables import stored_once, table
 
 PHRASE, TOP = "of the", 20
+NEAR, ANY = "that the on", ("of the", "licensed under", "de la")
 FIRST, SECOND = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 
 
@@ -102,74 +103,148 @@ def corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.in_order(_rows(spark, sf_dir), "date").select("doc_id", "date").limit(100)
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index over current versions: after both loads, the second one's text of each document, with a case number; only English documents have a date."""
-    first, second = _loads(spark, sf_dir)
-    both = first.unionByName(second)
-    held = ledger.current_content(ledger.documents(both), both)
-    facts = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.when(F.col("lang") == "en", F.format_string("2024-%02d-01", (F.col("doc_id") % 12 + 1).cast("int"))).alias("date"))
-    numbers = F.array(F.concat(F.lit("KIO "), F.col("doc_id").cast("string"), F.lit("/24")))
-    rows = held.join(facts, "doc_id").withColumn("numbers", numbers)
-    return search.indexed(rows, "content", "numbers", keep=("source", "lang", "date"))
+def _index(spark: SparkSession, sf_dir: str) -> Index:
+    """Documents as they are."""
+
+    def build(path: str) -> Index:
+        docs = table(spark, sf_dir, "documents")
+        return Index(spark, path).add(postings.fields(docs, postings.text_and_numbers("text"), keep=("source", "lang")))
+
+    return stored_once(spark, sf_dir, "documents", build)
+
+
+def _current(spark: SparkSession, sf_dir: str) -> Index:
+    """Current versions: the first load is a segment, and the versions that the second one changed another. Each has a case number; only English documents have a date."""
+
+    def build(path: str) -> Index:
+        first, second = _loads(spark, sf_dir)
+        facts = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.when(F.col("lang") == "en", F.format_string("2024-%02d-01", (F.col("doc_id") % 12 + 1).cast("int"))).alias("date"))
+        numbers = F.array(F.concat(F.lit("KIO "), F.col("doc_id").cast("string"), F.lit("/24")))
+        changed = ledger.new_versions(second, ledger.new_versions(first)).select("doc_id", "sha256")
+        segments = (first, second.join(changed, ["doc_id", "sha256"], "left_semi"))
+        index = Index(spark, path)
+        for k, rows in enumerate(segments):
+            docs = rows.join(facts, "doc_id").withColumn("numbers", numbers)
+            index.add(postings.fields(docs, postings.text_and_numbers("content", "numbers"), keep=("source", "lang", "date")), k)
+        return index
+
+    return stored_once(spark, sf_dir, "current", build)
+
+
+def _hits(index: Index, phrase: str = PHRASE) -> DataFrame:
+    return postings.by_document(postings.phrase_hits(index, phrase))
+
+
+def _shown(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.col("key").alias("doc_id"), *more, F.col("size").alias("n_words"), "tf", "score")
 
 
-KEPT = ("source", "lang", "date")
 WANTED = filters.Criteria(since="2024-03-01", until="2024-10-31")
 _DATED = filters.Columns()
 
 
 def phrase_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.top(search.matches(table(spark, sf_dir, "documents"), PHRASE), TOP)
+    index = _index(spark, sf_dir)
+    return _shown(postings.page(postings.scored(_hits(index), index), TOP))
+
+
+def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page: what comes after the last row of the first."""
+    index = _index(spark, sf_dir)
+    rows = postings.scored(_hits(index), index)
+    last = postings.page(rows, TOP).agg(F.min(F.struct((-F.col("score")).alias("n"), "key")).alias("first"), F.max(F.struct((-F.col("score")).alias("n"), "key")).alias("last")).first()["last"]
+    return _shown(postings.page(rows, TOP, last and (-last["n"], last["key"])))
+
+
+def search_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words with at most ten others among them, in any order."""
+    index = _index(spark, sf_dir)
+    return _shown(postings.page(postings.scored(postings.by_document(postings.near_hits(index, NEAR, 10)), index), TOP))
+
+
+def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase whose last word may go on."""
+    index = _index(spark, sf_dir)
+    return _shown(postings.page(postings.scored(postings.by_document(postings.phrase_hits(index, "of th", prefix=True)), index), TOP))
+
+
+def search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold any of three phrases: hits of each phrase, of all, and of those that hold more than one."""
+    rows = postings.any_of(_index(spark, sf_dir), list(ANY))
+    by_phrase = rows.groupBy("phrase").agg(F.count("*").alias("documents"), F.sum("tf").alias("hits"))
+    each = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    all_of = each.agg(F.count("*").alias("documents"), F.coalesce(F.sum("tf"), F.lit(0)).alias("hits"))
+    more = each.filter("n > 1").agg(F.count("*").alias("documents"), F.coalesce(F.sum("tf"), F.lit(0)).alias("hits"))
+    return by_phrase.unionByName(all_of.select(F.lit("any").alias("phrase"), "*")).unionByName(more.select(F.lit("more than one").alias("phrase"), "*"))
 
 
 def search_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hits among current versions that the filters let through, ranked by the statistics of the whole index, with sources and citations."""
-    allowed = filters.all_of(WANTED, _DATED)
-    hits = search.top(search.found(_index(spark, sf_dir), "available under", keep=KEPT), TOP, allowed=allowed).select("doc_id", "date", "n_words", "tf", "score")
-    docs = table(spark, sf_dir, "documents")
-    return search.attached(hits, docs, F.col("source"), F.concat(F.lit("KIO "), F.col("doc_id").cast("string"), F.lit("/24; "), F.col("source")))
+    index = _current(spark, sf_dir)
+    live = index.live()
+    best = postings.page(postings.scored(_hits(index, "available under"), index, live.filter(filters.all_of(WANTED, _DATED)).select("key")), TOP)
+    hits = _shown(best.join(live.select("key", "date"), "key"), "date")
+    docs = live.select(F.col("key").alias("doc_id"), F.col("source").alias("_source"))
+    return search.attached(hits, docs, F.col("_source"), F.concat(F.lit("KIO "), F.col("doc_id").cast("string"), F.lit("/24; "), F.col("_source")))
 
 
 def search_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase that stands in a case number."""
-    return search.top(search.found(_index(spark, sf_dir), "KIO 7/24", keep=("source",)), TOP).select("doc_id", "source", "tf", "score")
+    index = _current(spark, sf_dir)
+    best = postings.page(postings.scored(_hits(index, "KIO 7/24"), index), TOP)
+    return _shown(best.join(index.live().select("key", "source"), "key"), "source").drop("n_words")
 
 
 def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus, index, hits, shown ones, and hits that only lack a date."""
-    found = search.found(_index(spark, sf_dir), PHRASE, keep=KEPT)
-    return search.counts(found, TOP, table(spark, sf_dir, "documents"), filters.all_of(WANTED, _DATED), "date", filters.all_but_dates(WANTED, _DATED))
+    index = _current(spark, sf_dir)
+    found = postings.found(index, _hits(index))
+    return search.counts(found, TOP, table(spark, sf_dir, "documents").select("doc_id"), filters.all_of(WANTED, _DATED), "date", filters.all_but_dates(WANTED, _DATED))
 
 
 def search_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts are there without hits, too."""
-    return search.counts(search.matches(table(spark, sf_dir, "documents"), "no such phrase anywhere"), TOP)
+    index = _index(spark, sf_dir)
+    return search.counts(postings.found(index, _hits(index, "no such phrase anywhere")), TOP)
 
 
 def phrase_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best hits among English documents, with their sources; ranked by the statistics of all documents."""
-    found = search.matches(table(spark, sf_dir, "documents"), PHRASE, keep=("source", "lang"))
-    return search.top(found, TOP, allowed=F.col("lang") == "en").drop("lang")
+    index = _index(spark, sf_dir)
+    live = index.live().select("key", "source", "lang")
+    best = postings.page(postings.scored(_hits(index), index, live.filter("lang = 'en'").select("key")), TOP)
+    return _shown(best.join(live.drop("lang"), "key"), "source")
 
 
 def phrase_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents that hold the phrase, by label."""
-    found = search.matches(table(spark, sf_dir, "documents"), PHRASE)
+    found = _hits(_index(spark, sf_dir)).select(F.col("key").alias("doc_id"), "tf")
     return filters.by_phrase(table(spark, sf_dir, "labels"), found).groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
 def search_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best hits with the words about the first place of the phrase."""
-    docs = table(spark, sf_dir, "documents")
-    hits = search.top(search.matches(docs, PHRASE), TOP).select("doc_id")
-    rows = docs.join(hits, "doc_id").select("doc_id", search.excerpt(F.col("text"), PHRASE).alias("x"))
-    words = F.size(F.split(F.regexp_replace("x", "^… | …$", ""), " "))
-    return rows.select("doc_id", F.contains(F.array_join(tokens(F.col("x")), " "), F.lit(PHRASE)).alias("holds"), words.between(2, 16).alias("fits"))
+    """The best hits with the stretch of words that holds most of them, and where it stands; only the texts of hits are read on."""
+    index = _index(spark, sf_dir)
+    hits = postings.phrase_hits(index, PHRASE).filter("field = 'text'")
+    best = postings.page(postings.scored(postings.by_document(hits), index), TOP)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(best.join(hits.select("key", "at"), "key").select(F.col("key").alias("doc_id"), "at"), "doc_id")
+    window = postings.best_window(F.col("text"), F.array_sort("at"), len(PHRASE.split()))
+    return rows.select("doc_id", window.alias("w")).select("doc_id", "w.start", "w.end", "w.excerpt")
+
+
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of licence lines that the second load replaced, before and after the index is compacted: postings on disk, those that a search reads, and documents."""
+    index = _current(spark, sf_dir)
+    small = stored_once(spark, sf_dir, "compacted", index.compact)
+    rows = lambda i: i.read("postings").filter(F.col("term").isin("licensed", "available"))
+    count = lambda i, name: rows(i).groupBy("term").agg(F.count("*").alias("on_disk")).join(i.postings(["licensed", "available"]).groupBy("term").agg(F.count("*").alias("read")), "term", "left").withColumn("index", F.lit(name))
+    out = count(index, "two segments").unionByName(count(small, "compacted"))
+    return out.select("index", "term", "on_disk", F.coalesce("read", F.lit(0)).alias("read"))
 
 
 QUERIES = {f.__name__: f for f in (
     version_ledger, current_version, replay_is_noop, incremental_reparse, skip_known, filter_algebra, undated_left_out, broadening_counts, unknown_values, lookup_by_key, normalised_filter, corpus_order,
-    phrase_search_topk, search_current, search_by_number, search_counts, search_nothing, phrase_search_filtered, phrase_filter, search_excerpts,
+    phrase_search_topk, search_page, search_near, search_prefix, search_any, search_current, search_by_number, search_counts, search_nothing, phrase_search_filtered, phrase_filter, search_excerpts, index_upkeep,
 )}
 
 _LOADS = "WITH first AS (SELECT doc_id, sha256(text) AS sha256 FROM documents), second AS (SELECT doc_id, sha256(replace(text, 'Licensed under', 'Available under')) AS sha256 FROM documents) "
@@ -200,6 +275,14 @@ r AS (SELECT m.*, round(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
 _SECOND, _NUMBER = "replace(text, 'Licensed under', 'Available under')", "'KIO ' || doc_id || '/24'"
 _BETWEEN = "coalesce(date BETWEEN '2024-03-01' AND '2024-10-31', false)"
 
+_NEAR = "('that', 'the', 'on')"
+
+
+def _scored(tf: str) -> str:
+    """The best hits by an own count of them; a text counts w, its words."""
+    return _search().split("m AS (")[0] + f"""m AS (SELECT doc_id, len(w)::INT AS n_words, {tf} AS tf FROM t), s AS (SELECT count(*) AS n, count(*) FILTER (tf > 0) AS df, avg(n_words) AS a FROM m),
+r AS (SELECT m.*, round(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * n_words / a))), 9) AS score FROM m, s WHERE tf > 0) SELECT doc_id, n_words, tf, score FROM r ORDER BY score DESC, doc_id LIMIT {TOP}"""
+
 
 ORACLE_SQL = {
     "version_ledger": _LOADS + "SELECT doc_id, sha256, min(load)::INT AS load FROM (SELECT *, 1 AS load FROM first UNION ALL SELECT *, 2 FROM second) GROUP BY ALL",
@@ -222,5 +305,26 @@ ORACLE_SQL = {
     "search_by_number": _search("kio 7 24", _SECOND, _NUMBER) + f"SELECT doc_id, source, tf, score FROM r ORDER BY score DESC, doc_id LIMIT {TOP}",
     "search_nothing": "SELECT count(*) AS corpus, count(*) AS indexed, 0::BIGINT AS hits, 0::BIGINT AS shown, 0::BIGINT AS undated FROM documents",
     "phrase_filter": _search() + "SELECT quality, toxic, count(*) AS n FROM labels WHERE doc_id IN (SELECT doc_id FROM r) GROUP BY ALL",
-    "search_excerpts": _search() + f"SELECT doc_id, true AS holds, true AS fits FROM r ORDER BY score DESC, doc_id LIMIT {TOP}",
+    "search_excerpts": _search()
+    + f""", b AS (SELECT doc_id FROM r ORDER BY score DESC, doc_id LIMIT {TOP}),
+    x AS (SELECT doc_id, text, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}]+') AS g, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS v, w FROM b JOIN documents USING (doc_id) JOIN t USING (doc_id)),
+    p AS (SELECT *, list_filter(range(0, len(w) - 1), lambda i: w[i + 1] = 'of' AND w[i + 2] = 'the') AS ps FROM x),
+    c AS (SELECT *, unnest(ps) AS s FROM p),
+    n AS (SELECT *, list_filter(ps, lambda q: q >= s AND q + 2 <= s + 16) AS own FROM c),
+    best AS (SELECT doc_id, text, g, v, own, s FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len(own) DESC, s) = 1),
+    f AS (SELECT *, greatest(0, s - (16 - (list_max(own) + 2 - s)) // 2) AS a FROM best),
+    z AS (SELECT *, least(a + 16, len(v)) AS e FROM f),
+    o AS (SELECT *, (list_sum(list_transform(g[1:a + 1], lambda y: length(y))) + coalesce(list_sum(list_transform(v[1:a], lambda y: length(y))), 0))::INT AS lo,
+      (list_sum(list_transform(g[1:e], lambda y: length(y))) + list_sum(list_transform(v[1:e], lambda y: length(y))))::INT AS hi FROM z)
+    SELECT doc_id, lo AS start, hi AS "end", substring(text, lo + 1, hi - lo) AS excerpt FROM o""",
+    "search_page": _search() + f"SELECT doc_id, n_words, tf, score FROM r ORDER BY score DESC, doc_id LIMIT {TOP} OFFSET {TOP}",
+    "search_near": _scored(f"len(list_filter(range(1, len(w) + 1), lambda i: w[i] IN {_NEAR} AND len(list_distinct(list_filter(w[i:i + 12], lambda y: y IN {_NEAR}))) = 3))::INT"),
+    "search_prefix": _scored("len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND starts_with(w[i + 1], 'th')))::INT"),
+    "search_any": f"""WITH t AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+    m AS (SELECT doc_id, phrase, tf FROM (SELECT doc_id, 'of the' AS phrase, {_often("w", "of the")} AS tf FROM t UNION ALL SELECT doc_id, 'licensed under', {_often("w", "licensed under")} FROM t UNION ALL SELECT doc_id, 'de la', {_often("w", "de la")} FROM t) WHERE tf > 0),
+    e AS (SELECT doc_id, count(*) AS n, sum(tf) AS tf FROM m GROUP BY doc_id)
+    SELECT phrase, count(*) AS documents, sum(tf)::BIGINT AS hits FROM m GROUP BY phrase UNION ALL SELECT 'any', count(*), coalesce(sum(tf), 0)::BIGINT FROM e UNION ALL SELECT 'more than one', count(*), coalesce(sum(tf), 0)::BIGINT FROM e WHERE n > 1""",
+    "index_upkeep": f"""WITH t AS (SELECT {_WORDS.format("text")} AS a, {_WORDS.format(_SECOND)} AS b, contains(text, 'Licensed under') AS changed FROM documents),
+    n AS (SELECT unnest(['licensed', 'available']) AS term), k AS (SELECT term, count(*) FILTER (list_contains(a, term)) + count(*) FILTER (changed AND list_contains(b, term)) AS disk, count(*) FILTER (list_contains(b, term)) AS live FROM t, n GROUP BY term)
+    SELECT 'two segments' AS index, term, disk AS on_disk, live AS read FROM k WHERE disk > 0 UNION ALL SELECT 'compacted', term, live, live FROM k WHERE live > 0""",
 }

@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.functions.identity import chamber_numbers, vintage
-from docket.operators import citations, provisions, sections
-from docket.sources.tables import table
+from docket.functions.text import record, tokens
+from docket.operators import citations, postings, provisions, sections
+from docket.operators.postings import Index
+from docket.sources.tables import stored_once, table
 
 #: Pieces of a ruling as SQL over the columns of an order (shape, o_orderkey, yy, day, c_name, o_custkey, body).
 _OWN = "'KIO ' || CAST(o_orderkey % 99999 + 1 AS STRING) || '/' || yy"
@@ -156,11 +158,38 @@ def provision_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provisions.containment(_provisions(spark, sf_dir))
 
 
+def _by_section(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of rulings with a field for each section."""
+
+    def build(path: str) -> Index:
+        docs = sections.with_spans(compose(spark, sf_dir))
+        parts = F.transform("spans", lambda s: record(field=s["kind"], text=F.substr("text", s["start"] + 1, s["end"] - s["start"])))
+        covered = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+        return Index(spark, path).add(postings.fields(docs.withColumns({"chars": F.length("text"), "covered": covered, "in_text": F.size(tokens(F.col("text")))}), parts, keep=("chars", "covered", "in_text")))
+
+    return stored_once(spark, sf_dir, "sections", build)
+
+
+def search_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase in the sections of rulings: how often in each, and the best section's rank."""
+    index = _by_section(spark, sf_dir)
+    rows = postings.by_section(postings.phrase_hits(index, "ustawy"), index)
+    return rows.select(F.col("key").alias("doc_id"), "score", F.array_join(F.transform(F.map_entries("sections"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ";").alias("sections"))
+
+
+def section_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index by sections holds of all texts: characters and words, and rulings where they differ."""
+    docs = _by_section(spark, sf_dir).live()
+    total = lambda c: F.sum(c).cast("long")
+    return docs.agg(F.count("*").alias("rulings"), total("covered").alias("chars"), total("size").alias("words"), F.count_if((F.col("covered") != F.col("chars")) | (F.col("size") != F.col("in_text"))).alias("differ"))
+
+
 LABELS = {"naglowek": "Nagłówek", "sentencja": "Sentencja", "pouczenie": "Pouczenie", "uzasadnienie": "Uzasadnienie"}
 QUERIES = {f.__name__: f for f in (
-    sections_map, section_coverage, split_text_lossless, headed_text, selective_read, citations_offsets, citation_kinds, case_numbers, provision_forms, statute_by_context, provision_containment,
+    sections_map, section_coverage, split_text_lossless, headed_text, selective_read, citations_offsets, citation_kinds, case_numbers, provision_forms, statute_by_context, provision_containment, search_sections, section_guard,
 )}
 
+_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+'), lambda y: y <> '')"
 _TITLES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LABELS.items())
 ORACLE_SQL = {
     "sections_map": DUCKDB + 'SELECT doc_id, ord, kind, a::INT AS start, b::INT AS "end", sha256(part) AS sha256 FROM cut',
@@ -169,6 +198,12 @@ ORACLE_SQL = {
     "headed_text": DUCKDB + f"SELECT doc_id, sha256(string_agg('## ' || CASE kind {_TITLES} ELSE kind END || chr(10) || part, '' ORDER BY ord)) AS sha256 FROM cut GROUP BY doc_id",
     "selective_read": DUCKDB + "SELECT doc_id, ord, kind, a::INT AS start, b::INT AS \"end\", CASE WHEN kind IN ('sentencja', 'zdanie_odrebne') THEN part END AS part FROM cut",
     "citations_offsets": DUCKDB + 'SELECT doc_id, ord, a::INT AS start, (a + l)::INT AS "end", raw, kind, canon FROM cites',
+    "search_sections": DUCKDB
+    + f""", w AS (SELECT doc_id, kind, {_TOKENS.format("part")} AS w FROM cut), m AS (SELECT doc_id, kind, len(w) AS n_words, len(list_filter(w, lambda y: y = 'ustawy')) AS tf FROM w),
+    d AS (SELECT doc_id, sum(n_words) AS size FROM m GROUP BY doc_id), st AS (SELECT count(*) AS n, (SELECT count(DISTINCT doc_id) FROM m WHERE tf > 0) AS df, sum(size)::DOUBLE / count(*) AS a FROM d)
+    SELECT doc_id, max(round(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * size / a))), 9)) AS score, string_agg(kind || ':' || tf, ';' ORDER BY kind) AS sections
+    FROM m JOIN d USING (doc_id), st WHERE tf > 0 GROUP BY doc_id""",
+    "section_guard": DUCKDB + f"SELECT count(*) AS rulings, sum(length(text))::BIGINT AS chars, sum(len({_TOKENS.format('text')}))::BIGINT AS words, 0::BIGINT AS differ FROM rulings",
     "citation_kinds": DUCKDB + "SELECT CASE WHEN canon IS NULL THEN 'nierozpoznane' ELSE kind END AS kind, count(*) AS n FROM cites GROUP BY 1",
     "case_numbers": DUCKDB
     + ", every AS (SELECT doc_id, canon AS c FROM spread WHERE kind = 'kio' UNION SELECT doc_id, own FROM rulings WHERE shape <> 7 UNION SELECT doc_id, against FROM rulings WHERE shape = 4), heads AS (SELECT doc_id, CASE WHEN shape = 7 THEN min_by(canon, before) FILTER (spread.kind = 'kio') ELSE any_value(own) END AS first FROM rulings JOIN spread USING (doc_id, shape) GROUP BY doc_id, shape) SELECT doc_id, first = own AS own_first, '20' || yy AS vintage, (SELECT count(*) FROM every e WHERE e.doc_id = rulings.doc_id)::INT AS n_numbers FROM rulings JOIN heads USING (doc_id)",

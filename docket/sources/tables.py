@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Own folders by application, where nothing names one.
 _OWN: dict[str, str] = {}
+#: What was built from the tables of a folder, by application, folder and name.
+_BUILT: dict[tuple[str, str, str], object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,3 +29,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(to)
     return path
+
+
+def stored_once(spark: SparkSession, sf_dir: str, name: str, build):
+    """What build(path) gives for a new shared folder, built at its first use in an application: tables that serve many queries over the same input."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _BUILT:
+        _BUILT[at] = build(shared_folder(spark, name))
+    return _BUILT[at]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
