@@ -46,6 +46,11 @@ def markdown(df: DataFrame, title: Column, block: Column, body: Column, appendix
     return df.select(F.concat(file_name(ref), F.lit(".md")).alias("file"), F.concat(front, strip_controls(body), F.coalesce(appendix, F.lit(""))).alias("value"))
 
 
+def in_buckets(rows: DataFrame, n: int = 64) -> DataFrame:
+    """Documents of an export with the bucket of their file name, by which they are written to folders."""
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("file"), F.lit(n)).cast("int")).repartition(n, "bucket")
+
+
 def index(df: DataFrame, ref: str, number: str, date: str, outcome: str) -> DataFrame:
     """file, number, date, outcome of each exported document, unknown dates named as such."""
     return df.select(F.concat(file_name(F.col(ref)), F.lit(".md")).alias("file"), F.col(number).alias("number"), F.coalesce(date, F.lit(UNKNOWN_DATE)).alias("date"), F.coalesce(outcome, F.lit("")).alias("outcome"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.operators import runs
+from docket.operators.snapshots import Store
 from docket.sources.records import candidates, decode, first_candidates, page_checks
-from docket.sources.tables import shared_folder, table
+from docket.sources.tables import shared_folder, stored_once, table
 from docket.streaming import ingest
 
 
@@ -24,6 +25,24 @@ def stream_ingest_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.committed(spark, f"{out}/settled").select("doc_id", "sha256")
 
 
+def snapshot_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads as two snapshots, the second of documents that changed, which is then taken once more: what each snapshot holds, and the second one's metadata after compaction and expiry of the first."""
+    store = Store(spark, shared_folder(spark, "snapshots"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    changed = docs.filter(F.contains("text", F.lit("Licensed under"))).withColumn("text", F.replace("text", F.lit("Licensed under"), F.lit("Available in detail under")))
+    for k, rows in enumerate((docs, changed, changed)):
+        ingest.take(store, "load", rows.withColumn("seen_at", F.to_timestamp(F.lit(f"2024-0{k + 1}-01"))), min(k, 1))
+
+    def row(name: str, at: int | None) -> DataFrame:
+        counts = [store.read(t, at).agg(F.count("*").alias(t)) for t in ("versions", "links")]
+        return store.read("metadata", at).agg(F.count("*").alias("metadata"), F.sum("n_chars").alias("chars")).join(counts[0]).join(counts[1]).withColumn("snapshot", F.lit(name))
+
+    old = stored_once(spark, sf_dir, "first-snapshot", lambda path: row("first", 0).write.parquet(path) or path)  # read before it is expired
+    store.compact("metadata", "doc_id")
+    store.expire(keep=1)
+    return spark.read.parquet(old).unionByName(row("last", None)).withColumn("kept", F.lit(len(store.snapshots())))
+
+
 def stream_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests of each run by the hour; the hours that the watermark has not passed at the end don't come out."""
     out, path = shared_folder(spark, "stream"), f"{sf_dir}/events.parquet"
@@ -75,10 +94,11 @@ def batch_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.outcome_summary(batch.select((F.col("toxic") == 0).alias("nowy"), F.col("there").isNull().alias("missing"), (F.col("quality") == 0).alias("parse_error")))
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest_equals_batch, stream_budget, record_decode, listing_candidates, listing_rejects, listing_checks, first_listed, batch_outcome)}
+QUERIES = {f.__name__: f for f in (stream_ingest_equals_batch, snapshot_time_travel, stream_budget, record_decode, listing_candidates, listing_rejects, listing_checks, first_listed, batch_outcome)}
 _LISTED = "l AS (SELECT conv_id AS page, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1)::INT AS idx, CASE WHEN role = 'user' THEN conv_id || '-' || turn END AS source_ref, 'KIO ' || turn || '/24' AS sygnatura, role = 'user' AS good FROM conversations) "
 ORACLE_SQL = {
     "stream_ingest_equals_batch": "SELECT DISTINCT doc_id, sha256(text) AS sha256 FROM documents",
+    "snapshot_time_travel": "WITH d AS (SELECT length(text) AS a, contains(text, 'Licensed under') AS c, length(replace(text, 'Licensed under', 'Available in detail under')) AS b FROM documents) SELECT 'first' AS snapshot, count(*) AS metadata, sum(a)::BIGINT AS chars, count(*) AS versions, count(*) AS links, 1 AS kept FROM d UNION ALL SELECT 'last', count(*), sum(CASE WHEN c THEN b ELSE a END)::BIGINT, count(*) + count(*) FILTER (c), count(*), 1 FROM d",
     "stream_budget": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, user_id AS run_id, count(*) AS n, count(*) > 2 AS over FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2",
     "record_decode": "SELECT doc_id, doc_id % 3 <> 0 AS decoded, CASE WHEN doc_id % 3 <> 0 THEN doc_id::VARCHAR END AS source_ref, CASE WHEN doc_id % 3 <> 0 THEN 'KIO ' || doc_id || '/24' END AS sygnatury, NULL::VARCHAR AS rozstrzygniecie, CASE WHEN doc_id % 3 <> 0 AND n_chars % 2 = 0 THEN n_chars::DOUBLE END AS koszty FROM documents",
     "listing_candidates": "WITH " + _LISTED + "SELECT * FROM l",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.operators.ledger import new_versions
+from docket.operators.snapshots import Change, Store
 
 VERSIONS = "doc_id long, sha256 string, seen_at timestamp, load int, stream string, batch_id long"
 COMMITS = "stream string, batch_id long"
@@ -41,6 +42,22 @@ def start(stream: DataFrame, path: str, checkpoint: str, load: int = 1):
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def take(store: Store, run: str, batch: DataFrame, batch_id: int) -> int:
+    """One batch of documents (doc_id, text, seen_at) as one snapshot: their versions are appended, their links to a run and their metadata replaced; left out where the store has it already."""
+    rows = batch.withColumn("sha256", F.sha2(F.col("text").cast("binary"), 256))
+    newest = rows.groupBy("doc_id").agg(F.max_by(F.struct("sha256", F.length("text").alias("n_chars")), F.struct("seen_at", "sha256")).alias("m")).select("doc_id", "m.sha256", "m.n_chars")
+    changes = {
+        "versions": Change(new_versions(rows.select("doc_id", "sha256", "seen_at", F.lit(1).alias("load"))).select("doc_id", "sha256", "seen_at")),
+        "links": Change(rows.select("doc_id", F.lit(run).alias("run_id")).distinct(), key=("doc_id", "run_id")), "metadata": Change(newest, key="doc_id"),
+    }
+    return store.commit(changes, run, batch_id)
+
+
+def start_snapshots(stream: DataFrame, store: Store, checkpoint: str, run: str):
+    """A query that takes all that is there now into the store, batch by batch."""
+    return stream.writeStream.foreachBatch(lambda batch, i: take(store, run, batch, i) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def settle(spark: SparkSession, path: str, to: str) -> None:
     """The committed versions written anew under to, each once, as one committed batch."""
     mark = {"stream": F.lit("settled"), "batch_id": F.lit(0).cast("long")}
