@@ -16,42 +16,88 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def streaks(log: DataFrame, failed: Column, reset: Column, least: int, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    """by, first, last, length of runs of at least least failures; a reset ends one, rows that are neither don't matter."""
-    w = W.partitionBy(*by).orderBy(*order)
-    marked = log.select(*by, *order, failed.alias("_f"), F.sum(reset.cast("int")).over(w).alias("_g"))
+def scanned(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...], cut: Column | None, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """df with values by what comes before each row of its group: name: (kind, of), kind being before (of the row just before), sum (with the row itself), or max (without it).
+
+    cut: numbers that don't fall along order, such as hours or thousands of ids. A group is then scanned in parts that tasks share: each part is summed up, the sums are scanned, one row for each part, and
+    what they come to is carried into the parts. So a group of any size is spread over as many tasks as it has parts. Null: groups are scanned whole.
+    """
+    keys, part = list(by), "_part"
+    rows = df.withColumn(part, F.lit(0).cast("long") if cut is None else F.coalesce(cut.cast("long"), F.lit(-(1 << 62)))).withColumns({f"_of_{n}": of for n, (_, of) in values.items()})
+    inner = W.partitionBy(*keys, part).orderBy(*order)
+    above = inner.rowsBetween(W.unboundedPreceding, -1)
+    own = {"before": lambda c: F.lag(F.struct(c)).over(inner), "sum": lambda c: F.sum(c).over(inner.rowsBetween(W.unboundedPreceding, 0)), "max": lambda c: F.max(c).over(above)}
+    if cut is None:
+        carried = rows.withColumns({f"_in_{n}": F.lit(None) for n in values})
+    else:
+        place = F.struct(*order)
+        summed = {"before": lambda c: F.max_by(F.struct(c), place), "sum": F.sum, "max": F.max}
+        parts = rows.groupBy(*keys, part).agg(*[summed[kind](F.col(f"_of_{n}")).alias(f"_in_{n}") for n, (kind, _) in values.items()])
+        outer = W.partitionBy(*keys).orderBy(part)
+        earlier = outer.rowsBetween(W.unboundedPreceding, -1)
+        over = {"before": lambda c: F.lag(c).over(outer), "sum": lambda c: F.sum(c).over(earlier), "max": lambda c: F.max(c).over(earlier)}
+        parts = parts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col(part).alias("_of_part"), *[over[kind](f"_in_{n}").alias(f"_in_{n}") for n, (kind, _) in values.items()])
+        same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col(part) == F.col("_of_part")]
+        joined = same[0]
+        for c in same[1:]:
+            joined = joined & c
+        carried = rows.join(parts, joined, "left").drop(*[f"_key_{k}" for k in keys], "_of_part")
+
+    def value(name: str, kind: str) -> Column:
+        here, before = own[kind](F.col(f"_of_{name}")), F.col(f"_in_{name}")
+        if cut is None:
+            return here.getField(f"_of_{name}") if kind == "before" else here
+        if kind == "before":
+            return F.coalesce(here, before).getField(f"_of_{name}")
+        return F.coalesce(before, F.lit(0)) + here if kind == "sum" else F.greatest(before, here)  # greatest skips nulls
+
+    out = carried.withColumns({n: value(n, kind) for n, (kind, _) in values.items()})
+    return out.drop(part, *[f"{x}_{n}" for n in values for x in ("_of", "_in")])
+
+
+def streaks(log: DataFrame, failed: Column, reset: Column, least: int, by: tuple[str, ...], order: tuple[str, ...], cut: Column | None = None) -> DataFrame:
+    """by, first, last, length of runs of at least least failures; a reset ends one, rows that are neither don't matter. cut: as in scanned."""
+    marked = scanned(log.withColumn("_f", failed), by, order, cut, {"_g": ("sum", reset.cast("int"))})
     return marked.filter("_f").groupBy(*by, "_g").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length")).filter(F.col("length") >= least).drop("_g")
 
 
-def rolling(log: DataFrame, seconds: int, most: int, by: tuple[str, ...], ts: str = "ts") -> DataFrame:
-    """Requests of the seconds up to and including each one, and whether they are more than most."""
-    w = W.partitionBy(*by).orderBy("_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return log.withColumn("_us", micros(ts)).withColumn("in_window", F.count("*").over(w)).withColumn("over", F.col("in_window") > most).drop("_us")
+def rolling(log: DataFrame, seconds: int, most: int, by: tuple[str, ...], ts: str = "ts", split: bool = False) -> DataFrame:
+    """Requests of the seconds up to and including each one, and whether they are more than most. split: stretches of so many seconds are counted each on its own, with the one before it, so that a
+    group is spread over tasks by time."""
+    size = seconds * 1_000_000
+    rows = log.withColumn("_us", micros(ts))
+    if split:
+        stretch = F.floor(F.col("_us") / F.lit(size)).cast("long")
+        rows = rows.withColumn("_stretch", F.explode(F.when(stretch.isNull(), F.array(stretch)).otherwise(F.array(stretch, stretch + 1))))
+        w = W.partitionBy(*by, "_stretch").orderBy("_us").rangeBetween(-(size - 1), 0)
+        own = F.col("_stretch").eqNullSafe(stretch)
+        return rows.withColumn("in_window", F.count("*").over(w)).filter(own).withColumn("over", F.col("in_window") > most).drop("_us", "_stretch")
+    w = W.partitionBy(*by).orderBy("_us").rangeBetween(-(size - 1), 0)
+    return rows.withColumn("in_window", F.count("*").over(w)).withColumn("over", F.col("in_window") > most).drop("_us")
 
 
-def spacing(log: DataFrame, least_s: float, by: tuple[str, ...], order: tuple[str, ...], ts: str = "ts") -> DataFrame:
-    """Seconds since the request before, and whether they are too few; null for the first."""
-    w = W.partitionBy(*by).orderBy(*order)
-    gap = (micros(ts) - F.lag(micros(ts)).over(w)) / 1e6
-    return log.withColumn("gap_s", gap).withColumn("too_close", F.col("gap_s") < least_s)
+def spacing(log: DataFrame, least_s: float, by: tuple[str, ...], order: tuple[str, ...], ts: str = "ts", cut: Column | None = None) -> DataFrame:
+    """Seconds since the request before, and whether they are too few; null for the first. cut: as in scanned."""
+    rows = scanned(log, by, order, cut, {"_last": ("before", micros(ts))})
+    return rows.withColumn("gap_s", (micros(ts) - F.col("_last")) / 1e6).withColumn("too_close", F.col("gap_s") < least_s).drop("_last")
 
 
-def cooldown(log: DataFrame, limited: Column, retry_after_s: Column, own_s: float, by: tuple[str, ...], order: tuple[str, ...], ts: str = "ts") -> DataFrame:
-    """Whether a request came before the end of a cool-down: after a limited one, the longer of our own wait and the one it asked for."""
+def cooldown(log: DataFrame, limited: Column, retry_after_s: Column, own_s: float, by: tuple[str, ...], order: tuple[str, ...], ts: str = "ts", cut: Column | None = None) -> DataFrame:
+    """Whether a request came before the end of a cool-down: after a limited one, the longer of our own wait and the one it asked for. cut: as in scanned."""
     until = F.when(limited, micros(ts) + (F.greatest(F.lit(own_s), F.coalesce(retry_after_s, F.lit(0.0))) * 1e6).cast("long"))
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return log.withColumn("_until", until).withColumn("blocked", F.coalesce(micros(ts) < F.max("_until").over(w), F.lit(False))).drop("_until")
+    rows = scanned(log, by, order, cut, {"_until": ("max", until)})
+    return rows.withColumn("blocked", F.coalesce(micros(ts) < F.col("_until"), F.lit(False))).drop("_until")
 
 
-def stability(log: DataFrame, by: tuple[str, ...], order: tuple[str, ...], content: str, least_h: float, ts: str = "ts") -> DataFrame:
-    """verdict on each read against the one before of the same address: first, too_early, stable, unstable, unknown_gap (no time), or not_comparable (no content)."""
-    w = W.partitionBy(*by).orderBy(*order)
-    before, hours = F.lag(content).over(w), (micros(ts) - F.lag(micros(ts)).over(w)) / 3.6e9
+def stability(log: DataFrame, by: tuple[str, ...], order: tuple[str, ...], content: str, least_h: float, ts: str = "ts", cut: Column | None = None) -> DataFrame:
+    """verdict on each read against the one before of the same address: first, too_early, stable, unstable, unknown_gap (no time), or not_comparable (no content). cut: as in scanned."""
+    rows = scanned(log, by, order, cut, {"_was": ("before", F.struct(F.col(content).alias("content"), micros(ts).alias("us")))})
+    before, hours = F.col("_was.content"), (micros(ts) - F.col("_was.us")) / 3.6e9
     verdict = (
-        F.when(F.row_number().over(w) == 1, "first").when(F.col(content).isNull() | before.isNull(), "not_comparable").when(hours.isNull(), "unknown_gap")
+        F.when(F.col("_was").isNull(), "first").when(F.col(content).isNull() | before.isNull(), "not_comparable").when(hours.isNull(), "unknown_gap")
         .when(F.col(content) != before, "unstable").when(hours < least_h, "too_early").otherwise("stable")
     )
-    return log.withColumn("verdict", verdict)
+    return rows.withColumn("verdict", verdict).drop("_was")
 
 
 def profile(log: DataFrame, by: tuple[str, ...], status: str, ms: str) -> DataFrame:

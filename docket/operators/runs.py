@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .requestlog import scanned
+
 
 def latest(runs: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """The latest row of each group."""
@@ -20,6 +22,11 @@ def classified(runs: DataFrame) -> DataFrame:
     return runs.withColumns({"state": state, "resume_page": page})
 
 
+def numbered(rows: DataFrame, by: tuple[str, ...], order: tuple[str, ...], cut: Column | None = None) -> DataFrame:
+    """rows with position, from 1 on without gaps in each group. cut: as in requestlog.scanned, so that a group of a whole corpus is numbered by many tasks."""
+    return scanned(rows, by, order, cut, {"position": ("sum", F.lit(1).cast("long"))})
+
+
 def first_links(links: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """One link for each run and document: the first by order; positions run on without gaps."""
     w = W.partitionBy("run_id", "doc_id").orderBy(*order)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.operators import quality, requestlog, runs
@@ -16,6 +16,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("run_id"), "event_type", "value", "props")
 
 
+def _week() -> Column:
+    """Parts of a run that are scanned on their own, so that one with most requests is no single task."""
+    return F.floor(requestlog.micros("ts") / F.lit(7 * 86_400_000_000))
+
+
+def run_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests in the order of their time, numbered from 1 on as one run."""
+    return runs.numbered(_events(spark, sf_dir).select("event_id", "ts", F.lit("all").alias("run")), ("run",), ("ts", "event_id"), _week()).select("event_id", "position")
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run for each user: its last event decides its status."""
     last = runs.latest(_events(spark, sf_dir), ("run_id",), ("ts", "event_id"))
@@ -49,24 +59,24 @@ def union_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed, reset = F.col("event_type").isin("error", "view"), F.col("event_type").isin("purchase", "signup")
-    return requestlog.streaks(_events(spark, sf_dir), failed, reset, 3, ("run_id",), ("event_id",))
+    return requestlog.streaks(_events(spark, sf_dir), failed, reset, 3, ("run_id",), ("event_id",), cut=F.floor(F.col("event_id") / 1000))
 
 
 def rolling_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requestlog.rolling(_events(spark, sf_dir), 86_400, 3, ("event_type", "run_id")).select("event_id", "in_window", "over")
+    return requestlog.rolling(_events(spark, sf_dir), 86_400, 3, ("event_type", "run_id"), split=True).select("event_id", "in_window", "over")
 
 
 def min_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requestlog.spacing(_events(spark, sf_dir), 3600.0, ("run_id",), ("ts", "event_id")).select("event_id", "gap_s", "too_close")
+    return requestlog.spacing(_events(spark, sf_dir), 3600.0, ("run_id",), ("ts", "event_id"), cut=_week()).select("event_id", "gap_s", "too_close")
 
 
 def cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = requestlog.cooldown(_events(spark, sf_dir), F.col("event_type") == "error", F.col("value") * 600, 3600.0, ("run_id",), ("ts", "event_id"))
+    rows = requestlog.cooldown(_events(spark, sf_dir), F.col("event_type") == "error", F.col("value") * 600, 3600.0, ("run_id",), ("ts", "event_id"), cut=_week())
     return rows.select("event_id", "blocked")
 
 
 def byte_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = requestlog.stability(_events(spark, sf_dir).withColumn("content", F.when(F.col("event_type") != "error", F.col("event_type"))), ("run_id",), ("ts", "event_id"), "content", 24.0)
+    rows = requestlog.stability(_events(spark, sf_dir).withColumn("content", F.when(F.col("event_type") != "error", F.col("event_type"))), ("run_id",), ("ts", "event_id"), "content", 24.0, cut=_week())
     return rows.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
@@ -141,7 +151,7 @@ def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    latest_run, run_ledger, lineage_rebuild, union_of_runs, error_streaks, rolling_budget, min_spacing, cooldown, byte_stability, request_profile, continued_positions, run_list,
+    run_positions, latest_run, run_ledger, lineage_rebuild, union_of_runs, error_streaks, rolling_budget, min_spacing, cooldown, byte_stability, request_profile, continued_positions, run_list,
     run_documents, requests_by_channel, capped_cost, vintage_cost_estimate,
     shape_list, shape_record, shape_html, marker_counts,
 )}
@@ -163,6 +173,7 @@ ORACLE_SQL = {
     "request_profile": _E + "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_ms, max(value) AS max_ms FROM e GROUP BY ALL",
     "vintage_cost_estimate": "WITH p AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS listed, count(*) FILTER (o_orderpriority = '1-URGENT') AS known FROM orders GROUP BY 1), c AS (SELECT month, listed - known AS docs_left, greatest(ceil(listed / 100)::BIGINT - 1, 0) AS pages_left FROM p), q AS (SELECT *, docs_left + pages_left AS requests FROM c) SELECT *, round(greatest((requests - 1) * 0.2::DOUBLE, floor(greatest(requests - 1, 0) / 450) * 60.0::DOUBLE, floor(greatest(requests - 1, 0) / 1400) * 86400.0::DOUBLE, 0.0::DOUBLE), 6) AS least_seconds, requests * 4 AS ceiling, requests * 4 > 50 AS ask_first FROM q",
     "shape_list": "SELECT event_type, event_type <> 'error' AS ok, event_type = 'error' AS transient, count(*) AS n FROM events WHERE props IS NOT NULL GROUP BY ALL",
+    "run_positions": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS position FROM events",
     "shape_record": "SELECT event_type, json_contains(json_keys(props)::JSON, '\"k\"') AS ok, CASE WHEN json_contains(json_keys(props)::JSON, '\"k\"') THEN '$' END AS place, count(*) AS n FROM events GROUP BY ALL",
     "shape_html": "SELECT page_id, array_to_string(m, ',') = '' AS ok, array_to_string(m, ',') AS missing FROM (SELECT page_id, list_filter([CASE WHEN NOT contains(lower(html), '<!doctype html') THEN '<!DOCTYPE html' END, CASE WHEN NOT contains(lower(html), '<article>') THEN '<article>' END, CASE WHEN NOT contains(lower(html), '<table') THEN '<table' END], lambda x: x IS NOT NULL) AS m FROM pages)",
     "marker_counts": "SELECT page_id, m.marker, ((length(lower(html)) - length(replace(lower(html), m.marker, ''))) / length(m.marker))::BIGINT AS n FROM pages, (VALUES ('licensed under'), ('<p>'), ('copyright')) m(marker)",
