@@ -11,6 +11,22 @@ from docket.functions.text import neutral, strip_controls
 UNKNOWN_DATE = "data nieznana"
 
 
+#: The columns of an export's table, and the fields of a record that they take; the others are named where they are made.
+COLUMNS = {
+    "sygnatura": "sygnatura_glowna", "sygnatury": "sygnatury", "data_wydania": "data_wydania", "data_rozprawy": "data_rozprawy", "rodzaj": "rodzaj", "rozstrzygniecie": "rozstrzygniecie", "rozstrzygniecie_surowe": "rozstrzygniecie_surowe",
+    "przewodniczacy": "przewodniczacy", "odwolujacy": "odwolujacy", "zamawiajacy": "zamawiajacy", "przepisy": "przepisy", "koszty": "koszty", "organ": None, "atrybucja": None, "kanal": None, "slug": "source_ref", "url_zrodla": "url_zrodla",
+    "doc_id": "doc_id", "sha256": "sha256", "pobrano": None, "dlugosc_tresci": None,
+}
+ORGAN = "Krajowa Izba Odwoławcza"
+
+
+def full_rows(records: DataFrame, channel: str, fetched: Column, attribution: str) -> DataFrame:
+    """All columns of an export's table, of decoded records with doc_id and sha256."""
+    made = {"organ": F.lit(ORGAN), "atrybucja": F.lit(attribution), "kanal": F.lit(channel), "pobrano": fetched, "dlugosc_tresci": F.length("tresc")}
+    rows = records.withColumns({f"_{name}": made[name] for name, of in COLUMNS.items() if of is None})
+    return cells(rows, {name: of or f"_{name}" for name, of in COLUMNS.items()}, {})
+
+
 def cells(df: DataFrame, columns: dict[str, str], constants: dict[str, str]) -> DataFrame:
     """A flat row for a table: lists joined by "; ", text cleaned and made harmless, and constant columns such as the attribution. columns: name in the table by name in df."""
     kinds = dict(df.dtypes)
@@ -57,9 +73,12 @@ def index(df: DataFrame, ref: str, number: str, date: str, outcome: str) -> Data
 
 
 def dictionary(df: DataFrame, described: dict[str, str]) -> DataFrame:
-    """position, column, type, description of the columns of an export."""
-    rows = [(i, n, t, described.get(n, "")) for i, (n, t) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string, description string")
+    """position, column, type, description of the columns of an export, and of how many rows each holds something."""
+    kinds = dict(df.dtypes)
+    holds = lambda c: F.col(c).isNotNull() & (F.col(c) != "" if kinds[c] == "string" else F.lit(True))
+    wide = df.agg(F.count("*").alias("_rows"), *[F.count_if(holds(c)).alias(f"_{i}") for i, c in enumerate(df.columns)])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(n).alias("column"), F.lit(t).alias("type"), F.lit(described.get(n, "")).alias("description"), F.col(f"_{i}").alias("filled"), F.col("_rows").alias("rows")) for i, (n, t) in enumerate(df.dtypes)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def provenance(exported: DataFrame, runs: DataFrame, corpus: DataFrame, criteria: str, channel: str, requests: DataFrame, covered: DataFrame, version: str) -> DataFrame:

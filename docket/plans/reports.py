@@ -176,10 +176,6 @@ def export_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", F.sha2("value", 256).alias("sha256"), F.length("value").alias("n_chars"))
 
 
-def export_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.dictionary(export_rows(spark, sf_dir), {"id": "number of the document", "organ": "who publishes"})
-
-
 def export_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of two runs, each where it comes first, with how many there are by run. Users stand for runs, values for documents."""
     events = table(spark, sf_dir, "events").filter("user_id in (1, 2, 3)")
@@ -227,7 +223,7 @@ def citation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     vintage_report, vintage_json, vintage_markdown, vintage_crosstab, corpus_totals, gold_check, gold_draft, corpus_profile, ruling_profile, outcome_split, table_counts, feature_prevalence, label_topk, corpus_digest,
-    sanitize_text, export_rows, citation_block, export_metadata, export_jsonl, export_markdown, export_dictionary, export_selection, replaced_rows, export_index, reference_appendix, citation_graph, missing_rulings,
+    sanitize_text, export_rows, citation_block, export_metadata, export_jsonl, export_markdown, export_selection, replaced_rows, export_index, reference_appendix, citation_graph, missing_rulings,
     citation_sections,
 )}
 
@@ -264,7 +260,6 @@ ORACLE_SQL = {
     "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("documents", "events", "labels", "orders", "pages")),
     "export_jsonl": f"SELECT doc_id, {_BLOCK} AS citation, source, lang, n_chars FROM documents",
     "export_markdown": f"SELECT {_FILE} AS file, sha256(value) AS sha256, length(value)::INT AS n_chars FROM (SELECT doc_id, source, '---' || chr(10) || 'title: Document ' || doc_id || chr(10) || '---' || chr(10) || chr(10) || '> ' || {_BLOCK} || chr(10) || chr(10) || text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '- appendix' ELSE '' END AS value FROM documents)",
-    "export_dictionary": "SELECT * FROM (VALUES (0, 'id', 'bigint', 'number of the document'), (1, 'tags', 'string', ''), (2, 'language', 'string', ''), (3, 'chars', 'bigint', ''), (4, 'organ', 'string', 'who publishes'), (5, 'attribution', 'string', '')) v(position, \"column\", type, description) WHERE (SELECT count(*) FROM documents) >= 0",
     "export_selection": "WITH l AS (SELECT floor(value)::BIGINT AS doc_id, event_id FROM events WHERE user_id IN (1, 2, 3) QUALIFY row_number() OVER (PARTITION BY floor(value)::BIGINT ORDER BY ts, event_id) = 1) SELECT doc_id, source, event_id FROM documents JOIN l USING (doc_id)",
     "replaced_rows": "SELECT 5 AS parse_version, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1 UNION ALL SELECT 6, count(*), sum(quality)::BIGINT FROM labels GROUP BY 1",
 }
