@@ -38,7 +38,7 @@ BLOCK = 2048  # runs of an anchor that are sorted together
 SORTED = 1 << 18  # strings that are sorted at once, blocks being whole
 SALTS, SHARE, FEW = 256, 4096, 1000
 LAST = (1 << 63) - 1  # stands for a null id
-FLEET = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x7FB5D329728EA185)
 _RUN = "kind byte, h long, c long, id long, copy long, start int, n int"
@@ -265,12 +265,12 @@ def compare(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 @contextlib.contextmanager
 def _freed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a job go when it has ended: what the next one needs is written."""
-    was = spark.conf.get(FLEET)
-    spark.conf.set(FLEET, "true")
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(FLEET, was)
+        spark.conf.set(CLEANUP, was)
 
 
 def identified(docs: DataFrame) -> DataFrame:
