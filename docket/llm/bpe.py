@@ -28,7 +28,7 @@ LONG = 40  # bytes from which a piece contracts all pairs of its minimum rank at
 STEPS = 64  # of a recursive query, before its state is written anew
 CHUNK = 20_000  # pieces given to a query at once
 CUT = 48  # bytes from one block of a long piece to the next; a block has twice as many
-KNOWN = 500_000  # pieces that a worker remembers
+KNOWN = 1_000_000  # pieces that a worker remembers
 
 #: A row holds a token, its place in its piece, and the place and token that follow. A step finds the pairs that the merge table has, takes each piece's
 #: leftmost one of minimum rank, gives its row the merged token and what followed its second row, and drops that row. Pieces without a pair go no further.
