@@ -4,7 +4,8 @@ Each tree gives a vector a long string of bits, the signs of random projections,
 prefix matches: the vectors that share the first d bits with it are a range of the array. All trees then ascend together, a bit at a time, until the ranges hold
 enough candidates; those are compared exactly. Prefixes have no fixed length and ranges no cap, so equal or almost equal vectors all come along.
 
-Spark deals the vectors to shards of bounded size and the queries to blocks; a task holds one shard's forest and one block, so that nothing depends on how vectors crowd.
+Spark deals the vectors to shards of bounded size; a task builds a shard's forest once, and all queries come to it sorted behind the vectors, a block at a time, so that it holds one forest and
+one block, however many queries there are, and nothing depends on how vectors crowd.
 
 Defined results: vectors that are null, zero, or that hold null or non-finite components take no part, nor do null ids. A query has neighbours among the vectors of its own length. It is never its own
 neighbour; rows of one id are one candidate, with the best of their scores. Ties go to the smaller id. Without candidates a query has no rows; an empty table gives an empty result.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,8 @@ from .common import holding, stored, tidy
 TREES, BITS = 128, 32
 SHARE = 0.3  # of a shard's vectors that are candidates at least
 LEAST = 64  # candidates at least, in a shard
-SHARD, BLOCK = 4096, 4096
+SHARD, BLOCK = 4096, 1024
+MOST_TASKS = 50_000  # with more shards, tasks take several, one after the other
 
 
 @functools.lru_cache(maxsize=2)
@@ -80,35 +83,49 @@ class Forest:
             yield np.flatnonzero(met)
 
 
+class Shard:
+    """Vectors with their forest, which is built once for all blocks of queries. Where at least as many candidates are wanted as there are vectors, all are compared."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, share: float):
+        self.ids, self.x, self.k = ids, x, k
+        self.norms = np.sqrt((x * x).sum(axis=1))
+        self.unit = x / self.norms[:, None]
+        names, self.name = np.unique(ids, return_inverse=True)
+        self.n = len(names)
+        self.least = max(LEAST, k + 1, int(share * self.n))  # the query itself may be among them
+        self.forest = Forest(self.unit) if self.n > self.least else None
+
+    def nearest(self, query_ids: np.ndarray, queries: np.ndarray) -> pd.DataFrame:
+        """query_id, vec_id, score of the k best candidates of each query."""
+        ids, repeats = self.ids, self.n < len(self.ids)
+        if self.forest is None:
+            every = itertools.repeat(np.arange(len(ids)), len(queries))
+        else:
+            every = self.forest.candidates(queries / np.sqrt((queries * queries).sum(axis=1))[:, None], self.least, self.name if repeats else None)
+        out = []
+        for q, own, found in zip(queries, query_ids, every, strict=True):
+            found = found[ids[found] != own]
+            if not len(found):
+                continue
+            rough = self.unit[found] @ q
+            of = rough
+            if repeats:  # the best row of each id
+                of = np.full(self.n, -np.inf)
+                np.maximum.at(of, self.name[found], rough)
+                of = of[of > -np.inf]
+            if len(of) > self.k:  # near ties stay until the exact scores are known
+                found = found[rough >= np.partition(of, -self.k)[-self.k] - 1e-9 * np.abs(rough).max()]
+            score = (self.x[found] * q).sum(axis=1) / (self.norms[found] * np.sqrt((q * q).sum()))
+            best = {}
+            for i, s in zip(ids[found].tolist(), score.tolist(), strict=True):
+                best[i] = max(s, best.get(i, s))
+            out += [(own, i, s) for i, s in sorted(best.items(), key=lambda r: (-r[1], r[0]))[: self.k]]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+
 def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, share: float) -> pd.DataFrame:
     """query_id, vec_id, score of the k best candidates of each query among some vectors."""
-    norms = np.sqrt((x * x).sum(axis=1))
-    unit = x / norms[:, None]
-    names, name = np.unique(ids, return_inverse=True)
-    least = max(LEAST, k + 1, int(share * len(names)))  # the query itself may be among them
-    if len(names) <= least:
-        every = itertools.repeat(np.arange(len(x)), len(queries))
-    else:
-        every = Forest(unit).candidates(queries / np.sqrt((queries * queries).sum(axis=1))[:, None], least, name if len(names) < len(ids) else None)
-    out = []
-    for q, own, found in zip(queries, query_ids, every, strict=True):
-        found = found[ids[found] != own]
-        if not len(found):
-            continue
-        rough = unit[found] @ q
-        of = rough
-        if len(names) < len(ids):  # the best row of each id
-            of = np.full(len(names), -np.inf)
-            np.maximum.at(of, name[found], rough)
-            of = of[of > -np.inf]
-        if len(of) > k:  # near ties stay until the exact scores are known
-            found = found[rough >= np.partition(of, -k)[-k] - 1e-9 * np.abs(rough).max()]
-        score = (x[found] * q).sum(axis=1) / (norms[found] * np.sqrt((q * q).sum()))
-        best = {}
-        for i, s in zip(ids[found].tolist(), score.tolist(), strict=True):
-            best[i] = max(s, best.get(i, s))
-        out += [(own, i, s) for i, s in sorted(best.items(), key=lambda r: (-r[1], r[0]))[:k]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    return Shard(ids, x, k, share).nearest(query_ids, queries)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -123,18 +140,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, share: float = SH
     held = stored(usable(vectors), "vectors")
     n = held.count()
     asked = stored(usable(queries).distinct(), "queries")
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-asked.count() // block))
-    deal = lambda df, own, n, other, m: df.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), F.size("v").alias("dim"), "vec_id", "v")
+    shards = max(1, -(-n // shard))
+    row = lambda df, own, of: df.select(own.alias("shard"), F.size("v").alias("dim"), F.lit(of).alias("asked"), "vec_id", "v")
+    index = row(held, F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), False)
+    given = row(asked, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))), True)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy("neighbours")
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return nearest(left["vec_id"].to_numpy(), np.stack(left["v"].to_numpy()), right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy()), k, share)
-
-    index = deal(held, "shard", shards, "block", blocks)
-    given = deal(asked, "block", blocks, "shard", shards)
-    found = index.groupBy("shard", "block", "dim").cogroup(given.groupBy("shard", "block", "dim")).applyInPandas(run, "query_id long, vec_id long, score double")
+        at, vectors, built = None, [], None
+        for batch in batches:
+            for (own, dim, asks), part in batch.groupby(["shard", "dim", "asked"]):
+                ids, x = part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy())
+                if at != (own, dim):
+                    at, vectors, built = (own, dim), [], None
+                if not asks:
+                    vectors.append((ids, x))
+                elif vectors:
+                    built = built or Shard(np.concatenate([i for i, _ in vectors]), np.concatenate([v for _, v in vectors]), k, share)
+                    for lo in range(0, len(ids), block):
+                        yield built.nearest(ids[lo : lo + block], x[lo : lo + block])
+
+    # A shard's vectors come first, then all queries, block by block: a task holds one forest and one block
+    dealt = index.unionByName(given).repartitionById(min(shards, MOST_TASKS), F.col("shard")).sortWithinPartitions("shard", "dim", "asked", "vec_id")
+    found = dealt.mapInPandas(run, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

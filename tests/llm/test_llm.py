@@ -208,6 +208,22 @@ def test_neighbours_with_repeated_ids_and_other_lengths(spark):
     assert len(set(found["vec_id"])) == len(found) == 100
 
 
+def test_neighbours_take_clashing_names_and_queries_in_many_blocks(spark):
+    """Two lengths, more shards than tasks, blocks of three; columns with the names that the operator uses itself."""
+    x = {k: RNG.standard_normal(6 if k % 5 else 9) for k in range(300)}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "vec_id long, embedding array<double>")
+    clash = df.withColumns({c: F.lit("clash") for c in ("rank", "score", "query_id", "shard", "dim", "asked", "v")})
+    got = defaultdict(list)
+    for r in neighbours.search(clash, clash.filter("vec_id % 7 = 0"), share=1.0, shard=40, block=3).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    cos = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    assert len(got) == 43
+    for q, found in got.items():
+        assert found == sorted((k for k in x if k != q and len(x[k]) == len(x[q])), key=lambda k: -cos(x[k], x[q]))[:5]
+    both = neighbours.search(df.limit(0), df.filter("vec_id = 0"))
+    assert both.count() == 0 and both.columns == ["query_id", "rank", "vec_id", "score"]
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
