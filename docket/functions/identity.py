@@ -16,14 +16,14 @@ UNION = r"(?=[CT])\b([CT])\s*[-‑–]\s*(\d{1,4})\s*/\s*(\d{2})(?!\d)"
 BARE = r"^\s*(\d{1,4})\s*/\s*(\d{2})(?!\d)"
 #: Court registers by the court they belong to.
 REGISTERS = {
-    "sn": "CSK CZP CKN CK CRN CR CZ PK PKN SK PZ CKU CSR UKN",
-    "sa": "ACa AGa ACr ACz AGz",
-    "so": "Ga Zs Ca GC C Gz Cz AmA AmZ AmR Ns",
-    "nsa": "GSK OSK FSK FPS OPS GPS",
+    "sn": ("CSK", "CZP", "CKN", "CK", "CRN", "CR", "CZ", "PK", "PKN", "SK", "PZ", "CKU", "CSR", "UKN"),
+    "sa": ("ACa", "AGa", "ACr", "ACz", "AGz"),
+    "so": ("Ga", "Zs", "Ca", "GC", "C", "Gz", "Cz", "AmA", "AmZ", "AmR", "Ns"),
+    "nsa": ("GSK", "OSK", "FSK", "FPS", "OPS", "GPS"),
 }
 
 _U = "(?uUd)"
-_REGISTER = {r.lower(): (r, court) for court, names in REGISTERS.items() for r in names.split()}
+_REGISTER = {r.lower(): (r, court) for court, names in REGISTERS.items() for r in names}
 _part = lambda raw, pattern, k: F.regexp_extract(raw, _U + pattern, k)
 _number = lambda c: F.regexp_replace(c, r"^0+(?=\d)", "")
 _year = lambda c: F.right(c, F.lit(2))

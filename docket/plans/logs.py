@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docket.operators import quality, requestlog, runs
+from docket.operators import filters, quality, requestlog, runs
 from docket.sources.tables import table
 
 def _hash():
@@ -92,6 +92,16 @@ def continued_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.continued(events.filter("event_type = 'click'").select("run_id", "event_id"), before, ("event_id",)).select("run_id", "event_id", "position")
 
 
+def criteria_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs that were stored with their criteria, which odd ones write in another order, with repeats and an empty field: what was asked for, and by how many runs."""
+    quoted = lambda *cs: F.concat(F.lit('["'), F.concat_ws('", "', *cs), F.lit('"]'))
+    status, kinds = F.col("o_orderstatus"), quoted("o_orderpriority")
+    even = F.concat(F.lit('{"since": "1995-01-01", "outcomes": '), quoted(status, F.lit("Z")), F.lit(', "kinds": '), kinds, F.lit("}"))
+    odd = F.concat(F.lit('{"until": "", "party": null, "kinds": '), kinds, F.lit(', "outcomes": '), quoted(F.lit("Z"), status, F.lit("Z")), F.lit(', "since": "1995-01-01"}'))
+    stored = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, even).otherwise(odd).alias("stored"))
+    return stored.groupBy(filters.canonical(F.col("stored")).alias("criteria"), filters.fingerprint(F.col("stored")).alias("fingerprint")).agg(F.count("*").alias("runs"))
+
+
 def run_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty latest runs that can be resumed."""
     ledger = _runs(spark, sf_dir).join(_events(spark, sf_dir).groupBy("run_id").agg(F.min("ts").alias("started")), "run_id")
@@ -151,7 +161,7 @@ def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    run_positions, latest_run, run_ledger, lineage_rebuild, union_of_runs, error_streaks, rolling_budget, min_spacing, cooldown, byte_stability, request_profile, continued_positions, run_list,
+    run_positions, latest_run, run_ledger, lineage_rebuild, union_of_runs, error_streaks, rolling_budget, min_spacing, cooldown, byte_stability, request_profile, continued_positions, criteria_of_runs, run_list,
     run_documents, requests_by_channel, capped_cost, vintage_cost_estimate,
     shape_list, shape_record, shape_html, marker_counts,
 )}
@@ -178,6 +188,7 @@ ORACLE_SQL = {
     "shape_html": "SELECT page_id, array_to_string(m, ',') = '' AS ok, array_to_string(m, ',') AS missing FROM (SELECT page_id, list_filter([CASE WHEN NOT contains(lower(html), '<!doctype html') THEN '<!DOCTYPE html' END, CASE WHEN NOT contains(lower(html), '<article>') THEN '<article>' END, CASE WHEN NOT contains(lower(html), '<table') THEN '<table' END], lambda x: x IS NOT NULL) AS m FROM pages)",
     "marker_counts": "SELECT page_id, m.marker, ((length(lower(html)) - length(replace(lower(html), m.marker, ''))) / length(m.marker))::BIGINT AS n FROM pages, (VALUES ('licensed under'), ('<p>'), ('copyright')) m(marker)",
     "continued_positions": _E + ", l AS (SELECT run_id, count(DISTINCT floor(value)::BIGINT) AS k FROM e WHERE event_type = 'view' GROUP BY 1) SELECT run_id, event_id, (row_number() OVER (PARTITION BY run_id ORDER BY event_id) + coalesce(k, 0))::INT AS position FROM e LEFT JOIN l USING (run_id) WHERE event_type = 'click'",
+    "criteria_of_runs": """WITH c AS (SELECT '{"kinds":["' || o_orderpriority || '"],"outcomes":["' || o_orderstatus || '","Z"],"since":"1995-01-01"}' AS criteria FROM orders) SELECT criteria, substr(sha256(criteria), 1, 16) AS fingerprint, count(*) AS runs FROM c GROUP BY criteria""",
     "run_list": _E + ", b AS (SELECT run_id, min(ts) AS started FROM e GROUP BY 1) SELECT run_id, status, strftime(started, '%Y-%m-%d %H:%M:%S') AS started FROM r JOIN b USING (run_id) WHERE status = 'w_toku' ORDER BY b.started DESC, run_id DESC LIMIT 20",
     "run_documents": _E + ", l AS (SELECT floor(value)::BIGINT AS doc_id, ts, event_id FROM e WHERE run_id = 7 QUALIFY row_number() OVER (PARTITION BY floor(value)::BIGINT ORDER BY ts, event_id) = 1), p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id, doc_id)::INT AS position FROM l) SELECT doc_id, lang, position FROM documents JOIN p USING (doc_id)",
     "requests_by_channel": _E + "SELECT 'atlas' AS channel, event_type, count(*) AS n FROM e WHERE run_id % 2 = 0 AND ts >= TIMESTAMP '2024-01-15' GROUP BY ALL",

@@ -268,3 +268,17 @@ def test_reports_as_text(spark):
     assert [r.value for r in coverage.as_markdown(report, "T", "name").orderBy("position").collect()] == ["## T", "", "| name | n | share |", "|---|---|---|", "| a | 1 | 0.5 |", "| b | 2 | – |"]
     whole = spark.range(1000).select(F.col("id").cast("string").alias("e"))
     assert coverage.digest(whole, F.col("e")).collect() == coverage.digest(whole.orderBy(F.rand()), F.col("e"), (6, 3)).collect() and coverage.digest(whole, F.col("e")).first().n == 1000
+
+
+def test_stored_criteria_are_read_back_and_compared_as_a_column(spark):
+    C = filters.Criteria
+    odd = ['a"b', "c\\d", "\u0105\u017c\U0001f600", "x\ny\tz", "/", " ", "\u2028", "{}", "%_"]
+    all_of = [C(), C(since="2024-01-01", until="2024-12-31", outcomes=("b", "a", "b"), kinds=("\uffff", "\U00010000", "z"), text="t"), C(party="")] + [C(presiding=v, kinds=(v, "k")) for v in odd]
+    assert all(C.read(c.canonical()).canonical() == c.canonical() for c in all_of)
+    texts = [c.canonical() for c in all_of] + ['{"kinds": ["b", null, "a", "b"], "party": null, "text": "q"}', ' {"until": "2024"}']
+    got = {r.t: r for r in spark.createDataFrame([(t,) for t in [*texts, "", "[]", "no", "null", '{"kinds": 5}', None]], "t string").select("t", filters.canonical(F.col("t")).alias("c"), filters.fingerprint(F.col("t")).alias("f")).collect()}
+    assert all((got[t].c, got[t].f) == (C.read(t).canonical(), C.read(t).fingerprint()) for t in texts)
+    assert all(got[t].c is None and got[t].f is None for t in ("", "[]", "no", "null", '{"kinds": 5}', None))
+    for bad in ("[]", "no", '{"colour": "red"}'):
+        with pytest.raises(ValueError):
+            C.read(bad)

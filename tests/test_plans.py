@@ -12,7 +12,7 @@ CHECKED = (
     "version_ledger", "current_version", "incremental_reparse", "filter_algebra", "undated_left_out", "broadening_counts", "phrase_search_topk", "search_counts", "latest_run", "run_ledger", "lineage_rebuild",
     "error_streaks", "rolling_budget", "cooldown", "byte_stability", "vintage_cost_estimate", "shape_list", "marker_counts", "corpus_profile", "corpus_digest", "sanitize_text", "export_rows", "citation_block", "record_decode",
     "sections_map", "citations_offsets", "provision_forms", "gold_check", "vintage_report", "search_current", "search_by_number", "stream_ingest_equals_batch", "stream_budget", "stream_streaks", "stream_first_seen", "export_metadata", "capped_cost",
-    "run_list", "headed_text",
+    "run_list", "headed_text", "criteria_of_runs",
 )
 
 
