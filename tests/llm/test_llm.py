@@ -7,7 +7,7 @@ import re
 import sys
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -166,6 +166,27 @@ def test_lines(spark, empty):
     assert lines.drop_boilerplate(empty.withColumn("source", F.lit("h"))).count() == 0
 
 
+def test_lines_take_clashing_names_and_repeated_rows(spark):
+    """Against a version without Spark: hosts of one page and of many, repeated rows and ids, null hosts and ids, very long lines, and all names that the operator uses itself."""
+    own = np.random.default_rng(17)
+    menu = ["Menu", "\tMenu ", "About us", "x" * 100_000, "", " "]
+    rows = [(own.choice([k, 1, None]), own.choice(["h", "h", "h", "small", None]), "\n".join(own.choice([*menu, f"own {own.integers(60)}"]) for _ in range(int(own.integers(0, 7))))) for k in range(120)]
+    rows = [(None if k is None else int(k), None if h is None else str(h), str(t)) for k, h, t in rows] + [(7, "h", "Menu\nsame")] * 20 + [(8, "h", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({c: F.lit("clash") for c in ("_host", "_lines", "_kept", "_text", "_key", "_pages", "_all", "_of", "n_lines", "n_dropped", "__host")})
+    bare = lambda x: x.strip(" \t\r\x0b\x0c")
+    pages, holding = Counter(h for _, h, _ in rows), Counter()
+    for _, h, t in rows:
+        holding.update({(h, bare(x)) for x in (t or "").split("\n")} - {(h, "")})
+    gone = {(h, x) for (h, x), n in holding.items() if n >= 5 and n > 0.2 * pages[h]}
+    want = []
+    for k, h, t in rows:
+        kept = [x for x in (t or "").split("\n") if (h, bare(x)) not in gone]
+        want.append((k, h, None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")), 0 if t is None else len(t.split("\n")) - len(kept), "clash"))
+    out = lines.drop_boilerplate(df, max_ratio=0.2, min_pages=5)
+    assert sorted(out.columns) == sorted(df.columns) and len(gone) > 2
+    assert Counter(map(tuple, out.select("doc_id", "source", "text", "n_lines", "n_dropped", "_kept").collect())) == Counter(want)
+
+
 def test_neighbours(spark):
     x = RNG.standard_normal((700, 16)).astype("float32")
     x[5], x[6] = x[4], x[4]
@@ -210,7 +231,8 @@ def test_neighbours_with_repeated_ids_and_other_lengths(spark):
 
 def test_neighbours_take_clashing_names_and_queries_in_many_blocks(spark):
     """Two lengths, more shards than tasks, blocks of three; columns with the names that the operator uses itself."""
-    x = {k: RNG.standard_normal(6 if k % 5 else 9) for k in range(300)}
+    own = np.random.default_rng(17)
+    x = {k: own.standard_normal(6 if k % 5 else 9) for k in range(300)}
     df = spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], "vec_id long, embedding array<double>")
     clash = df.withColumns({c: F.lit("clash") for c in ("rank", "score", "query_id", "shard", "dim", "asked", "v")})
     got = defaultdict(list)
@@ -508,6 +530,23 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), labels.limit(0)).count() == 0 and urls.judge(pages, labels.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
 
 
+def test_urls_take_repeated_pages_null_ids_and_clashing_names(spark):
+    """A page that occurs twice counts twice, and rows without an id count for nothing but are judged; names that the operator uses itself change nothing."""
+    pages = [(k, f"http://{'bad' if k % 4 else 'good'}.net/{k}") for k in range(24)]
+    given = pages + pages + [(None, "http://bad.net/x"), (None, None), (500, "http://new.net/")]
+    bad = [(k, int(k % 4 > 0)) for k in range(24)] + [(None, 1), (700, 0), (3, None), (4, 0)]
+    names = ("host", "path", "rule", "verdict", "bad", "n", "prior", "strength", "mean", "over", "suffix", "domain", "bad_share", "bad_probability", "_all")
+    plain, labels = spark.createDataFrame(given, "page_id long, url string"), spark.createDataFrame(bad, "page_id long, bad int")
+    clash = lambda df: df.withColumns({c: F.lit("clash") for c in names if c not in df.columns})
+    got = urls.judge(clash(plain), clash(labels)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, urls.judge(plain, labels).collect())) and len(got) == len(given)
+    assert Counter(r.page_id for r in got) == Counter(k for k, _ in given)
+    of = lambda rows, known: {r.host: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), known).collect()}
+    twice, apart = of(pages + pages, labels), of(pages + [(k + 1000, u) for k, u in pages], labels.unionByName(labels.select(F.col("page_id") + 1000, "bad").toDF("page_id", "bad")))
+    assert all(twice[h].bad_probability == apart[h].bad_probability for h in twice) and twice["bad.net"].verdict == "block" and twice["good.net"].verdict == "allow"
+    assert {r.verdict for r in got if r.page_id is None and r.host == "bad.net"} == {"block"} and {(r.host, r.path) for r in got if r.page_id is None} == {("bad.net", "/x"), ("", "")}
+
+
 def test_posterior_probability(spark):
     def brute(mean, n, limit, cells=200_000):
         """Mass of the beta density over the limit, summed over cells."""
