@@ -41,3 +41,22 @@ def test_views_of_even_texts_equal_those_by_patterns(spark):
         view._even = kept
     one, two = ([tuple(r) for r in x.collect()] for x in both)
     assert one == two
+
+
+@given
+@pytest.mark.parametrize("by", (99_900, 999_900))
+def test_numbers_that_are_too_long_for_a_case_are_no_citations(spark, tmp_path, by):
+    import duckdb
+
+    from docket.plans import catalog
+
+    db = duckdb.connect()
+    for path in Path(DATA).glob("*.parquet"):
+        (tmp_path / path.name).symlink_to(path)
+    (tmp_path / "lineitem.parquet").unlink()
+    spark.read.parquet(f"{DATA}/lineitem.parquet").withColumn("l_partkey", F.col("l_partkey") + by).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("orders", "customer", "lineitem"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet{'/*.parquet' if name == 'lineitem' else ''}'")
+    for name in ("citations_offsets", "gold_check"):
+        ours = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(ours, key=repr) == sorted(db.execute(catalog.ORACLE_SQL[name]).fetchall(), key=repr)
