@@ -60,3 +60,14 @@ def test_numbers_that_are_too_long_for_a_case_are_no_citations(spark, tmp_path,
     for name in ("citations_offsets", "gold_check"):
         ours = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
         assert sorted(ours, key=repr) == sorted(db.execute(catalog.ORACLE_SQL[name]).fetchall(), key=repr)
+
+
+def test_postings_are_dealt_by_words_to_tasks_of_their_own(spark, monkeypatch):
+    from docket.operators import postings
+
+    monkeypatch.setattr(postings, "WORDS", 1000)
+    docs = spark.createDataFrame([(k, 500) for k in range(10)], "key long, size int")
+    assert postings.shards_of(docs) == 5 and postings.shards_of(docs.limit(0)) == 1 and postings.shards_of(docs, 1) == 10
+    rows = spark.range(2000).select(F.col("id").alias("key"), (F.col("id") % postings.BUCKETS).cast("int").alias("bucket"))
+    placed = postings.dealt(rows, 5).groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("place").alias("n")).collect()
+    assert len(placed) == 5 * postings.BUCKETS and all(r["n"] == 1 for r in placed)
