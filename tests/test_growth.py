@@ -71,3 +71,13 @@ def test_postings_are_dealt_by_words_to_tasks_of_their_own(spark, monkeypatch):
     rows = spark.range(2000).select(F.col("id").alias("key"), (F.col("id") % postings.BUCKETS).cast("int").alias("bucket"))
     placed = postings.dealt(rows, 5).groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("place").alias("n")).collect()
     assert len(placed) == 5 * postings.BUCKETS and all(r["n"] == 1 for r in placed)
+
+
+def test_sql_of_channel_pairs_takes_a_text_that_reads_the_same_backwards_for_alike():
+    import duckdb
+
+    from docket.plans import landing
+
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (4, 'A.'), (8, 'one two three four'), (5, 'one'), (9, '..'), (7, NULL)) d(doc_id, text)")
+    assert sorted(r[2] for r in db.execute(landing.ORACLE_SQL["channel_pairs"] + " ORDER BY doc_a").fetchall()) == [False, False, False, True, True]
