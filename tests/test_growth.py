@@ -43,6 +43,40 @@ def test_views_of_even_texts_equal_those_by_patterns(spark):
     assert one == two
 
 
+def test_first_match_by_place_and_end(spark):
+    from docket.functions.text import first_from
+
+    texts = [("😀a\nx x", 0), ("a\nx x", 2), ("a\nx x", 3), ("x", 0), ("x", 1), ("", 0), (None, 0), ("x\n😀\n  x", 1)]
+    df = spark.createDataFrame(texts, "t string, a int")
+    rows = df.select(*[first_from(F.col("t"), r"(?m)^\s*x", F.col("a"), b, begins).alias(n) for n, b, begins in (("f", None, ""), ("g", None, "(?m:^)"), ("h", F.lit(2), "(?m:^)"))]).collect()
+    assert [r["f"] and tuple(r["f"]) for r in rows] == [(3, 4, "x"), (2, 3, "x"), None, (0, 1, "x"), None, None, None, (4, 7, "  x")]
+    assert [r["g"] for r in rows] == [r["f"] for r in rows]
+    assert [r["h"] and tuple(r["h"]) for r in rows] == [None, None, None, (0, 1, "x"), None, None, None, None]
+
+
+def test_headings_glued_to_dots_and_of_their_own(spark):
+    from docket.operators import sections
+
+    more = " tekst" * 50
+    texts = ["orzeka: a\n…… Uzasadnienie" + more, "orzeka: a\nUzasadnienie\nB… … ...Uzasadnienie" + more, "orzeka: a\n...\n\nUz as adnienie\nB" + more, "orzeka: a\n... Uzasadnienie b\nUzasadnienie\n" + more, "orzeka: a\n...Uzasadnieniem\nb" + more]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", sections.spans(F.col("t")).alias("s")).orderBy("k").collect()
+    starts = [[s["start"] for s in r["s"] if s["kind"] == "uzasadnienie"] for r in rows]
+    assert starts == [[], [10], [15], [14], []]
+
+
+def test_sections_of_an_even_text_are_not_searched_for_odd_blanks_again(spark, monkeypatch):
+    from docket.operators import sections
+
+    texts = ["a\nb c", "a\n\nb  c", " a\nB", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("even", view.even(F.col("t")))
+    parts = lambda even: sections.views(F.col("t"), F.array(*[F.struct(F.lit("x").alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 2), (2, 5))]), even)
+    seen = df.select(parts(None).alias("a"), parts(F.col("even")).alias("b")).filter("a is not null").collect()
+    bare = lambda xs: [(x["kind"], x["start"], x["seen"] and (x["seen"]["text"], [tuple(m) for m in x["seen"]["moves"]])) for x in xs]
+    assert [bare(r["a"]) for r in seen] == [bare(r["b"]) for r in seen]
+    monkeypatch.setattr(view, "_even", lambda t: F.raise_error(F.lit("searched")).cast("boolean"))
+    assert df.limit(1).select(F.size(parts(F.lit(True)))).first()[0] == 2
+
+
 @given
 @pytest.mark.parametrize("by", (99_900, 999_900))
 def test_numbers_that_are_too_long_for_a_case_are_no_citations(spark, tmp_path, by):
