@@ -43,6 +43,18 @@ def files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return reader.format("binaryFile").option("recursiveFileLookup", True).load(path)
 
 
+def pack(pages: DataFrame, path: str) -> str:
+    """Lands many small files (path, content) as few large ones: a row for each with its path, time, length and bytes. A file of a file system costs some milliseconds to make, list and open, whatever it holds."""
+    rows = pages.select("path", F.current_timestamp().alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content")
+    rows.write.mode("append").parquet(path)
+    return path
+
+
+def packed(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The columns of files() of what was packed, at once or as it arrives."""
+    return (spark.readStream if stream else spark.read).schema(FILES).parquet(path)
+
+
 def _body() -> Column:
     return F.try_validate_utf8(F.col("content").cast("string"))
 

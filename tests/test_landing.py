@@ -43,3 +43,32 @@ def test_whole_report(spark):
     a, b = spark.createDataFrame([("y", 1), ("x", 2)], "k string, n int"), spark.createDataFrame([], "q string")
     lines = [r["value"] for r in coverage.whole_report({"First": (a, "k"), "Second": (b, "q")}).orderBy("section", "position").collect()]
     assert lines == ["## First", "", "| k | n |", "|---|---|", "| x | 2 |", "| y | 1 |", "## Second", "", "| q |", "|---|"]
+
+
+def test_packed_files_are_read_as_files_and_are_few(spark, tmp_path):
+    own = landed.register(landed.Channel("packed test"))
+    bodies = [(f"page={k}", b'{"data": [{"slug": "a"}]}' if k % 3 else b"{") for k in range(300)]
+    for name, body in bodies[:4]:
+        (tmp_path / name).write_bytes(body)
+    to = landed.pack(spark.createDataFrame(bodies, "path string, content binary"), f"file://{tmp_path}/packs")
+    packed, files = landed.packed(spark, to), landed.files(spark, f"file://{tmp_path}/page=*")
+    assert packed.schema == files.schema and packed.count() == 300 and 1 <= len(list((tmp_path / "packs").glob("*.parquet"))) <= 16
+    first = packed.filter(F.col("path").isin([n for n, _ in bodies[:4]]))
+    for f, columns in ((landed.listed, ("page", "idx", "source_ref", "good")), (landed.rejects, ("sha256", "length", "reason"))):
+        one, two = (sorted(map(tuple, f(rows, own).select(*columns).collect())) for rows in (first, files))
+        assert one == two and one
+
+
+def test_pages_of_a_query_share_files(spark):
+    from pathlib import Path
+
+    from docket.plans import landing
+    from docket.sources import tables
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("needs the given tables")
+    rows = landing.landed_pages(spark, data)
+    n = rows.filter("way = 'stream'").count()
+    path = tables.stored_once(spark, data, "pages", None)
+    assert n > 10 and len(list(Path(path.removeprefix("file://")).rglob("part-*"))) < n / 2
