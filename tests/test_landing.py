@@ -1,6 +1,7 @@
 """Landed files, full export rows, dictionaries and whole reports."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from docket.operators import coverage, exports
 from docket.sources import landed
 from docket.sources.records import decode
 
+DATA = Path("/root/testdata/sf0.001")
+
 
 def test_landed_files_give_records_and_rejects(spark, tmp_path):
     own = landed.register(landed.Channel("landed test"))
@@ -72,3 +75,37 @@ def test_pages_of_a_query_share_files(spark):
     n = rows.filter("way = 'stream'").count()
     path = tables.stored_once(spark, data, "pages", None)
     assert n > 10 and len(list(Path(path.removeprefix("file://")).rglob("part-*"))) < n / 2
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the given tables")
+def test_coverage_report_has_all_sections_and_equals_its_sql(spark):
+    import duckdb
+
+    from docket.plans import landing
+
+    db = duckdb.connect()
+    for path in DATA.glob("*.parquet"):
+        db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    lines = sorted(tuple(r) for r in landing.coverage_report(spark, str(DATA)).collect())
+    assert lines == sorted(db.execute(landing.ORACLE_SQL["coverage_report"]).fetchall())
+    assert [v for _, at, v in lines if at == 0] == [f"## {t}" for t in ("Corpus", "Vintages", "Characters", "Months of issue", "Citations", "Citations by vintage", "Provisions", "Containment", "Gold set", "Gold differences")]
+    acts, differ = [v for k, _, v in lines if k == 6], [v for k, at, v in lines if k == 9 and at > 3]
+    assert any(v.startswith("| kanal |") for v in acts) and any(v.startswith("| tresc |") for v in acts)
+    assert any(v.endswith("| unchecked |") for v in differ) and any(v.endswith("| citations |") for v in differ)
+
+
+def test_long_tables_are_numbered_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(coverage, "STRETCH", 4)
+    keys = [(k % 17 - 5, f"r{k // 17}") for k in range(40)]
+    rows = coverage.numbered(spark.createDataFrame(keys, "k long, reason string"), "k", "reason")
+    assert [tuple(r) for r in rows.orderBy("position").select("position", "k", "reason").collect()] == [(i, *x) for i, x in enumerate(sorted(keys))]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_of" in plan  # the rows' own ranks
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the given tables")
+def test_a_coverage_report_reads_each_ruling_once(spark):
+    from docket.plans import reports
+
+    plan = reports._checked(spark, str(DATA), "listed")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("RelationV2") + plan.count("Relation [") == 3 and "rlike" not in plan.lower()
