@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from docket.operators import equivalence
 
 
@@ -29,3 +31,17 @@ def test_likeness_estimates_jaccard(spark):
     left, right = " ".join(f"w{k}" for k in range(300)), " ".join(f"w{k}" for k in range(100, 400))
     docs = spark.createDataFrame([("a", "1", ["n"], left), ("b", "2", ["n"], right)], "channel string, doc_id string, numbers array<string>, text string")
     assert abs(equivalence.proposals(docs).first()["likeness"] - 198 / 398) < 3 / (2 * equivalence.SIGNATURE**0.5)
+
+
+def test_signatures_equal_those_of_columns(spark):
+    texts = [None, "", "..", "one", "a b", "a b c a b c", "Ala ma kota, a kot ma Alę i PSA " * 3, " ".join(map(str, range(40_000)))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).select("k", equivalence.shingles(F.col("t")).alias("s"))
+    least = F.transform(F.sequence(F.lit(1), F.lit(equivalence.SIGNATURE)), lambda k: F.array_min(F.transform("s", lambda h: F.xxhash64(h, k))))
+    want = {r.k: r.s for r in rows.select("k", F.when(F.col("s").isNotNull(), least).alias("s")).collect()}
+    assert {r.k: r.s for r in equivalence.signed(rows, "s").collect()} == want and want[0] is None and len(want[3]) == equivalence.SIGNATURE
+
+
+def test_signatures_are_no_nested_expressions(spark):
+    docs = spark.createDataFrame([("a", "a1", ["1"], "x"), ("b", "b1", ["1"], "x")], "channel string, doc_id string, numbers array<string>, text string")
+    plan = equivalence.proposals(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_min" not in plan
